@@ -1,0 +1,4 @@
+"""The registered queries of the sky-tile operators and their SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
