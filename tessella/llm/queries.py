@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, licences, linededup, mixing, pii, simhash, toxicity, urlfilter
+from . import decontam, embeddings, licences, linededup, lmscore, mixing, pii, simhash, toxicity, urlfilter
 
-MODULES = (urlfilter, decontam, simhash, pii, mixing, toxicity, licences, linededup, embeddings)
+MODULES = (lmscore, urlfilter, decontam, simhash, pii, mixing, toxicity, licences, linededup, embeddings)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
