@@ -28,6 +28,7 @@ from .common import connected_components, materialize, table
 SEED = 42
 HOMES_PER_ANCHOR = 256
 HOMES_PER_CELL = 4096
+FINGERPRINTS_PER_TASK = 20_000
 
 
 def fingerprint(text: bytes | None, ngram: int = 3) -> int:
@@ -122,7 +123,9 @@ def forest(homes: np.ndarray, guests: np.ndarray, threshold: int) -> tuple[np.nd
 def link_fingerprints(fps: DataFrame, threshold: int = 3, column: str = "fingerprint") -> DataFrame:
     """Edges (`a`, `b`) that connect all distinct fingerprints that differ in `threshold` bits or fewer."""
     fps = materialize(fps.select(F.col(column).alias("fp")).where("fp is not null").distinct(), "fingerprints")
-    lengths = block_lengths(blocks_for(fps.count()))
+    n = fps.count()
+    lengths = block_lengths(blocks_for(n))
+    fps = fps.repartition(max(1, n // FINGERPRINTS_PER_TASK))  # a small table, of which every row becomes hundreds
 
     def reach(batches):
         for batch in batches:
