@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plan import fenced
+
 MAX_ORDER = 24
 # Ring and longitude offsets of the twelve base cells.
 JRLL = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
 JPLL = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
-# Masks that spread the low bits of a number over every second bit.
-SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+# Byte tables, made by rule: bit k of the index goes to bit 2k, and even bits of the index close up.
+SPREAD = [sum((i >> k & 1) << 2 * k for k in range(8)) for i in range(256)]
+COMPRESS = [sum((i >> 2 * k & 1) << k for k in range(4)) for i in range(256)]
 
 
 def _col(c) -> Column:
@@ -33,65 +36,80 @@ def npix(order: int) -> int:
     return 12 << 2 * order
 
 
-def spread_bits(c) -> Column:
+def _byte_table(table: list[int], x: Column, byte: int) -> Column:
+    """The table's entry for one byte of x. The table folds into one literal, so the expression stays small."""
+    return F.element_at(F.array(*map(F.lit, table)).cast("array<long>"), (F.shiftright(x, 8 * byte).bitwiseAND(255) + 1).cast("int"))
+
+
+def spread_bits(c, bits: int = MAX_ORDER) -> Column:
     """Bit k of the number moves to bit 2k."""
     x = _col(c).cast("long")
-    for shift, mask in SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    return sum((F.shiftleft(_byte_table(SPREAD, x, k), 16 * k) for k in range(1, -(-bits // 8))), _byte_table(SPREAD, x, 0))
 
 
-def compress_bits(c) -> Column:
+def compress_bits(c, bits: int = MAX_ORDER) -> Column:
     """Bit 2k of the number moves to bit k; odd bits are dropped."""
-    x = _col(c).cast("long").bitwiseAND(F.lit(0x5555555555555555))
-    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
-    return x
-
-
-def ang2pix(ra, dec, order: int) -> Column:
-    """The cell of a position in degrees; null for null positions and declinations outside -90..90."""
-    ra, dec, n = _col(ra), _col(dec), nside(order)
-    z = F.sin(F.radians(dec))
-    turn = ra / 90.0
-    tt = turn - F.floor(turn / 4.0) * 4.0
-    up, side = n * (0.5 + tt), n * (z * 0.75)
-    jp, jm = F.floor(up - side), F.floor(up + side)
-    fp, fm = F.shiftright(jp, order), F.shiftright(jm, order)
-    face = F.when(fp == fm, fp.bitwiseAND(3) + 4).when(fp < fm, fp).otherwise(fm + 8)
-    equator = (face, jm.bitwiseAND(n - 1), n - 1 - jp.bitwiseAND(n - 1))
-    quarter = F.least(F.floor(tt), F.lit(3))
-    ring = n * F.sqrt(F.greatest(3.0 * (1.0 - F.abs(z)), F.lit(0.0)))
-    p = F.least(F.floor((tt - quarter) * ring), F.lit(n - 1))
-    m = F.least(F.floor((1.0 - (tt - quarter)) * ring), F.lit(n - 1))
-    north = (quarter, n - 1 - m, n - 1 - p)
-    south = (quarter + 8, p, m)
-    face, x, y = (F.when(F.abs(z) <= 2.0 / 3.0, e).when(z > 0, a).otherwise(b) for e, a, b in zip(equator, north, south, strict=True))
-    cell = face * (n * n) + spread_bits(x) + spread_bits(y) * 2
-    return F.when(dec.between(-90, 90), cell.cast("long"))
+    x = _col(c).cast("long")
+    return sum((F.shiftleft(_byte_table(COMPRESS, x, k), 4 * k) for k in range(1, -(-bits // 4))), _byte_table(COMPRESS, x, 0))
+
+
+def with_cell(df: DataFrame, order: int, ra: str = "ra", dec: str = "dec", out: str = "npix") -> DataFrame:
+    """`df` with the cell of each position in degrees; null for null positions and declinations outside -90..90.
+
+    The steps are columns of their own, so each is computed once and the compiled code stays small.
+    """
+    n = nside(order)
+    z, tt, jp, jm, q, p, m, fp, fm, face, x, y = (f"_hp_{k}" for k in ("z", "tt", "jp", "jm", "q", "p", "m", "fp", "fm", "face", "x", "y"))
+    turn = F.col(ra) / 90.0
+    steps = (
+        {z: F.sin(F.radians(F.col(dec))), tt: turn - F.floor(turn / 4.0) * 4.0},
+        {jp: F.floor(n * (0.5 + F.col(tt)) - n * (F.col(z) * 0.75)), jm: F.floor(n * (0.5 + F.col(tt)) + n * (F.col(z) * 0.75)), q: F.least(F.floor(tt), F.lit(3))},
+        {p: F.sqrt(F.greatest(3.0 * (1.0 - F.abs(z)), F.lit(0.0))) * n},
+        {
+            m: F.least(F.floor((1.0 - (F.col(tt) - F.col(q))) * F.col(p)), F.lit(n - 1)), p: F.least(F.floor((F.col(tt) - F.col(q)) * F.col(p)), F.lit(n - 1)),
+            fp: F.shiftright(jp, order), fm: F.shiftright(jm, order),
+        },
+        {
+            face: _by_zone(z, F.when(F.col(fp) == F.col(fm), F.col(fp).bitwiseAND(3) + 4).when(F.col(fp) < F.col(fm), F.col(fp)).otherwise(F.col(fm) + 8), F.col(q), F.col(q) + 8),
+            x: _by_zone(z, F.col(jm).bitwiseAND(n - 1), n - 1 - F.col(m), F.col(p)),
+            y: _by_zone(z, n - 1 - F.col(jp).bitwiseAND(n - 1), n - 1 - F.col(p), F.col(m)),
+        },
+    )
+    for step in steps:
+        df = df.withColumns(step)
+    cell = F.when(F.col(dec).between(-90, 90), (F.col(face) * (n * n) + spread_bits(x, order) + spread_bits(y, order) * 2).cast("long"))
+    return fenced(df, {out: cell}, drop=(z, tt, jp, jm, q, p, m, fp, fm, face, x, y))
+
+
+def _by_zone(z: str, equator: Column, north: Column, south: Column) -> Column:
+    return F.when(F.abs(z) <= 2.0 / 3.0, equator).when(F.col(z) > 0, north).otherwise(south)
 
 
 def face_xy(pix, order: int) -> tuple[Column, Column, Column]:
     """Base cell and position within it."""
     pix = _col(pix)
     inside = pix.bitwiseAND((1 << 2 * order) - 1)
-    return F.shiftright(pix, 2 * order), compress_bits(inside), compress_bits(F.shiftright(inside, 1))
-
-
-def pix2ang(pix, order: int) -> tuple[Column, Column]:
-    """Right ascension and declination of a cell's centre in degrees; null for numbers outside the grid."""
-    pix, n = _col(pix), nside(order)
-    face, x, y = face_xy(pix, order)
-    jr = F.element_at(F.array(*map(F.lit, JRLL)), (face + 1).cast("int")) * n - x - y - 1
-    nr = F.when(jr < n, jr).when(jr > 3 * n, 4 * n - jr).otherwise(n)
-    z = F.when(jr < n, 1.0 - nr * nr / (3.0 * n * n)).when(jr > 3 * n, nr * nr / (3.0 * n * n) - 1.0).otherwise((2 * n - jr) * 2.0 / (3.0 * n))
-    shift = F.when((jr < n) | (jr > 3 * n), 0).otherwise((jr - n).bitwiseAND(1))
-    jp = (F.element_at(F.array(*map(F.lit, JPLL)), (face + 1).cast("int")) * nr + x - y + 1 + shift) / 2
-    jp = F.floor(jp)
-    jp = F.when(jp > 4 * n, jp - 4 * n).when(jp < 1, jp + 4 * n).otherwise(jp)
-    ra = (jp - (shift + 1) * 0.5) * (90.0 / nr)
-    good = is_valid(pix, order)
-    return F.when(good, ra), F.when(good, F.degrees(F.asin(z)))
+    return F.shiftright(pix, 2 * order), compress_bits(inside, order), compress_bits(F.shiftright(inside, 1), order)
+
+
+def with_centre(df: DataFrame, order: int, pix: str = "npix", ra: str = "ra", dec: str = "dec") -> DataFrame:
+    """`df` with the centre of each cell in degrees; null for numbers outside the grid."""
+    n = nside(order)
+    f, x, y, jr, nr, shift, jp = (f"_hp_{k}" for k in ("f", "x", "y", "jr", "nr", "shift", "jp"))
+    cell = F.when(is_valid(pix, order), F.col(pix))
+    face, fx, fy = face_xy(cell, order)
+    polar = (F.col(jr) < n) | (F.col(jr) > 3 * n)
+    z = F.when(F.col(jr) < n, 1.0 - F.col(nr) * F.col(nr) / (3.0 * n * n)).when(F.col(jr) > 3 * n, F.col(nr) * F.col(nr) / (3.0 * n * n) - 1.0).otherwise((2 * n - F.col(jr)) * 2.0 / (3.0 * n))
+    at = F.when(F.col(jp) > 4 * n, F.col(jp) - 4 * n).when(F.col(jp) < 1, F.col(jp) + 4 * n).otherwise(F.col(jp))
+    steps = (
+        {f: face, x: fx, y: fy},
+        {jr: F.element_at(F.array(*map(F.lit, JRLL)), (F.col(f) + 1).cast("int")) * n - F.col(x) - F.col(y) - 1},
+        {nr: F.when(F.col(jr) < n, F.col(jr)).when(F.col(jr) > 3 * n, 4 * n - F.col(jr)).otherwise(n), shift: F.when(polar, 0).otherwise((F.col(jr) - n).bitwiseAND(1))},
+        {jp: F.floor((F.element_at(F.array(*map(F.lit, JPLL)), (F.col(f) + 1).cast("int")) * F.col(nr) + F.col(x) - F.col(y) + 1 + F.col(shift)) / 2)},
+    )
+    for step in steps:
+        df = df.withColumns(step)
+    return fenced(df, {ra: (at - (F.col(shift) + 1) * 0.5) * (90.0 / F.col(nr)), dec: F.degrees(F.asin(z))}, drop=(f, x, y, jr, nr, shift, jp))
 
 
 def is_valid(pix, order: int) -> Column:
@@ -122,13 +140,15 @@ def tile_path(order, pix) -> Column:
 
 def xy2hpx(x, y, width: int) -> Column:
     """Offset, in nested order, of a tile's pixel: quadrants from left to right, second half of the rows first."""
-    return spread_bits(x) * 2 + spread_bits(F.lit(width - 1) - _col(y))
+    bits = max(1, (width - 1).bit_length())
+    return spread_bits(x, bits) * 2 + spread_bits(F.lit(width - 1) - _col(y), bits)
 
 
 def hpx2xy(offset, width: int) -> tuple[Column, Column]:
     """The inverse of xy2hpx."""
     offset = _col(offset)
-    return compress_bits(F.shiftright(offset, 1)), F.lit(width - 1) - compress_bits(offset)
+    bits = max(1, (width - 1).bit_length())
+    return compress_bits(F.shiftright(offset, 1), bits), F.lit(width - 1) - compress_bits(offset, bits)
 
 
 def unit_vector(ra, dec) -> tuple[Column, Column, Column]:

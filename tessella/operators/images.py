@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
+from ..functions.plan import fenced
 
 
 def unnest(images: DataFrame, pixels: str, width: int, keep: tuple[str, ...]) -> DataFrame:
@@ -30,37 +31,42 @@ def scaled(pixels: str, scale: float, zero: float, blank: float | None = None) -
     return F.transform(pixels, one)
 
 
-def pixel(pixels: Column, x: Column, y: Column, width: int, height: int) -> Column:
+def pixel(pixels: Column, x: Column, y: Column, width: Column | int, height: Column | int) -> Column:
     """The pixel at (x, y); null outside."""
     inside = (x >= 0) & (y >= 0) & (x < width) & (y < height)
     v = F.try_element_at(pixels, F.when(inside, (y * width + x + 1).cast("int")))
     return F.when(~F.isnan(v), v.cast("double"))
 
 
-def bilinear(pixels: Column, x: Column, y: Column, width: int, height: int, policy: str = "replace") -> Column:
-    """The image's value between pixels.
+def with_bilinear(df: DataFrame, pixels: str, x: str, y: str, width: Column, height: Column, out: str = "value", policy: str = "replace") -> DataFrame:
+    """`df` with the image's value between pixels, at columns x and y.
 
     Positions from -0.5 to size - 0.5 count. Of the four neighbours, blank ones take the value of the first that
     is not (`replace`), make the result null (`strict`), or count only if all are blank (`propagate`).
     """
-    inside = (x >= -0.5) & (x < width - 0.5) & (y >= -0.5) & (y < height - 0.5)
-    cx = F.least(F.greatest(x, F.lit(0.0)), F.lit(width - 1.001))
-    cy = F.least(F.greatest(y, F.lit(0.0)), F.lit(height - 1.001))
-    x0, y0 = F.floor(cx), F.floor(cy)
-    fx, fy = cx - x0, cy - y0
-    v = [pixel(pixels, x0 + i, y0 + j, width, height) for j in (0, 1) for i in (0, 1)]
-    if policy == "replace":
-        first = F.coalesce(*v)
-        v = [F.coalesce(k, first) for k in v]
-    elif policy == "propagate":
-        v = [F.when(F.coalesce(*v).isNotNull(), k) for k in v]
-    elif policy != "strict":
+    if policy not in ("replace", "strict", "propagate"):
         raise ValueError(f"unknown blank policy {policy}")
-    value = v[0] * (1 - fx) * (1 - fy) + v[1] * fx * (1 - fy) + v[2] * (1 - fx) * fy + v[3] * fx * fy
-    return F.when(inside, value)
+    px, py, fx, fy, first = (f"_bl_{k}" for k in ("px", "py", "fx", "fy", "first"))
+    near = [f"_bl_{j}{i}" for j in (0, 1) for i in (0, 1)]
+    u, v = F.col(x), F.col(y)
+    inside = (u >= -0.5) & (u < width - 0.5) & (v >= -0.5) & (v < height - 0.5)
+    cx, cy = F.least(F.greatest(u, F.lit(0.0)), width - 1.001), F.least(F.greatest(v, F.lit(0.0)), height - 1.001)
+    steps = [
+        {fx: cx, fy: cy},
+        {px: F.floor(fx), py: F.floor(fy)},
+        {n: pixel(F.col(pixels), F.col(px) + k % 2, F.col(py) + k // 2, width, height) for k, n in enumerate(near)} | {fx: F.col(fx) - F.col(px), fy: F.col(fy) - F.col(py)},
+        {first: F.coalesce(*near)},
+    ]
+    if policy == "replace":
+        steps.append({n: F.coalesce(n, first) for n in near})
+    a, b, c, d = map(F.col, near)
+    value = a * (1 - F.col(fx)) * (1 - F.col(fy)) + b * F.col(fx) * (1 - F.col(fy)) + c * (1 - F.col(fx)) * F.col(fy) + d * F.col(fx) * F.col(fy)
+    for step in steps:
+        df = df.withColumns(step)
+    return fenced(df, {out: F.when(inside, value)}, drop=(px, py, fx, fy, first, *near))
 
 
-def edge_weight(x: Column, y: Column, width: int, height: int) -> Column:
+def edge_weight(x: Column, y: Column, width: Column | int, height: Column | int) -> Column:
     """Half for each axis on which the position lies less than 1.5 and at least 1 pixel from the high edge."""
     half = lambda p, n: F.when((p >= n - 1.5) & (p < n - 1), 0.5).otherwise(1.0)
     return half(x, width) * half(y, height)
@@ -98,10 +104,11 @@ def downsample(tiles: DataFrame, width: int, layout: str = "hpx", allow_partial:
     child, half = F.col("npix").bitwiseAND(3), width // 2
     right, low = (F.shiftright(child, 1), 1 - child.bitwiseAND(1)) if layout == "hpx" else (child.bitwiseAND(1), F.shiftright(child, 1))
     moved = tiles.select(F.shiftright("npix", 2).alias("parent"), child.alias("child"), (right * half + F.floor(F.col("x") / 2)).cast("int").alias("x"), (low * half + F.floor(F.col("y") / 2)).cast("int").alias("y"), "value")
-    means = moved.groupBy("parent", "x", "y").agg(F.avg("value").alias("value"))
+    means = moved.groupBy("parent", "child", "x", "y").agg(F.avg("value").alias("value"))  # a child's 2 x 2 pixels make one
     if not allow_partial:
-        whole = tiles.select(F.shiftright("npix", 2).alias("parent"), "npix").distinct().groupBy("parent").count().where("count = 4").select("parent")
-        means = means.join(whole, "parent", "left_semi")
+        # One parent's pixels are at most width squared rows, so the window's groups are bounded.
+        children = F.size(F.collect_set("child").over(Window.partitionBy("parent")))
+        means = means.withColumn("_n", children).where("_n = 4")
     return means.select(F.col("parent").alias("npix"), "x", "y", "value")
 
 

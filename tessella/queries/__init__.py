@@ -1,4 +1,6 @@
 """The registered queries of the sky-tile operators and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import grid, measures, pixels  # noqa: F401  (they register themselves)
+from .sky import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
