@@ -111,9 +111,9 @@ def forest(homes: np.ndarray, guests: np.ndarray, threshold: int) -> tuple[np.nd
         near &= guests[None, :] < homes[i : i + step, None]
         for k in np.flatnonzero(near.any(1)):
             hit = np.flatnonzero(near[k])
-            roots = np.unique(root[hit])
+            roots, one = np.unique(root[hit], return_index=True)  # one linked guest of each tree so far
             a.append(np.full(len(roots), homes[i + k]))
-            b.append(guests[roots])
+            b.append(guests[hit[one]])
             if len(roots) > 1:
                 root[np.isin(root, roots)] = roots[0]
     none = np.zeros(0, np.uint64)
