@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a narrow scratch table that one task writes to one file.
+ROWS_PER_FILE = 100_000
+
 _LOCAL: dict[str, str] = {}
 _MADE: set[tuple[str, str]] = set()
 
@@ -60,6 +63,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most `rows` narrow rows, in no more partitions than ROWS_PER_FILE asks for."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+
+
 def row_id(*cols: str):
     """A 64-bit identity of a row from its id and text; rows that agree in both are one document."""
     return F.xxhash64(*[F.col(c) for c in cols])
@@ -76,7 +84,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     pairs = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
     )
-    mark = None
+    mark, rows = None, pairs.count()
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -89,7 +97,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
             .where("a <> b")
             .distinct()
         )
-        pairs = materialize(small, name)
+        pairs = materialize(few_files(small, rows), name)  # a round never makes more edges than there were
         seen = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
+from .common import connected_components, few_files, materialize, table
 
 SEED = 42
 HOMES_PER_ANCHOR = 256
@@ -122,7 +122,8 @@ def forest(homes: np.ndarray, guests: np.ndarray, threshold: int) -> tuple[np.nd
 
 def link_fingerprints(fps: DataFrame, threshold: int = 3, column: str = "fingerprint") -> DataFrame:
     """Edges (`a`, `b`) that connect all distinct fingerprints that differ in `threshold` bits or fewer."""
-    fps = materialize(fps.select(F.col(column).alias("fp")).where("fp is not null").distinct(), "fingerprints")
+    rows = fps.count()
+    fps = materialize(few_files(fps.select(F.col(column).alias("fp")).where("fp is not null").distinct(), rows), "fingerprints")
     n = fps.count()
     lengths = block_lengths(blocks_for(n))
     fps = fps.repartition(max(1, n // FINGERPRINTS_PER_TASK))  # a small table, of which every row becomes hundreds
