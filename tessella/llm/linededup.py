@@ -1,9 +1,11 @@
 """Removal of line passages that repeat across documents, by content-defined chunks of lines.
 
 A rolling hash over the hashes of the last lines of a document chooses chunk boundaries, so the same run of
-lines is cut alike wherever it stands. A line of more than `min_words` words is a passage by itself and always
-stands alone. Chunks of two lines or more, and such long lines, take part: those whose hash occurs again
-anywhere in the corpus are fetched, compared byte by byte with the first occurrence, and removed if equal.
+lines is cut alike wherever it stands; a few chunkings from different bits of the hash overlap. A line of more than
+LONG_WORDS words is a passage by itself and always stands alone. Chunks of two lines or more, and such long
+lines, take part: those whose hash occurs again anywhere in the corpus are fetched, compared byte by byte
+with the first occurrence, and removed if equal. The first occurrence of a line is never removed: every line
+that goes stands, byte for byte, at an earlier place.
 """
 
 from __future__ import annotations
@@ -18,12 +20,20 @@ from .common import materialize, row_id, table
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
-WINDOW, DIVISOR, MIN_WORDS = 2, 2, 50
+MIX = 0xD6E8FEB86659FD93
+WINDOW, DIVISOR, CUTS, LONG_WORDS, MIN_WORDS = 2, 2, 4, 50, 20
 
 
-def chunk_lines(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> list[tuple[int, int, bool]]:
-    """First line, line behind the last, and whether it takes part, for each chunk of a document."""
-    out, first, rolling, recent = [], 0, 0, []
+def chunk_lines(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR, cuts: int = CUTS, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """First line and line behind the last of every chunk that takes part.
+
+    `cuts` chunkings read their boundaries from different bits of one rolling hash, so a short passage that one of
+    them cuts badly is whole in another. A line of more than `long_words` words is a chunk by itself; other
+    chunks have two lines and `min_words` words or more.
+    """
+    n = len(lines)
+    sizes = [len(line.split()) for line in lines]
+    rolled, rolling, recent = [], 0, []
     drop = pow(BASE, window, 1 << 64)
     for i, line in enumerate(lines):
         h = xxhash.xxh64_intdigest(line, 1)
@@ -31,17 +41,20 @@ def chunk_lines(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR
         rolling = rolling * BASE + h & MASK
         if i >= window:
             rolling = rolling - recent[i - window] * drop & MASK
-        if len(line.split()) > min_words:
-            if first < i:
-                out.append((first, i, i - first > 1))
-            out.append((i, i + 1, True))
-            first = i + 1
-        elif (rolling >> 32) % divisor == 0:
-            out.append((first, i + 1, i > first))
-            first = i + 1
-    if first < len(lines):
-        out.append((first, len(lines), len(lines) - first > 1))
-    return out
+        rolled.append((rolling ^ rolling >> 29) * MIX & MASK)
+    out = {(i, i + 1) for i in range(n) if sizes[i] > long_words}
+    for cut in range(cuts):
+        shift, first, words = 60 - 6 * cut, 0, 0
+        for i in range(n):
+            alone = sizes[i] > long_words
+            if not alone:
+                words += sizes[i]
+            if alone or i + 1 == n or (rolled[i] >> shift & 15) % divisor == 0:
+                stop = i if alone else i + 1
+                if stop - first > 1 and words >= min_words:
+                    out.add((first, stop))
+                first, words = i + 1, 0
+    return sorted(out)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -52,10 +65,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
             rid, ids, firsts, stops, hashes = [], [], [], [], []
             for r, d, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 lines = (text.as_py() or b"").split(b"\n")
-                for a, b, takes_part in chunk_lines(lines):
-                    if takes_part:
-                        rid.append(r), ids.append(d), firsts.append(a), stops.append(b)
-                        hashes.append(xxhash.xxh64_intdigest(b"\n".join(lines[a:b]), 2) - (1 << 63))
+                for a, b in chunk_lines(lines):
+                    rid.append(r), ids.append(d), firsts.append(a), stops.append(b)
+                    hashes.append(xxhash.xxh64_intdigest(b"\n".join(lines[a:b]), 2) - (1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(stops, pa.int32()), pa.array(hashes, pa.int64())], ["rid", "doc_id", "first", "stop", "h"])
 
     return docs.mapInArrow(cut, "rid long, doc_id long, first int, stop int, h long")
@@ -123,7 +135,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
     joined = joined.withColumn("_new", F.when(cut, without(F.when(cut, F.col(text)), F.col("_cuts"))).otherwise(F.col(text)))
     cols = [F.col("_new").alias(text) if c == text else F.length("_new").cast("long").alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns]
     if report:
-        cols += [F.coalesce(F.size("_cuts"), F.lit(0)).alias("removed_chunks"), F.coalesce(F.aggregate("_cuts", F.lit(0), lambda a, c: a + c["stop"] - c["first"]), F.lit(0)).alias("removed_lines")]
+        cols += [F.coalesce(F.size("_cuts"), F.lit(0)).alias("removed_chunks"), F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["first"], c["stop"] - 1))))), F.lit(0)).alias("removed_lines")]
     return joined.select(*cols)
 
 

@@ -112,13 +112,13 @@ def test_line_dedup_removes_repeated_passages_only(spark):
         own = [x for x in text.split("\n") if x not in passage and x != long_line]
         assert all(x in left for x in own)  # lines that stand once stay
         if i % 3 == 0 and i:
-            assert sum(x in left for x in passage.split("\n")) < 8
+            assert sum(x in left for x in passage.split("\n")) <= 3
 
 
 def test_line_chunks_do_not_depend_on_what_precedes():
     body = [words(10, k).encode() for k in range(40)]
-    cut = lambda lines, skip: {tuple(lines[a:b]) for a, b, _ in linededup.chunk_lines(lines) if a >= skip}
-    assert len(cut(body, 6) & cut([b"other", b"lines", b"before", *body], 9)) >= len(cut(body, 6)) - 1
+    cut = lambda lines, skip: {tuple(lines[a:b]) for a, b in linededup.chunk_lines(lines) if a >= skip}
+    assert len(cut(body, 6) & cut([b"other", b"lines", b"before", *body], 9)) >= len(cut(body, 6)) - 4
 
 
 def test_line_dedup_awkward_rows(spark, awkward):
