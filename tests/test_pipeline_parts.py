@@ -153,3 +153,56 @@ def test_state_sink_is_idempotent(spark, tmp_path):
     sink(batch.where("source = 6").withColumn("value", F.lit(8.0)), 1)
     state = spark.read.parquet(str(tmp_path / "s"))
     assert incremental.tiles_of(state).first()["value"] == pytest.approx((6 + 8) / 4)
+
+
+def test_blur_noise_and_placement(spark):
+    from tessella.operators import simulate
+
+    one = spark.createDataFrame([([0.0] * 40 + [1.0] + [0.0] * 40,), (None,)], "p array<double>")
+    out = one.select(simulate.blur("p", 9, 1.0).alias("b")).collect()
+    assert sum(out[0]["b"]) == pytest.approx(1, abs=1e-6) and max(out[0]["b"]) == out[0]["b"][40] == pytest.approx(0.159, abs=2e-3) and out[1]["b"] is None
+    noise = spark.range(20000).select(simulate.hash_normal("id", seed=3).alias("n"))
+    stats = noise.agg(F.avg("n"), F.stddev("n")).first()
+    assert abs(stats[0]) < 0.03 and abs(stats[1] - 1) < 0.03
+    rows = [(1, 0, 0.0, 0.0), (1, 1, 3.0, 0.0), (1, 2, 6.0, 0.0), (2, 0, 1.0, 1.0)]
+    kept = simulate.keep_apart(spark.createDataFrame(rows, "image_id long, rank int, x double, y double"), "image_id", 5.0)
+    assert sorted((r["image_id"], r["rank"]) for r in kept.collect()) == [(1, 0), (1, 2), (2, 0)]
+
+
+def test_forced_photometry_recovers_magnitudes(spark):
+    from tessella.functions import wcs
+    from tessella.operators import simulate
+    from tessella.plans import transients
+
+    size, step = 60, 0.01
+    frame = frames(spark, lambda i, k: 0.0, n=1, size=size, step=step).withColumn("date_obs", F.lit("2024-01-01").cast("timestamp"))
+    r = random.Random(7)
+    spots = [(k, 9.0 + 14 * (k % 4) + r.random(), 9.0 + 14 * (k // 4) + r.random(), 15 + 0.2 * k) for k in range(12)]
+    placed = spark.createDataFrame(spots, "star_id long, px double, py double, mag double").crossJoin(frame.select("crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2"))
+    ra, dec = wcs.pix2sky("px", "py", wcs.wcs_of())
+    stars = placed.select("star_id", ra.alias("ra"), dec.alias("dec"), "mag", "px", "py")
+    flux = F.pow(F.lit(10.0), (25.0 - F.col("mag")) / 2.5)
+    grid = spark.range(size * size).select(F.lit(0).cast("long").alias("image_id"), (F.col("id") % size).cast("int").alias("x"), F.floor(F.col("id") / size).cast("int").alias("y"), F.lit(5.0).alias("value"))
+    lit = simulate.inject(grid, stars.select(F.lit(0).cast("long").alias("image_id"), F.col("px").alias("x0"), F.col("py").alias("y0"), flux.alias("flux")), 1.2)
+    pixels = [float(v["value"]) for v in lit.orderBy("y", "x").collect()]
+    frame = frame.withColumn("pixels", F.array(*map(F.lit, pixels)).cast("array<float>"))
+    targets = stars.where("star_id < 3").select(F.col("star_id").alias("target_id"), "ra", "dec")
+    got = transients.forced_photometry(targets, stars.where("star_id >= 3").select("star_id", "ra", "dec", "mag"), frame, 6).collect()
+    assert len(got) == 3 and all(g["calibrated"] and g["n_ref_stars"] >= 3 for g in got)
+    assert {g["target_id"]: round(g["mag"], 1) for g in got} == {0: 15.0, 1: 15.2, 2: 15.4}
+
+
+def test_difference_query_and_injection(spark):
+    from tessella.plans import transients
+
+    f = frames(spark, lambda i, k: 10.0 + k % 3, n=3, size=24, step=0.02).withColumn("date_obs", F.lit("2024-01-01").cast("timestamp"))
+    centre = f.where("image_id = 1").select(F.lit(5).cast("long").alias("target_id"), F.col("crval1").alias("ra"), F.col("crval2").alias("dec"))
+    away = spark.createDataFrame([(6, 200.0, 89.0)], "target_id long, ra double, dec double")
+    bright = f.withColumn("pixels", F.transform("pixels", lambda v, i: v + F.when(i == 11 * 24 + 12, 500.0).otherwise(0.0)).cast("array<float>"))
+    got = {r["target_id"]: r for r in transients.difference_query(centre.unionByName(away), bright, f, 5, "date_obs").collect()}
+    assert got[5]["reason"] == "found" and got[5]["recovered"] and (got[5]["peak_x"], got[5]["peak_y"]) == (12, 11)
+    assert got[6]["reason"] == "no_index_hit" and got[6]["peak"] is None
+    tiles = spark.range(60 * 81).select((F.col("id") % 60).alias("image_id"), (F.floor(F.col("id") / 60) % 9).cast("int").alias("x"), F.floor(F.col("id") / 540).cast("int").alias("y"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("value"))
+    table = transients.injection_recovery(tiles, (1, 200), {"A": 0.3, "B": 1.0}).collect()
+    share = {(r["level"], r["station"]): r["share"] for r in table}
+    assert share[200, "A"] > 0.95 and share[200, "any"] >= share[200, "B"] and share[1, "B"] < 0.5
