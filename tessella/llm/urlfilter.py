@@ -92,7 +92,7 @@ def judge(pages: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES,
     gives an empty result.
     """
     intercept, weights = train(labelled)
-    model = F.transform(F.split(F.lit(",".join(repr(w) for w in weights)), ","), lambda x: x.cast("double"))
+    model = F.split(F.lit(",".join(repr(w) for w in weights)), ",").cast("array<double>")  # folds into one literal
     parts = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
     g = grams("host", "path")
     z = F.lit(intercept) + F.aggregate(g, F.lit(0.0), lambda s, b: s + F.element_at(model, b + 1)) / F.sqrt(F.greatest(F.size(g), F.lit(1)))
