@@ -104,21 +104,21 @@ def stretch_percentiles(spark, sf):
     return p.select(F.round(F.col("p")[0], 4).alias("p05"), F.round(F.col("p")[1], 4).alias("p95"))
 
 
-@query(f"WITH {PIXELS} SELECT x, y, round(median(value), 6) AS master, round(avg(value), 6) AS mean, count(value) AS n FROM px WHERE telescope = 3 GROUP BY ALL")
+@query(f"WITH {PIXELS} SELECT telescope, x, y, round(median(value), 6) AS master, round(avg(value), 6) AS mean, count(value) AS n FROM px GROUP BY ALL")
 def master_median(spark, sf):
-    """Median and mean stack of one telescope's frames."""
-    return px(spark, sf).where("telescope = 3").groupBy("x", "y").agg(r6(F.median("value")).alias("master"), r6(F.avg("value")).alias("mean"), F.count("value").alias("n"))
+    """Median and mean stack of each telescope's frames."""
+    return px(spark, sf).groupBy("telescope", "x", "y").agg(r6(F.median("value")).alias("master"), r6(F.avg("value")).alias("mean"), F.count("value").alias("n"))
 
 
 @query(f"""WITH {PIXELS}, bias AS (SELECT x, y, median(value) AS b FROM px WHERE telescope = 0 GROUP BY ALL), flat0 AS (SELECT x, y, median(abs(value) + 1) AS f FROM px WHERE telescope = 1 GROUP BY ALL),
  flat AS (SELECT x, y, CASE WHEN f / (SELECT median(f) FROM flat0) < 0.1 THEN 1.0 ELSE f / (SELECT median(f) FROM flat0) END AS f FROM flat0)
- SELECT npix AS image_id, x, y, round((value - b) / f, 5) AS value FROM px JOIN bias USING (x, y) JOIN flat USING (x, y) WHERE telescope = 2""")
+ SELECT npix AS image_id, x, y, round((value - b) / f, 5) AS value FROM px JOIN bias USING (x, y) JOIN flat USING (x, y) WHERE telescope >= 2""")
 def flat_fielded(spark, sf):
-    """One telescope's frames less the bias, by the normed flat."""
+    """Frames less the bias of one telescope, by the normed flat of another."""
     p = px(spark, sf)
     bias = p.where("telescope = 0").groupBy("x", "y").agg(F.median("value").alias("value"))
     flat = p.where("telescope = 1").groupBy("x", "y").agg(F.median(F.abs("value") + 1).alias("value"))
-    raw = p.where("telescope = 2").select(F.col("npix").alias("image_id"), "x", "y", "value")
+    raw = p.where("telescope >= 2").select(F.col("npix").alias("image_id"), "x", "y", "value")
     return images.calibrated(raw, bias, flat).withColumn("value", F.round("value", 5))
 
 
@@ -211,12 +211,12 @@ def value_histogram(spark, sf):
     return px(spark, sf).where("value is not null").groupBy("telescope", F.floor(F.col("value") * 10).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PIXELS}, u AS (SELECT value FROM px WHERE telescope = 1 GROUP BY value HAVING count(*) = 1) SELECT p.npix, p.x, p.y, (p.y * 8 + p.x)::BIGINT AS place FROM px p JOIN u USING (value) WHERE telescope = 1")
+@query(f"WITH {PIXELS}, u AS (SELECT telescope, value FROM px GROUP BY ALL HAVING count(*) = 1) SELECT p.npix, p.x, p.y, (p.y * 8 + p.x)::BIGINT AS place FROM px p JOIN u USING (telescope, value)")
 def unique_value_places(spark, sf):
     """Where values that occur once in a telescope's tiles stand."""
-    p = px(spark, sf).where("telescope = 1")
-    once = p.groupBy("value").count().where("count = 1").select("value")
-    return p.join(once, "value").select("npix", "x", "y", (F.col("y") * 8 + F.col("x")).cast("long").alias("place"))
+    p = px(spark, sf)
+    once = p.groupBy("telescope", "value").count().where("count = 1").select("telescope", "value")
+    return p.join(once, ["telescope", "value"]).select("npix", "x", "y", (F.col("y") * 8 + F.col("x")).cast("long").alias("place"))
 
 
 @query(f"""WITH {PIXELS}, src AS (SELECT vec_id AS npix, (vec_id % 7)::DOUBLE AS x0, (vec_id % 5 + 1)::DOUBLE AS y0, (vec_id % 11 + 1) * 2.0::DOUBLE AS flux FROM embeddings)
