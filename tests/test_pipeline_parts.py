@@ -206,3 +206,13 @@ def test_difference_query_and_injection(spark):
     table = transients.injection_recovery(tiles, (1, 200), {"A": 0.3, "B": 1.0}).collect()
     share = {(r["level"], r["station"]): r["share"] for r in table}
     assert share[200, "A"] > 0.95 and share[200, "any"] >= share[200, "B"] and share[1, "B"] < 0.5
+
+
+def test_tile_arrays_equal_tile_rows(spark):
+    from tessella.operators import tilearrays
+
+    f = frames(spark, lambda i, k: float("nan") if (i + k) % 11 == 0 else i * 10 + k % 13)
+    rows = {(r["npix"], r["y"] * 8 + r["x"]): r["value"] for r in build.build(f, build.Options(order=2))[2].collect()}
+    arrays = tilearrays.coadd(tilearrays.sample_frames(f, 2, 8)).collect()
+    got = {(r["npix"], k): v for r in arrays for k, v in enumerate(r["pixels"]) if v == v}
+    assert set(got) == set(rows) and all(abs(got[k] - rows[k]) < 1e-6 for k in rows)
