@@ -21,7 +21,7 @@ from .common import materialize, row_id, table
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
-WINDOW, DIVISOR, CUTS, LONG_WORDS, MIN_WORDS = 2, 2, 4, 50, 20
+WINDOW, DIVISOR, CUTS, LONG_WORDS, MIN_WORDS = 2, 2, 8, 50, 20
 
 
 def chunk_lines(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR, cuts: int = CUTS, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
@@ -44,7 +44,7 @@ def chunk_lines(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR
         rolled.append((rolling ^ rolling >> 29) * MIX & MASK)
     out = {(i, i + 1) for i in range(n) if sizes[i] > long_words}
     for cut in range(cuts):
-        shift, first, words = 60 - 6 * cut, 0, 0
+        shift, first, words = 60 - 7 * cut, 0, 0
         for i in range(n):
             alone = sizes[i] > long_words
             if not alone:
