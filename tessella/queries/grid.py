@@ -11,7 +11,7 @@ from ..operators import coverage as cov
 from ..operators import cutouts, images, incremental
 from ..plans import build
 from ..sources import index as ix
-from .sky import FRAMES, STARS, WCS, ang2pix_sql, compress_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, spread_sql, stars, table
+from .sky import FRAMES, STARS, ang2pix_sql, compress_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, spread_sql, stars, table
 
 
 def r6(c):
