@@ -31,21 +31,27 @@ HOMES_PER_CELL = 4096
 FINGERPRINTS_PER_TASK = 20_000
 
 
-def fingerprint(text: bytes | None, ngram: int = 3) -> int:
-    """The SimHash of one UTF-8 text as a signed 64-bit number; 0 for a text without words."""
+def shingles_of(text: bytes | None, ngram: int) -> list[bytes]:
+    """All runs of `ngram` words of one UTF-8 text; fewer words are one run, no words none."""
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     joined = b" ".join(words)
     if len(words) < ngram:
-        shingles = [joined]
-    else:
-        starts = [0, *(e + 1 for e in ends)]
-        shingles = [joined[s:e] for s, e in zip(starts, ends[ngram - 1 :], strict=False)]
+        return [joined]
+    starts = [0, *(e + 1 for e in ends)]
+    return [joined[s:e] for s, e in zip(starts, ends[ngram - 1 :], strict=False)]
+
+
+def fingerprint(text: bytes | None, ngram: int = 3) -> int:
+    """The SimHash of one UTF-8 text as a signed 64-bit number; 0 for a text without words."""
+    shingles = shingles_of(text, ngram)
+    if not shingles:
+        return 0
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
     ones = np.zeros(64, np.int64)
