@@ -29,8 +29,8 @@ WIDE = {
     "phone_local": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: What a text must contain to be searched at all: a cheap test before the pattern.
-NEEDS = {"email": "@", "phone": "+", "ip": ".", "email_spelled": "at", "phone_local": "-", "national_id": "-"}
+#: What a text must contain to be searched at all: a cheap test before the pattern, which implies it. One character, or a pattern.
+NEEDS = {"email": "@", "phone": "+", "ip": ".", "email_spelled": r"(?i)[\[(]at[\])]", "phone_local": r"[.-][0-9]{4}", "national_id": "-"}
 KINDS = [*BASE, *WIDE]
 KEYWORDS = r"(?i)(?:e-?mail|mail|contact|phone|tel|telephone|call|fax|mobile|card|visa|credit|ssn|social security|id number|address|ip)\W{0,3}(?:\w{1,6}\W{1,3})?$"
 AGAINST = r"(?i)(?:version|order|invoice|ref|isbn|build|part|serial|revision|rfc|section)\W{0,3}(?:no\W{0,2})?$"
@@ -80,7 +80,8 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), match.alias("match")))).alias("out"))
 
     walk = F.aggregate(F.sequence(F.lit(1), F.size(matches)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    possible = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
+    need = NEEDS.get(kind, "")
+    possible = text.rlike(need) if len(need) > 1 else text.contains(need)
     return F.when(possible & (F.size(matches) > 0), walk).otherwise(none)
 
 
