@@ -1,180 +1,129 @@
 """Cross-entropy difference of two matched n-gram models.
 
-The background model is trained on all documents, the target model on those that a label table marks as good.
-Both are interpolated Witten-Bell bigram models over one vocabulary (the most frequent words of the whole corpus
-and one unknown word) with the same bigrams. The counts of all words and bigrams of all documents are gathered by
-distributed grouping. What the scorers hold is bounded: the vocabulary has at most MAX_WORDS entries, and bigrams
-keep their own probability down to the count at which MAX_BIGRAMS are left; rarer ones back off to the words'
-probabilities, in both models alike. A document's score is its mean loss under the target model less its mean
-loss under the background model: the lower, the more it reads like the target.
+The background model is trained on all documents, the target model on those that a label table marks as good. Both are
+bigram models over one vocabulary (all words of the corpus) with the same smoothing: a bigram's probability leans on
+its word's with weight MU, a word's on an even base measure with weight NU. A document is scored by models of all the
+*other* documents: its own counts are subtracted. Its score is its mean loss per word under the target model less its
+mean loss under the background model: the lower, the more it reads like the target.
+
+Nothing is cut: all words and bigrams count. Documents are dealt into blocks of about BLOCK_CHARS characters by a hash.
+Each block counts its n-grams and sends one row per distinct n-gram (so a frequent one has a row per block, however
+often it occurs); sums over equal n-grams go back to the blocks that asked, unless the block's own counts are the whole.
+A block with its sums scores its documents. No task holds more than a block or a stretch of the sorted n-grams, and
+all volumes follow the input.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import table
+
+BLOCK_CHARS = 12_000_000
+MU, NU = 4.0, 16.0
+BASE = 2.0**-20  # base probability of every word
+SEED = 13
+FACTOR_H, FACTOR_W = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+START, WORD, HISTORY, TOTAL = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0xD1342543DE82EF95))
 
-MAX_WORDS = (1 << 16) - 2
-MAX_BIGRAMS = 1 << 19
-MAX_WORD_LENGTH = 64
-MIN_COUNT = 2
-START, UNKNOWN = 0, 1
-SHIFT = 16
-FLUSH = 2_000_000
+COUNTED = "block int, gram long, n long, t long"
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def vocabulary(docs: DataFrame, limit: int = MAX_WORDS) -> dict[str, int]:
-    """The most frequent words of all documents, at most `limit`, numbered from 2; ties go by the word."""
-
-    def count(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(words_of(text.as_py()))
-            if len(seen) > FLUSH // 4:
-                yield _word_batch(seen)
-                seen = Counter()
-        yield _word_batch(seen)
-
-    counted = materialize(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    words = sorted(frequent(counted, limit).select("word", "n").toArrow().to_pylist(), key=lambda r: (-r["n"], r["word"]))  # at most `limit` words
-    return {r["word"]: k + 2 for k, r in enumerate(words)}
-
-
-def frequent(counted: DataFrame, limit: int) -> DataFrame:
-    """The rows whose count `n` reaches the least count, in eighths of a power of two, that leaves at most `limit` of them."""
-    eighth = F.floor(F.log2("n") * 8)
-    left, cut = 0, None
-    for r in counted.where(F.col("n") >= MIN_COUNT).groupBy(eighth.alias("e")).count().orderBy(F.desc("e")).collect():  # 8 rows per power of two
-        left += r["count"]
-        if left > limit:
-            break
-        cut = r["e"]
-    return counted.where((eighth >= cut) & (F.col("n") >= MIN_COUNT)) if cut is not None else counted.limit(0)
-
-
-def _word_batch(seen: Counter) -> pa.RecordBatch:
-    kept = [(w, n) for w, n in seen.items() if len(w) <= MAX_WORD_LENGTH]
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-
-
-def encode(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    """Word numbers of a text behind one start mark."""
-    words, get = words_of(text), ids.get
-    codes = np.empty(len(words) + 1, np.int64)
-    codes[0] = START
-    codes[1:] = np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
-    return codes
-
-
-def pair_counts(docs: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """pair (history << 16 | word), n (in all documents) and t (in documents whose `target` is true)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def count(batches):
-        ids, parts, marks, size = shared.value, [], [], 0
-        for batch in batches:
-            for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-                codes = encode(text.as_py(), ids)
-                parts.append(codes[:-1] << SHIFT | codes[1:])
-                marks.append(bool(target))
-                size += len(codes)
-                if size > FLUSH:
-                    yield _pair_batch(parts, marks)
-                    parts, marks, size = [], [], 0
-        if parts:
-            yield _pair_batch(parts, marks)
-
-    return docs.mapInArrow(count, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _pair_batch(parts: list[np.ndarray], marks: list[bool]) -> pa.RecordBatch:
-    pairs = np.concatenate(parts)
-    target = np.repeat(np.array(marks), [len(p) for p in parts])
-    pair, at, n = np.unique(pairs, return_inverse=True, return_counts=True)
-    t = np.bincount(at[target], minlength=len(pair))
-    return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], ["pair", "n", "t"])
-
-
-class Model:
-    """Both models' log probabilities: of frequent bigrams, of words, and the weight of backing off per history."""
-
-    def __init__(self, size: int, words: pd.DataFrame, histories: pd.DataFrame, bigrams: pd.DataFrame):
-        def column(frame: pd.DataFrame, key: str, value: str) -> np.ndarray:
-            out = np.zeros(size)
-            out[frame[key].to_numpy(np.int64)] = frame[value].to_numpy(float)
-            return out
-
-        order = np.argsort(bigrams["pair"].to_numpy(np.int64))
-        self.pairs = bigrams["pair"].to_numpy(np.int64)[order]
-        history, word = self.pairs >> SHIFT, self.pairs & ((1 << SHIFT) - 1)
-        self.word, self.back, self.bigram = {}, {}, {}
-        for name, followers in (("n", "n_followers"), ("t", "t_followers")):
-            c = column(words, "word", name)
-            p = (c + 1) / (c.sum() + size)
-            total, kinds = column(histories, "history", name), np.maximum(column(histories, "history", followers), 1)
-            self.word[name] = np.log(p).astype(np.float32)
-            self.back[name] = np.log(kinds / (total + kinds)).astype(np.float32)
-            count = bigrams[name].to_numpy(float)[order]
-            self.bigram[name] = np.log((count + kinds[history] * p[word]) / (total[history] + kinds[history])).astype(np.float32)
-
-    def losses(self, codes: np.ndarray) -> tuple[float, float]:
-        """Mean loss per word of one encoded text under the target and the background model."""
-        pairs = codes[:-1] << SHIFT | codes[1:]
-        at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
-        known = self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two 64-bit hashes, in this order."""
+    x = (h * FACTOR_H) ^ (w * FACTOR_W + (h >> np.uint64(31)))
+    return x ^ (x >> np.uint64(32))
+
+
+class Block:
+    """The n-grams of a block's documents, by hash: bigrams, words, histories and the number of words."""
+
+    def __init__(self, texts: list[str | None]):
+        ids: dict[str, int] = {}
+        parts, lengths = [], []
+        for text in texts:
+            words = words_of(text)
+            lengths.append(len(words))
+            parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+        self.lengths = np.array(lengths, np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        self.word = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.size = len(ids)  # also the number of the start mark
+        self.history = np.concatenate([[self.size], self.word[:-1]]) if len(self.word) else self.word
+        self.history[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = self.size
+        hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in ids], np.uint64)
+        marked = np.append(hashes, START)
+        self.pair_gram, self.pair = np.unique(_mixed(marked[self.history], hashes[self.word]), return_inverse=True)
+        self.grams = np.concatenate([self.pair_gram, _mixed(np.full(self.size, WORD), hashes), _mixed(np.full(self.size + 1, HISTORY), marked), [TOTAL]])
+
+    def counts(self, weights: np.ndarray | None = None) -> np.ndarray:
+        """The counts of `grams`; with weights per document, weighted."""
+        each = None if weights is None else weights[self.doc]
+        of = lambda codes, n: np.bincount(codes, each, n)
+        total = len(self.word) if each is None else each.sum()
+        return np.concatenate([of(self.pair, len(self.pair_gram)), of(self.word, self.size), of(self.history, self.size + 1), [total]]).astype(np.int64)
+
+    def own(self, codes: np.ndarray) -> np.ndarray:
+        """For every word of the block: how often its document holds the same code."""
+        key = self.doc * (int(codes.max()) + 1 if len(codes) else 1) + codes
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def losses(self, n: np.ndarray, t: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean losses of every document under the target and the background model, given the sums of `grams`."""
+        pairs, words = len(self.pair_gram), self.size
+        own_pair, own_word, own_history, own_total = self.own(self.pair), self.own(self.word), self.own(self.history), self.lengths[self.doc]
         out = []
-        for name in ("t", "n"):
-            backed = self.back[name][codes[:-1]] + self.word[name][codes[1:]]
-            own = self.bigram[name][at] if len(self.pairs) else backed
-            out.append(float(-np.where(known, own, backed).mean(dtype=float)))
+        for sums, mine in ((t, target[self.doc]), (n, np.ones(len(self.doc)))):
+            word = sums[pairs + self.word] - mine * own_word
+            p = (word + NU * BASE) / (sums[-1] - mine * own_total + NU)
+            p = (sums[self.pair] - mine * own_pair + MU * p) / (sums[pairs + words + self.history] - mine * own_history + MU)
+            out.append(np.bincount(self.doc, -np.log(p), len(self.lengths)) / np.maximum(self.lengths, 1))
         return out[0], out[1]
 
 
-def fit(docs: DataFrame, target: DataFrame, max_words: int = MAX_WORDS, max_bigrams: int = MAX_BIGRAMS) -> tuple[dict[str, int], Model]:
-    """Vocabulary and both models from `docs` (doc_id, text) and the ids in `target` (doc_id)."""
-    ids = vocabulary(docs, max_words)
-    marks = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
-    pairs = materialize(pair_counts(docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left").select("text", "target"), ids), "bigrams")  # labels grow with the corpus: never broadcast
-    word, history = F.col("pair").bitwiseAND((1 << SHIFT) - 1), F.shiftright("pair", SHIFT)
-    words = pairs.groupBy(word.alias("word")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow().to_pandas()  # one row per word of the vocabulary
-    histories = pairs.groupBy(history.alias("history")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count("*").alias("n_followers"), F.sum((F.col("t") > 0).cast("long")).alias("t_followers")).toArrow().to_pandas()
-    kept = frequent(pairs, max_bigrams).toArrow().to_pandas()  # at most `max_bigrams` rows
-    return ids, Model(len(ids) + 2, words, histories, kept)
+def _count(group: pa.Table) -> pa.Table:
+    block = Block(group.column("text").to_pylist())
+    n, t = block.counts(), block.counts(group.column("target").to_numpy().astype(float))
+    return pa.table({"block": pa.array(np.full(len(n), group.column("block")[0].as_py(), np.int32)), "gram": pa.array(block.grams.view(np.int64)), "n": pa.array(n), "t": pa.array(t)})
+
+
+def _scored(docs: pa.Table, sums: pa.Table) -> pa.Table:
+    block, target = Block(docs.column("text").to_pylist()), docs.column("target").to_numpy().astype(float)
+    n, t = block.counts(), block.counts(target)
+    order = np.argsort(block.grams, kind="stable")
+    at = order[np.searchsorted(block.grams, sums.column("gram").to_numpy().view(np.uint64), sorter=order)]
+    n[at], t[at] = sums.column("n").to_numpy(), sums.column("t").to_numpy()
+    loss_t, loss_n = block.losses(n, t, target)
+    return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(block.lengths), "target_loss": pa.array(loss_t), "background_loss": pa.array(loss_n)})
 
 
-def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score (their difference) of every row.
 
     Null and empty texts have n_words 0 and null losses and score; repeated rows get equal scores and count as
-    often as they stand in the table; ids in `target` that no document bears count nothing; an empty table gives
-    an empty result.
+    often as they stand in the table, less once for themselves; ids in `target` that no document bears count nothing;
+    an empty table gives an empty result. Extra columns are not read. N-grams are told apart by 64-bit hashes.
     """
+    marks = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True)).hint("merge")  # labels grow with the corpus: never broadcast
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, target))
-
-    @F.pandas_udf("n_words long, target_loss double, background_loss double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        ids, model = shared.value
-        out = []
-        for t in texts:
-            codes = encode(t, ids)
-            out.append((len(codes) - 1, *(model.losses(codes) if len(codes) > 1 else (None, None))))
-        frame = pd.DataFrame(out, columns=["n_words", "target_loss", "background_loss"])
-        return frame.astype({"n_words": "int64", "target_loss": "float64", "background_loss": "float64"})
-
-    scored = rows.select("doc_id", of("text").alias("m")).select("doc_id", "m.*")
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
+    dealt = rows.join(marks, "doc_id", "left").select(block, "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counted = dealt.groupBy("block").applyInArrow(_count, COUNTED)
+    same = Window.partitionBy("gram")
+    # A block that holds all there is of an n-gram knows its sums.
+    sums = counted.select("block", "gram", F.col("n").alias("own"), F.sum("n").over(same).alias("n"), F.sum("t").over(same).alias("t")).where("n <> own").drop("own")
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    scored = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_scored, f"doc_id {kind}, n_words long, target_loss double, background_loss double")
     losses = [F.when(F.col("n_words") > 0, F.col(c)).alias(c) for c in ("target_loss", "background_loss")]
     return scored.select("doc_id", "n_words", *losses).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 

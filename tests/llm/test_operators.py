@@ -374,50 +374,49 @@ def test_links_within_cut_components(spark, monkeypatch):
         assert {r["gid"]: r["links"] for r in embeddings.links_within(members, 0.98).collect()} == want
 
 
-def test_language_models_equal_plain_counts(spark):
-    rows = [(i, words(40, i), "s") for i in range(60)] + [(100, None, "s"), (101, "", "s"), (None, words(10, 5), "s")]
-    docs = docs_of(spark, rows)
-    target = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(None,), (999,)], "doc_id long")
-    got = {r["doc_id"]: r for r in lmscore.score(docs, target).collect()}
-    tokens = {i: ["<s>", *(t or "").split()] for i, t, _ in rows}
+@pytest.mark.parametrize("block_chars", [12_000_000, 900])
+def test_language_models_equal_plain_counts(spark, awkward, block_chars):
+    """Every word and bigram counts, in one block or in many; each document is scored by the others."""
     from collections import Counter
 
-    freq = Counter(w for t in tokens.values() for w in t[1:])
-    vocab = {w for w, n in freq.items() if n >= lmscore.MIN_COUNT}
-    size = len(vocab) + 2
-
-    def model(ids):
-        big, uni, hist, kinds = Counter(), Counter(), Counter(), Counter()
-        for i in ids:
-            t = ["<s>", *(w if w in vocab else "<u>" for w in tokens[i][1:])]
-            big.update(zip(t, t[1:], strict=False))
-        for (h, w), n in big.items():
-            uni[w] += n
-            hist[h] += n
-            kinds[h] += 1
-        return big, uni, hist, kinds
-
-    every, good = model(tokens), model([i for i in tokens if i is not None and i < 60 and i % 3 == 0])
-    listed = {b for b, n in every[0].items() if n >= lmscore.MIN_COUNT}
-
-    def loss(m, t):
-        big, uni, hist, kinds = m
-        out = []
-        for h, w in zip(t, t[1:], strict=False):
-            p = (uni[w] + 1) / (sum(uni.values()) + size)
-            k = max(kinds[h], 1)
-            out.append(-np.log(((big[h, w] if (h, w) in listed else 0) + k * p) / (hist[h] + k)))
-        return float(np.mean(out))
-
-    for i, t in tokens.items():
-        if len(t) == 1:
-            assert got[i]["n_words"] == 0 and got[i]["score"] is None
+    rows = [(i, words(40, i), "s") for i in range(60)] + [(100, None, "s"), (101, "", "s"), (None, words(10, 5), "s"), (102, words(30, 77) + " " + "q" * 300, "s"), (103, words(30, 77) + " " + "q" * 300, "s"), (9, words(40, 9), "s"), (104, "x " * 3000, "s")]
+    docs = docs_of(spark, rows).withColumns({"block": F.lit("b"), "gram": F.lit(1), "n": F.lit(2), "target": F.lit(3)})
+    target = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(None,), (999,)], "doc_id long")
+    good = lambda i: i is not None and i < 60 and i % 3 == 0
+
+    def counts(keep):
+        uni, big, hist, total = Counter(), Counter(), Counter(), 0
+        for i, t, _ in rows:
+            w = (t or "").split()
+            if keep(i):
+                uni.update(w)
+                big.update(zip(["<s>", *w], w, strict=False))
+                hist.update(["<s>", *w][: len(w)])
+                total += len(w)
+        return uni, big, hist, total
+
+    models = {"target_loss": (counts(good), good), "background_loss": (counts(lambda i: True), lambda i: True)}
+    got = lmscore.score(docs, target, block_chars=block_chars).collect()
+    assert len(got) == len(rows)
+    by_size = {(r["doc_id"], r["n_words"]): r for r in got}
+    for i, t, _ in rows:
+        w = (t or "").split()
+        r = by_size[i, len(w)]
+        if not w:
+            assert r["score"] is None and r["target_loss"] is None
             continue
-        t = ["<s>", *(w if w in vocab else "<u>" for w in t[1:])]
-        assert got[i]["target_loss"] == pytest.approx(loss(good, t), abs=1e-4)
-        assert got[i]["background_loss"] == pytest.approx(loss(every, t), abs=1e-4)
-        assert got[i]["score"] == pytest.approx(got[i]["target_loss"] - got[i]["background_loss"])
+        for name, ((uni, big, hist, total), member) in models.items():
+            m = 1 if member(i) else 0
+            own_u, own_b, own_h = Counter(w), Counter(zip(["<s>", *w], w, strict=False)), Counter(["<s>", *w][: len(w)])
+            loss = 0.0
+            for h, x in zip(["<s>", *w], w, strict=False):
+                p = (uni[x] - m * own_u[x] + lmscore.NU * lmscore.BASE) / (total - m * len(w) + lmscore.NU)
+                p = (big[h, x] - m * own_b[h, x] + lmscore.MU * p) / (hist[h] - m * own_h[h] + lmscore.MU)
+                loss -= np.log(p) / len(w)
+            assert r[name] == pytest.approx(loss, abs=1e-9), (i, name)
+        assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"])
     assert lmscore.score(docs.limit(0), target).count() == 0
+    assert lmscore.score(awkward, target, block_chars=block_chars).count() == awkward.count()
 
 
 def test_language_model_tells_held_out_quality(spark):
