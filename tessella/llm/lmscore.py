@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BLOCK_CHARS = 12_000_000
-SHARD_GRAMS = 2_500_000
-GRAMS_PER_CHAR = 0.12  # an estimate that only sets the number of shards
+BLOCK_CHARS = 6_000_000
+SHARD_GRAMS = 1_500_000
+GRAMS_PER_CHAR = 0.13  # an estimate that only sets the number of shards
 MU, NU = 4.0, 16.0
 BASE = 2.0**-20  # base probability of every word
 SEED = 13
@@ -61,10 +61,10 @@ class Block:
         for text in texts:
             words = words_of(text)
             lengths.append(len(words))
-            parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+            parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
         self.lengths = np.array(lengths, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        self.word = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
+        self.word = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.size = len(ids)  # also the number of the start mark
         self.first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
         self.history = np.roll(self.word, 1)
@@ -84,7 +84,7 @@ class Block:
 
     def own(self, codes: np.ndarray) -> np.ndarray:
         """For every word of the block: how often its document holds the same code."""
-        key = self.doc * (int(codes.max()) + 1 if len(codes) else 1) + codes
+        key = self.doc * np.int64(int(codes.max()) + 1 if len(codes) else 1) + codes
         _, at, n = np.unique(key, return_inverse=True, return_counts=True)
         return n[at]
 

@@ -374,7 +374,7 @@ def test_links_within_cut_components(spark, monkeypatch):
         assert {r["gid"]: r["links"] for r in embeddings.links_within(members, 0.98).collect()} == want
 
 
-@pytest.mark.parametrize("block_chars", [12_000_000, 900])
+@pytest.mark.parametrize("block_chars", [6_000_000, 900])
 def test_language_models_equal_plain_counts(spark, awkward, block_chars):
     """Every word and bigram counts, in one block or in many; each document is scored by the others."""
     from collections import Counter
@@ -396,7 +396,7 @@ def test_language_models_equal_plain_counts(spark, awkward, block_chars):
         return uni, big, hist, total
 
     models = {"target_loss": (counts(good), good), "background_loss": (counts(lambda i: True), lambda i: True)}
-    got = lmscore.score(docs, target, block_chars=block_chars, shard_grams=2_500_000 if block_chars > 900 else 200).collect()
+    got = lmscore.score(docs, target, block_chars=block_chars, shard_grams=1_500_000 if block_chars > 900 else 200).collect()
     assert len(got) == len(rows)
     by_size = {(r["doc_id"], r["n_words"]): r for r in got}
     for i, t, _ in rows:
