@@ -1,10 +1,11 @@
 """Removal of line passages that repeat across documents, by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines of a document chooses chunk boundaries, so the same run of
-lines is cut alike wherever it stands; a few chunkings from different bits of the hash overlap. A line of more than
-LONG_WORDS words is a passage by itself and always stands alone. Chunks of two lines or more, and such long
-lines, take part: those whose hash occurs again anywhere in the corpus are fetched, compared byte by byte
-with the first occurrence, and removed if equal. The first occurrence of a line is never removed: every line
+A rolling hash over the hashes of the last two lines that hold words decides where chunks end, at two scales. Coarse
+chunks follow each other: one begins where the one before ended. Fine chunks overlap: one begins at every line
+and runs to the first place where the hash ends it, in most cases after two lines. A fine chunk depends on nothing
+outside itself, so a passage is cut alike wherever it stands, its edges included. A line of more than LONG_WORDS
+words is a passage by itself. Chunks whose hash occurs again anywhere in the corpus are fetched, compared byte by
+byte with the first occurrence, and removed if equal. The first occurrence of a line is never removed: every line
 that goes stands, byte for byte, at an earlier place.
 """
 
@@ -21,91 +22,97 @@ from .common import materialize, row_id, table
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
-WINDOW, DIVISOR, CUTS, LONG_WORDS, MIN_WORDS = 2, 2, 8, 50, 20
+WINDOW, LONG_WORDS = 2, 50
+COARSE = 4  # one place in so many ends a coarse chunk
+FINE = 16  # all places but one in so many end a fine chunk
+CHUNKS_PER_CELL = 20_000
 
 
-def chunk_lines(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR, cuts: int = CUTS, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """First line and line behind the last of every chunk that takes part.
-
-    `cuts` chunkings read their boundaries from different bits of one rolling hash, so a short passage that one of
-    them cuts badly is whole in another. A line of more than `long_words` words is a chunk by itself; other
-    chunks have two lines and `min_words` words or more.
-    """
-    n = len(lines)
+def chunk_lines(lines: list[bytes], window: int = WINDOW, coarse: int = COARSE, fine: int = FINE, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
+    """First line and line behind the last of every chunk: two or more lines with words, or one long line."""
     sizes = [len(line.split()) for line in lines]
-    rolled, rolling, recent = [], 0, []
-    drop = pow(BASE, window, 1 << 64)
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line, 1)
-        recent.append(h)
-        rolling = rolling * BASE + h & MASK
-        if i >= window:
-            rolling = rolling - recent[i - window] * drop & MASK
-        rolled.append((rolling ^ rolling >> 29) * MIX & MASK)
-    out = {(i, i + 1) for i in range(n) if sizes[i] > long_words}
-    for cut in range(cuts):
-        shift, first, words = 60 - 7 * cut, 0, 0
-        for i in range(n):
-            alone = sizes[i] > long_words
-            if not alone:
-                words += sizes[i]
-            if alone or i + 1 == n or (rolled[i] >> shift & 15) % divisor == 0:
-                stop = i if alone else i + 1
-                if stop - first > 1 and words >= min_words:
-                    out.add((first, stop))
-                first, words = i + 1, 0
+    full = [i for i, n in enumerate(sizes) if n]
+    ends, rolling, recent, drop = [], 0, [], pow(BASE, window, 1 << 64)
+    for i in full:
+        recent.append(xxhash.xxh64_intdigest(lines[i], 1))
+        rolling = rolling * BASE + recent[-1] & MASK
+        if len(recent) > window:
+            rolling = rolling - recent[-1 - window] * drop & MASK
+        ends.append((rolling ^ rolling >> 29) * MIX >> 20 & MASK)
+    out, n = {(i, i + 1) for i in full if sizes[i] > long_words}, len(full)
+    first, last, open_ = 0, n - 1, []
+    for j in range(n):
+        if open_ and ((ends[j] >> 12) % fine or j == last):
+            out.update((full[k], full[j] + 1) for k in open_)
+            open_ = []
+        open_.append(j)
+        if ends[j] % coarse == 0 or j == last:
+            if j > first:
+                out.add((full[first], full[j] + 1))
+            first = j + 1
     return sorted(out)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, first, stop and h of every chunk that takes part."""
+    """rid, rid2, doc_id, first, stop and the two halves of the hash (h, g) of every chunk."""
+    schema = "rid long, rid2 long, doc_id long, first int, stop int, h long, g long"
 
     def cut(batches):
         for batch in batches:
-            rid, ids, firsts, stops, hashes = [], [], [], [], []
-            for r, d, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            out = []
+            for r, r2, d, text in zip(batch.column("rid").to_pylist(), batch.column("rid2").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 lines = (text.as_py() or b"").split(b"\n")
                 for a, b in chunk_lines(lines):
-                    rid.append(r), ids.append(d), firsts.append(a), stops.append(b)
-                    hashes.append(xxhash.xxh64_intdigest(b"\n".join(lines[a:b]), 2) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(stops, pa.int32()), pa.array(hashes, pa.int64())], ["rid", "doc_id", "first", "stop", "h"])
+                    x = xxhash.xxh3_128_intdigest(b"\n".join(lines[a:b]), 2)
+                    out.append((r, r2, d, a, b, (x >> 64) - (1 << 63), (x & MASK) - (1 << 63)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.replace(" long", "").replace(" int", "").split(", "))
 
-    return docs.mapInArrow(cut, "rid long, doc_id long, first int, stop int, h long")
+    return docs.mapInArrow(cut, schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """The texts of the chunks listed in `wanted` (structs of first, stop, h, keeper)."""
+    """The bytes of the chunks listed in `wanted` (structs of first, stop, h, g, cells, keeper)."""
+    names = ["rid", "rid2", "first", "stop", "h", "g", "cells", "keeper", "chunk"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
 
     def fetch(batches):
         for batch in batches:
-            rid, firsts, stops, hashes, keepers, texts = [], [], [], [], [], []
-            for r, wanted, text in zip(batch.column("rid").to_pylist(), batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
+            out = []
+            for r, r2, wanted, text in zip(batch.column("rid").to_pylist(), batch.column("rid2").to_pylist(), batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
                 lines = text.as_py().split(b"\n")
-                for w in wanted:
-                    rid.append(r), firsts.append(w["first"]), stops.append(w["stop"]), hashes.append(w["h"]), keepers.append(w["keeper"])
-                    texts.append(b"\n".join(lines[w["first"] : w["stop"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(firsts, pa.int32()), pa.array(stops, pa.int32()), pa.array(hashes, pa.int64()), pa.array(keepers, pa.bool_()), pa.array(texts, pa.binary())], ["rid", "first", "stop", "h", "keeper", "chunk"])
+                out.extend((r, r2, w["first"], w["stop"], w["h"], w["g"], w["cells"], w["keeper"], b"\n".join(lines[w["first"] : w["stop"]])) for w in wanted)
+            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return docs.mapInArrow(fetch, "rid long, rid2 long, first int, stop int, h long, g long, cells int, keeper boolean, chunk binary")
+
 
-    return docs.mapInArrow(fetch, "rid long, first int, stop int, h long, keeper boolean, chunk binary")
+def _identity(doc_id: str, text: str) -> list:
+    """rid and rid2: a 128-bit identity of a row from its id and text."""
+    return [row_id(doc_id, text).alias("rid"), F.xxhash64(F.lit(7), F.col(doc_id), F.col(text)).alias("rid2")]
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """rid (row_id of id and text), first and stop line of every chunk to remove.
+    """rid and rid2 (identity of id and text), first and stop line of every chunk to remove.
 
     The first occurrence by id, then row identity, then line, stays. Rows that agree in id and text are
-    one document: their chunks are kept or removed alike. Null and empty texts have no chunks.
+    one document: their chunks are kept or removed alike. Null and empty texts have no chunks. A chunk that occurs
+    very often is compared in cells of about CHUNKS_PER_CELL, each with its own copy of the first occurrence.
     """
-    narrow = docs.select(row_id(doc_id, text).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    narrow = docs.select(*_identity(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     chunks = materialize(_chunks(narrow), "line-chunks")
-    again = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "first")).alias("k")).where("n > 1").select("h", "k.rid", "k.first")
-    again = again.withColumnRenamed("rid", "k_rid").withColumnRenamed("first", "k_first")
-    found = chunks.select("rid", "first", "stop", "h").distinct().join(again, "h")
-    wanted = F.struct("first", "stop", "h", ((F.col("rid") == F.col("k_rid")) & (F.col("first") == F.col("k_first"))).alias("keeper"))
-    lists = found.groupBy("rid").agg(F.collect_list(wanted).alias("wanted"))  # no longer than the document
-    once = narrow.select("rid", "text").join(lists, "rid").dropDuplicates(["rid"])
+    again = chunks.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "rid2", "first")).alias("k")).where("n > 1")
+    again = again.select("h", "g", F.ceil(F.col("n") / CHUNKS_PER_CELL).cast("int").alias("cells"), F.struct("k.rid", "k.rid2", "k.first").alias("k"))
+    found = chunks.select("rid", "rid2", "first", "stop", "h", "g").distinct().join(again, ["h", "g"])
+    wanted = F.struct("first", "stop", "h", "g", "cells", F.struct("rid", "rid2", "first").eqNullSafe(F.col("k")).alias("keeper"))
+    lists = found.groupBy("rid", "rid2").agg(F.collect_list(wanted).alias("wanted"))  # no longer than the document
+    once = narrow.select("rid", "rid2", "text").join(lists, ["rid", "rid2"]).dropDuplicates(["rid", "rid2"])
     texts = materialize(_texts(once), "line-texts")
-    first = texts.where("keeper").select("h", F.col("chunk").alias("kept"))
-    return texts.where("not keeper").join(first, "h").where("chunk = kept").select("rid", "first", "stop")
+    first = texts.where("keeper").select("h", "g", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("chunk").alias("kept"))
+    others = texts.where("not keeper").withColumn("cell", F.pmod(F.xxhash64("rid", "first"), F.col("cells")).cast("int"))
+    return others.join(first, ["h", "g", "cell"]).where("chunk = kept").select("rid", "rid2", "first", "stop")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, report: bool = False) -> DataFrame:
@@ -113,9 +120,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
 
     A document all of whose lines are repeats keeps an empty text; a null text stays null; `n_chars`, if
     given, names a column that is set to the new length. With `report`, `removed_chunks` and
-    `removed_lines` are added. An empty table gives an empty result.
+    `removed_lines` are added. Columns may have any names. An empty table gives an empty result.
     """
-    cuts = repeated_chunks(docs, doc_id, text).groupBy(F.col("rid").alias("_cut_rid")).agg(F.collect_list(F.struct("first", "stop")).alias("_cuts"))
+    cuts = repeated_chunks(docs, doc_id, text).groupBy("rid", "rid2").agg(F.collect_list(F.struct("first", "stop")).alias("cuts"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -130,12 +137,14 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
             out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
         return pd.Series(out, dtype=object)
 
-    joined = docs.withColumn("_cut_rid", row_id(doc_id, text)).join(cuts, "_cut_rid", "left")
-    cut = F.col("_cuts").isNotNull()
-    joined = joined.withColumn("_new", F.when(cut, without(F.when(cut, F.col(text)), F.col("_cuts"))).otherwise(F.col(text)))
-    cols = [F.col("_new").alias(text) if c == text else F.length("_new").cast("long").alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(*_identity(doc_id, text), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    old = F.col("row").getField(text)
+    joined = whole.join(cuts, ["rid", "rid2"], "left")
+    cut = F.col("cuts").isNotNull()
+    joined = joined.select("row", "cuts", F.when(cut, without(F.when(cut, old), F.col("cuts"))).otherwise(old).alias("new"))
+    cols = [F.col("new").alias(c) if c == text else F.length("new").cast("long").alias(c) if c == n_chars else F.col("row").getField(c).alias(c) for c in docs.columns]
     if report:
-        cols += [F.coalesce(F.size("_cuts"), F.lit(0)).alias("removed_chunks"), F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["first"], c["stop"] - 1))))), F.lit(0)).alias("removed_lines")]
+        cols += [F.coalesce(F.size("cuts"), F.lit(0)).alias("removed_chunks"), F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["first"], c["stop"] - 1))))), F.lit(0)).alias("removed_lines")]
     return joined.select(*cols)
 
 
