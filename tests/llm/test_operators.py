@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import decontam, embeddings, licences, linededup, lmscore, mixing, pii, simhash, toxicity, urlfilter
 from tessella.llm.common import connected_components
+from tests.llm.notices import NOTICES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in ("ba", "de", "ki", "lo", "mu") for b in ("ra", "se", "ti", "no") for c in ("n", "s", "")]
@@ -112,13 +114,44 @@ def test_line_dedup_removes_repeated_passages_only(spark):
         own = [x for x in text.split("\n") if x not in passage and x != long_line]
         assert all(x in left for x in own)  # lines that stand once stay
         if i % 3 == 0 and i:
-            assert sum(x in left for x in passage.split("\n")) <= 3
+            assert sum(x in left for x in passage.split("\n")) <= 1
 
 
-def test_line_chunks_do_not_depend_on_what_precedes():
+def test_line_chunks_do_not_depend_on_what_surrounds_them():
     body = [words(10, k).encode() for k in range(40)]
-    cut = lambda lines, skip: {tuple(lines[a:b]) for a, b in linededup.chunk_lines(lines) if a >= skip}
-    assert len(cut(body, 6) & cut([b"other", b"lines", b"before", *body], 9)) >= len(cut(body, 6)) - 4
+    around = [b"other", b"lines", b"before", *body, b"and", b"after"]
+    cut = lambda lines: {tuple(lines[a:b]) for a, b in linededup.chunk_lines(lines)}
+    assert len(cut(body) & cut(around)) >= len(cut(body)) - 3
+    assert linededup.chunk_lines([b"a", b"", b" ", b"b"]) == [(0, 4)] and linededup.chunk_lines([b"", b"", b"x"]) == []
+
+
+def repeated_pairs(texts):
+    """Occurrences of adjacent lines with words that stand in more than one place, by plain counting."""
+    from collections import Counter
+
+    full = [[y for y in (t or "").split("\n") if y.strip()] for t in texts]
+    pairs = [p for x in full for p in zip(x, x[1:], strict=False)]
+    return sum(n - 1 for n in Counter(pairs).values() if n > 1)
+
+
+def test_line_dedup_recall_of_repeated_pairs(spark, sf):
+    """At least nine in ten of the repeated pairs of lines go, short passages of few words among them."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    shared = [[words(4, 5000 + 9 * p + k) for k in range(2 + p % 3)] for p in range(200)]
+    rows = [(i, "\n".join([words(5, 100 * i), *shared[i % 200], words(6, 100 * i + 1), *shared[(7 * i + 1) % 200]]), "s") for i in range(600)]
+    for case in ([t for _, t, _ in rows], texts):
+        out = [r["text"] for r in linededup.line_dedup(docs_of(spark, [(i, t, "s") for i, t in enumerate(case)])).collect()]
+        before, after = repeated_pairs(case), repeated_pairs(out)
+        assert before > 100 and after <= 0.1 * before, (before, after)
+        kept = {x for t in out for x in (t or "").split("\n")}
+        assert {x for t in case for x in (t or "").split("\n") if x.strip()} <= kept  # every line stays somewhere
+
+
+def test_line_dedup_compares_frequent_passages_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CHUNKS_PER_CELL", 7)
+    docs = docs_of(spark, [(i, f"{words(6, 1)}\n{words(7, 2)}\n{words(8, 3)}\n{words(5, 100 + i)}", "s") for i in range(60)])
+    out = {r["doc_id"]: r["text"].split("\n") for r in linededup.line_dedup(docs).collect()}
+    assert len(out[0]) == 4 and all(len(out[i]) == 1 for i in range(1, 60))
 
 
 def test_line_dedup_awkward_rows(spark, awkward):
@@ -127,6 +160,8 @@ def test_line_dedup_awkward_rows(spark, awkward):
     texts = {(r["doc_id"], r["source"]): r["text"] for r in out.collect()}
     assert texts[2, "a"] is None and texts[3, None] == "" and texts[1, "a"] == words(60, 1)
     assert texts[7, None] == ""  # the long line of document 1 again
+    clash = awkward.withColumns({c: F.lit(1) for c in ("rid2", "first", "cuts", "row", "new", "_cuts", "a.b")})
+    assert linededup.line_dedup(clash).columns == clash.columns and linededup.line_dedup(clash).count() == awkward.count()
     assert linededup.line_dedup(awkward.limit(0)).count() == 0
 
 
@@ -333,7 +368,45 @@ def test_licence_rules_in_order(spark, awkward):
     docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
     got = {r["doc_id"]: [x["licence"] for x in r["licences"]] for r in licences.licences(docs).collect()}
     assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: ["Proprietary"], 4: ["Proprietary"], 5: [], 6: [], 7: [], 8: ["CC-BY-NC-4.0", "MIT"]}
-    assert licences.licences(awkward).count() == awkward.count()
+    assert licences.licences(awkward).count() == awkward.count() and licences.licences(awkward.limit(0)).count() == 0
+    repeated = [r["licences"] for r in licences.licences(awkward).where("doc_id = 1").collect()]
+    assert len(repeated) == 2 and repeated[0] == repeated[1]
+    with pytest.raises(ValueError):
+        licences.licences(awkward.withColumn("licences", F.lit(1)))
+
+
+def test_licences_of_standard_notices():
+    """Standard notices, unwrapped, wrapped at 72 columns and as comments, each with its licence and nothing else."""
+    scanner = licences.Scanner()
+    wrong = []
+    for name, text in NOTICES.items():
+        paragraphs = text.split("\n\n")
+        wrapped = "\n\n".join(textwrap.fill(p, 72) for p in paragraphs)
+        for form in (text, wrapped, wrapped.upper(), "\n".join(f"# {x}".rstrip() for x in wrapped.split("\n")), f"Some prose before it\n{wrapped}\nand more behind it. Well."):
+            got = [x for x, _, _ in scanner.find(form)]
+            if got != [name.split(" ")[0]]:
+                wrong.append((name, got, form[:60]))
+    assert not wrong
+
+
+def test_known_sentences_equal_plain_search():
+    r = random.Random(12)
+    scanner, names = licences.Scanner(), licences.SENTENCES
+    for _ in range(150):
+        bits = [r.choice([words(r.randint(1, 5), r.random()), r.choice(list(names)), r.choice(["Ok.", "(the \"License\")", "\n\n", "\n"])]) for _ in range(r.randint(1, 8))]
+        text = r.choice([" ", ". "]).join(b.capitalize() for b in bits)
+        want = []
+        for k, sentence in enumerate(licences.sentences_of(text)):
+            w, at = licences.normalise(sentence).split(), 0
+            while at < len(w):
+                fits = [s.split() for s in names if w[at : at + len(s.split())] == s.split()]
+                if fits:
+                    best = max(fits, key=len)
+                    want.append((k, names[" ".join(best)]))
+                    at += len(best)
+                else:
+                    at += 1
+        assert scanner.known(text) == want
 
 
 def test_vectors_equal_brute_force(spark, sf):
