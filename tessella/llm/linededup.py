@@ -11,10 +11,9 @@ that goes stands, byte for byte, at an earlier place.
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, row_id, table
@@ -23,7 +22,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
 WINDOW, LONG_WORDS = 2, 50
-COARSE = 4  # one place in so many ends a coarse chunk
+COARSE = 8  # one place in so many ends a coarse chunk
 FINE = 16  # all places but one in so many end a fine chunk
 CHUNKS_PER_CELL = 20_000
 
@@ -53,66 +52,80 @@ def chunk_lines(lines: list[bytes], window: int = WINDOW, coarse: int = COARSE,
     return sorted(out)
 
 
+def _batch(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
-    """rid, rid2, doc_id, first, stop and the two halves of the hash (h, g) of every chunk."""
-    schema = "rid long, rid2 long, doc_id long, first int, stop int, h long, g long"
+    """rid, id, first, stop and the two halves of the hash (h, g) of every chunk."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def cut(batches):
         for batch in batches:
             out = []
-            for r, r2, d, text in zip(batch.column("rid").to_pylist(), batch.column("rid2").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for r, d, text in zip(batch.column("rid").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 lines = (text.as_py() or b"").split(b"\n")
                 for a, b in chunk_lines(lines):
                     x = xxhash.xxh3_128_intdigest(b"\n".join(lines[a:b]), 2)
-                    out.append((r, r2, d, a, b, (x >> 64) - (1 << 63), (x & MASK) - (1 << 63)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.replace(" long", "").replace(" int", "").split(", "))
+                    out.append((r, d, a, b, (x >> 64) - (1 << 63), (x & MASK) - (1 << 63)))
+            yield _batch(out, ["rid", "id", "first", "stop", "h", "g"], kinds)
 
-    return docs.mapInArrow(cut, schema)
+    return docs.mapInArrow(cut, "rid long, id long, first int, stop int, h long, g long")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """The bytes of the chunks listed in `wanted` (structs of first, stop, h, g, cells, keeper)."""
-    names = ["rid", "rid2", "first", "stop", "h", "g", "cells", "keeper", "chunk"]
+def _fetched(docs: DataFrame, text: str) -> DataFrame:
+    """The bytes of the chunks listed in `wanted`; a first occurrence is given to each of its cells."""
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    names = ["rid", "id", "first", "stop", "h", "g", "cell", "keeper", "chunk"]
 
     def fetch(batches):
         for batch in batches:
             out = []
-            for r, r2, wanted, text in zip(batch.column("rid").to_pylist(), batch.column("rid2").to_pylist(), batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
-                lines = text.as_py().split(b"\n")
-                out.extend((r, r2, w["first"], w["stop"], w["h"], w["g"], w["cells"], w["keeper"], b"\n".join(lines[w["first"] : w["stop"]])) for w in wanted)
-            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            texts = batch.column("row").field(text).cast(pa.binary())
+            for r, d, wanted, t in zip(batch.column("rid").to_pylist(), batch.column("id").to_pylist(), batch.column("wanted").to_pylist(), texts, strict=True):
+                lines = t.as_py().split(b"\n")
+                for w in wanted:
+                    cells = range(w["cells"]) if w["keeper"] else ((r ^ w["first"]) % w["cells"],)
+                    out.extend((r, d, w["first"], w["stop"], w["h"], w["g"], c, w["keeper"], b"\n".join(lines[w["first"] : w["stop"]])) for c in cells)
+            yield _batch(out, names, kinds)
+
+    return docs.mapInArrow(fetch, "rid long, id long, first int, stop int, h long, g long, cell int, keeper boolean, chunk binary")
 
-    return docs.mapInArrow(fetch, "rid long, rid2 long, first int, stop int, h long, g long, cells int, keeper boolean, chunk binary")
 
+def _cut(docs: DataFrame, text: str) -> DataFrame:
+    """row, the text without the lines in `cuts`, and the numbers of chunks and lines removed."""
+
+    def cut(batches):
+        for batch in batches:
+            texts, chunks, lines = [], [], []
+            for t, cuts in zip(batch.column("row").field(text), batch.column("cuts").to_pylist(), strict=True):
+                t = t.as_py()
+                gone = {i for c in cuts or () for i in range(c["first"], c["stop"])}
+                texts.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t)
+                chunks.append(len(cuts or ()))
+                lines.append(len(gone))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(chunks, pa.int32()), pa.array(lines, pa.int32())], ["row", "new", "chunks", "lines"])
 
-def _identity(doc_id: str, text: str) -> list:
-    """rid and rid2: a 128-bit identity of a row from its id and text."""
-    return [row_id(doc_id, text).alias("rid"), F.xxhash64(F.lit(7), F.col(doc_id), F.col(text)).alias("rid2")]
+    return docs.mapInArrow(cut, docs.select("row").schema.add("new", "string").add("chunks", "integer").add("lines", "integer"))
 
 
-def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """rid and rid2 (identity of id and text), first and stop line of every chunk to remove.
+def repeated_chunks(whole: DataFrame, text: str) -> DataFrame:
+    """rid, id, first and stop line of every chunk to remove from `whole` (rid, id, row).
 
     The first occurrence by id, then row identity, then line, stays. Rows that agree in id and text are
     one document: their chunks are kept or removed alike. Null and empty texts have no chunks. A chunk that occurs
     very often is compared in cells of about CHUNKS_PER_CELL, each with its own copy of the first occurrence.
     """
-    narrow = docs.select(*_identity(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    chunks = materialize(_chunks(narrow), "line-chunks")
-    again = chunks.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "rid2", "first")).alias("k")).where("n > 1")
-    again = again.select("h", "g", F.ceil(F.col("n") / CHUNKS_PER_CELL).cast("int").alias("cells"), F.struct("k.rid", "k.rid2", "k.first").alias("k"))
-    found = chunks.select("rid", "rid2", "first", "stop", "h", "g").distinct().join(again, ["h", "g"])
-    wanted = F.struct("first", "stop", "h", "g", "cells", F.struct("rid", "rid2", "first").eqNullSafe(F.col("k")).alias("keeper"))
-    lists = found.groupBy("rid", "rid2").agg(F.collect_list(wanted).alias("wanted"))  # no longer than the document
-    once = narrow.select("rid", "rid2", "text").join(lists, ["rid", "rid2"]).dropDuplicates(["rid", "rid2"])
-    texts = materialize(_texts(once), "line-texts")
-    first = texts.where("keeper").select("h", "g", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("chunk").alias("kept"))
-    others = texts.where("not keeper").withColumn("cell", F.pmod(F.xxhash64("rid", "first"), F.col("cells")).cast("int"))
-    return others.join(first, ["h", "g", "cell"]).where("chunk = kept").select("rid", "rid2", "first", "stop")
+    chunks = materialize(_chunks(whole.select("rid", "id", F.col("row").getField(text).cast("binary").alias("text"))), "line-chunks")
+    again = chunks.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "rid", "first")).alias("k")).where("n > 1")
+    again = again.select("h", "g", F.ceil(F.col("n") / CHUNKS_PER_CELL).cast("int").alias("cells"), "k")
+    found = chunks.join(again, ["h", "g"])
+    wanted = F.struct("first", "stop", "h", "g", "cells", (F.struct("id", "rid", "first") == F.col("k")).alias("keeper"))
+    lists = found.groupBy("rid", "id").agg(F.collect_set(wanted).alias("wanted"))  # no longer than the document
+    fetched = _fetched(whole.join(lists, ["rid", "id"]).select("rid", "id", "row", "wanted"), text)
+    kept = F.max(F.when(F.col("keeper"), F.col("chunk"))).over(Window.partitionBy("h", "g", "cell"))
+    return fetched.withColumn("kept", kept).where("not keeper and chunk = kept").select("rid", "id", "first", "stop")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, report: bool = False) -> DataFrame:
@@ -122,30 +135,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
     given, names a column that is set to the new length. With `report`, `removed_chunks` and
     `removed_lines` are added. Columns may have any names. An empty table gives an empty result.
     """
-    cuts = repeated_chunks(docs, doc_id, text).groupBy("rid", "rid2").agg(F.collect_list(F.struct("first", "stop")).alias("cuts"))
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = []
-        for t, cut in zip(texts, cuts, strict=True):
-            if t is None or cut is None:
-                out.append(None)
-                continue
-            lines, gone = t.split("\n"), set()
-            for c in cut:
-                gone.update(range(c["first"], c["stop"]))
-            out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
-        return pd.Series(out, dtype=object)
-
-    whole = docs.select(*_identity(doc_id, text), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    old = F.col("row").getField(text)
-    joined = whole.join(cuts, ["rid", "rid2"], "left")
-    cut = F.col("cuts").isNotNull()
-    joined = joined.select("row", "cuts", F.when(cut, without(F.when(cut, old), F.col("cuts"))).otherwise(old).alias("new"))
+    # Id and hash tell rows apart; both uses below read this one exchange of the texts.
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    whole = docs.select(row_id(doc_id, text).alias("rid"), number.alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cuts = repeated_chunks(whole, text).groupBy("rid", "id").agg(F.collect_set(F.struct("first", "stop")).alias("cuts"))
+    done = _cut(whole.join(cuts, ["rid", "id"], "left").select("rid", "id", "row", "cuts"), text)
     cols = [F.col("new").alias(c) if c == text else F.length("new").cast("long").alias(c) if c == n_chars else F.col("row").getField(c).alias(c) for c in docs.columns]
-    if report:
-        cols += [F.coalesce(F.size("cuts"), F.lit(0)).alias("removed_chunks"), F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["first"], c["stop"] - 1))))), F.lit(0)).alias("removed_lines")]
-    return joined.select(*cols)
+    return done.select(*cols, *([F.col("chunks").alias("removed_chunks"), F.col("lines").alias("removed_lines")] if report else []))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
