@@ -24,7 +24,7 @@ MIX = 0xD6E8FEB86659FD93
 WINDOW, LONG_WORDS = 2, 50
 COARSE = 8  # one place in so many ends a coarse chunk
 FINE = 16  # all places but one in so many end a fine chunk
-CHUNKS_PER_CELL = 20_000
+CHUNKS_PER_CELL = 500
 
 
 def chunk_lines(lines: list[bytes], window: int = WINDOW, coarse: int = COARSE, fine: int = FINE, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:

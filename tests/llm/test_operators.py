@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -317,22 +318,91 @@ def test_mixing_prefers_heavier_documents(spark):
     assert sum(r["doc_id"] % 2 == 0 for r in rest) > 0.6 * len(rest)
 
 
+def slow_clause(tokens):
+    """Matched and loose weight of a clause by the definitions, looking both ways from every offence."""
+    classes = [c for c, _ in tokens]
+    plain = [k for k, c in enumerate(classes) if c != "q"]  # distances count words
+    place = {k: j for j, k in enumerate(plain)}
+    if "r" in classes:
+        last = len(classes) - 1 - classes[::-1].index("r")
+        classes = ["o"] * (last + 1) + ["o" if c in "ih" else c for c in classes[last + 1 :]]
+    words = [classes[k] for k in plain]
+
+    def struck(k):
+        j = place[k]
+        quoted = classes[:k].count("q") % 2 == 1
+        return quoted or "n" in words[max(0, j - 3) : j] or (j > 0 and words[j - 1] == "m")
+
+    live = [k for k, c in enumerate(classes) if c in "ih" and not struck(k)]
+    matched = loose = 0.0
+    for k in live:
+        j = place[k]
+        if classes[k] == "i":
+            aimed = "t" in words[:j] or "d" in words[max(0, j - 3) : j] or "t" in words[j:]
+            matched, loose = matched + aimed * tokens[k][1], loose + (not aimed) * tokens[k][1]
+    chains = []
+    for k in (k for k in live if classes[k] == "h"):
+        j = place[k]
+        if chains and j - chains[-1][-1] <= 4 and "t" not in words[chains[-1][-1] : j]:
+            chains[-1].append(j)
+        else:
+            chains.append([j])
+    for chain in chains:
+        if "t" in words[chain[-1] + 1 : chain[-1] + 5]:
+            matched += max(tokens[plain[j]][1] for j in chain)
+    return matched, loose
+
+
+def test_toxicity_grammar_equals_plain_parser():
+    r, scorer = random.Random(3), toxicity.Scorer({"x": ("i", 1.0)})
+    for _ in range(3000):
+        tokens = [(c, r.choice([1.0, 2.0, 3.0]) if c in "ih" else 0.0) for c in r.choices("oooiihhttdnrmq", [3, 3, 3, 2, 2, 2, 2, 1, 1, 1, 1, 0.4, 1, 1], k=r.randint(1, 14))]
+        assert scorer.clause(tokens) == pytest.approx(slow_clause(tokens)), tokens
+
+
 def test_toxicity_grammar_scores_clauses():
-    machine = toxicity.grammar()
+    s = toxicity.Scorer({"idiot": ("i", 3.0), "lowe*": ("i", 2.0), "kill": ("h", 3.0)})
+    assert s.features("you are an idiot. nice day") == (3.0, 3.0, 1.0, 0.0, 0.0)
+    assert s.features("Idiot, that is what you are!")[0] == 3.0 and s.features("That idiot again")[0] == 3.0
+    assert s.features("he is not an Idiot")[0] == 0 and s.features("idiotic methods")[0] == 0
+    assert s.features("the word idiot is in the dictionary") == (0, 0, 0, 0, 0)
+    assert s.features('he wrote "you idiot" to her') == (0, 0, 0, 0, 0) and s.features("you are an idiot, she said") == (0, 0, 0, 0, 0)
+    assert s.features("I will kill you")[0] == 3.0 and s.features("kill the lights") == (0, 0, 0, 0, 0)
+    assert s.features("an idiot walked by; some idiot") == (0, 0, 0, 6.0, 2.0)
+    assert s.features("der loweihr kam")[3] == 2.0 and s.features("flowers") == (0, 0, 0, 0, 0) and s.features(None) == (0, 0, 0, 0, 0)
+
+
+class NoGrammar:
+    """What is left without the grammar: every listed word counts."""
+
+    start = 0
+    table = {(0, c): (0, "A" if c in "ih" else "o") for c in "oihtdnrmq"}
+
+
+def test_toxicity_grammar_decides_for_the_better(spark):
+    """Without the grammar, documents that quote, deny or mention offences are rejected; with it they stay."""
+    bad = ["you are a {}", "{}, that is what they are", "those {} people", "we will {} you"]
+    good = ["he is not a {}", "she said they are {}", 'the sign read "you {}"', "the word {} is rude", "do not {} them", "according to him you are a {}"]
+    cases = [(f.format(w), 1) for f in bad for w in (toxicity.THREATS if "will" in f else toxicity.INSULTS)] + [(f.format(w), 0) for f in good for w in (toxicity.THREATS if "do not" in f else toxicity.INSULTS)]
+    docs = docs_of(spark, [(i, f"{words(12, i)}. {t}. {words(9, i + 1)}.", "s") for i, (t, _) in enumerate(cases)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, none).collect()}
+    right = sum((scores[i] >= toxicity.THRESHOLD) == bool(y) for i, (_, y) in enumerate(cases))
+    plain = toxicity.Scorer(toxicity.seed_lexicon(), NoGrammar())
+    value = lambda t: 1 / (1 + np.exp(-(toxicity.CURVE[0] + np.dot(toxicity.CURVE[1:], np.log1p(plain.features(t))))))
+    right_without = sum((value(t) >= toxicity.THRESHOLD) == bool(y) for t, y in cases)
+    assert right == len(cases) and right_without < 0.6 * len(cases)
 
-    def weight(symbols):
-        state, out = machine.start, []
-        for s in symbols:
-            state, _, w = machine.table[state, s]
-            out.append(w)
-        return out[-1]
 
-    assert weight("oi") == 1.0 and weight("ti") == 1.5 and weight("noi") == 0.2 and weight("nooooi") == 1.0
-    assert weight("ri") == 0.4 and abs(weight("rnti") - 0.4 * 0.2 * 1.5) < 1e-12 and weight("o") == 0.0
-    s = toxicity.Scorer({"idiot": ("i", 3.0), "lowe*": ("i", 2.0)})
-    assert s.features("you are an idiot. nice day")[0] == 4.5
-    assert s.features("he is not an Idiot")[0] == pytest.approx(0.9) and s.features("idiotic methods")[0] == 0
-    assert s.features("der loweihr kam")[0] == 2.0 and s.features("flowers") == (0, 0, 0) and s.features(None) == (0, 0, 0)
+def test_toxicity_takes_linear_time():
+    s = toxicity.Scorer(toxicity.seed_lexicon())
+    text = "some idiot words here "
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        s.features(text * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -356,10 +426,13 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_toxicity_awkward_rows(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    out = toxicity.toxicity(awkward.drop("score"), none)
-    assert out.count() == awkward.count()
-    assert toxicity.reject_toxic(awkward, none).columns == awkward.columns
-    assert toxicity.toxicity(awkward.drop("score").limit(0), none).count() == 0
+    out = toxicity.toxicity(awkward, none, out="tox")
+    assert out.count() == awkward.count() and out.columns == [*awkward.columns, "tox"]
+    with pytest.raises(ValueError):
+        toxicity.toxicity(awkward, none)
+    kept = toxicity.reject_toxic(awkward.withColumn("_score", F.lit(1)), none)
+    assert kept.columns == [*awkward.columns, "_score"] and kept.count() == awkward.count()
+    assert toxicity.toxicity(awkward.limit(0), none, out="tox").count() == 0
 
 
 def test_licence_rules_in_order(spark, awkward):
