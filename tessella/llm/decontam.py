@@ -1,21 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of documents and benchmark items are TF-IDF vectors over the benchmark's own vocabulary. One
-distributed pass counts in how many passages each term stands; a second one sketches the Gram matrix of all
+Passages of documents and benchmark items are TF-IDF vectors over the benchmark's terms, hashed into BUCKETS buckets.
+One distributed pass counts in how many passages each bucket stands; a second one sketches the Gram matrix of all
 passages with a random test matrix, from which the leading right singular vectors follow (the single-pass
 randomised factorisation of a positive semi-definite matrix). The last pass projects overlapping passages of
 every document into the latent space, takes the items whose cosine is high enough as candidates, and checks
-each by the longest common subsequence of words, for the whole item and for its answer part. The model is a
-matrix of (terms of at most ITEMS_AT_ONCE items) x RANK numbers; larger benchmarks are taken in blocks.
+each by the longest common subsequence of words, for the whole item and for its answer part. Items of fewer than
+SHORT words have no passages: they are found where their words stand in a row. The space is one for all items, of
+at most BUCKETS x RANK numbers; the search takes items in blocks of about WORDS_AT_ONCE words, which changes no result.
 """
 
 from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +26,16 @@ from .common import table
 
 PASSAGE = 32  # words of a passage that is counted and sketched
 STRIDE = 16  # words between the passages that are searched
+BUCKETS = 1 << 15
 RANK, OVERSAMPLING, SEED = 96, 16, 11
 MAX_DF = 0.005  # terms in a larger share of the passages carry no weight, unless an item has few others
-MIN_TERMS = 3  # weighted terms that every item keeps, and that a passage must hold
+MIN_TERMS = 3  # weighted terms that every item keeps
+SHORT = 5
 MIN_COSINE = 0.2
-MIN_TERM_SHARE = 0.5  # of an item's weighted terms, in the whole document
 MIN_LCS, SURE_LCS, MIN_ANSWER = 0.6, 0.8, 0.6
-ITEMS_AT_ONCE = 2000
+WORDS_AT_ONCE = 400_000
 FAN_IN, LEVELS = 64, 4  # up to 64^4 tasks
-MAX_ITEM_WORDS = 2000
+CACHED_WORDS = 1 << 20
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -46,13 +50,18 @@ def answer_of(item: str) -> list[str]:
     return next((p for p in reversed(parts) if len(p) >= 3), words_of(item))
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one machine word operation per word of b."""
-    where: dict[str, int] = {}
+def masks_of(a: list) -> dict:
+    """The positions of every word of a, as bits."""
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
+    return where
+
+
+def lcs_length(a: list, b: list, where: dict | None = None) -> int:
+    """Length of the longest common subsequence, one machine word operation per word of b."""
+    where = masks_of(a) if where is None else where
+    v = full = (1 << len(a)) - 1
     for w in b:
         m = where.get(w)
         if m:
@@ -61,16 +70,32 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def bucket_of(word: str) -> int:
+    return xxhash.xxh32_intdigest(word, SEED) % BUCKETS
+
+
 class Vocabulary:
-    """The terms of a block of items, by number."""
+    """The buckets of the benchmark's terms, numbered; words of other buckets have the number -1."""
+
+    def __init__(self, buckets: list[int]):
+        self.size = len(buckets)
+        self.number = np.full(BUCKETS, -1, np.int32)
+        self.number[sorted(buckets)] = np.arange(len(buckets), dtype=np.int32)
+        self.seen: dict[str, int] = {}
 
-    def __init__(self, items: list[list[str]]):
-        self.ids = {w: i for i, w in enumerate(sorted({w for item in items for w in item}))}
-        self.size = len(self.ids)
+    def __getstate__(self):
+        return self.__dict__ | {"seen": {}}
 
     def encode(self, words: list[str]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        seen, out = self.seen, np.empty(len(words), np.int32)
+        if len(seen) > CACHED_WORDS:
+            seen.clear()
+        for i, w in enumerate(words):
+            n = seen.get(w)
+            if n is None:
+                n = seen[w] = int(self.number[bucket_of(w)])
+            out[i] = n
+        return out
 
 
 def _passage_terms(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +121,7 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(df[hit])], ["term", "n"])
 
-    rows = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one row per benchmark term
+    rows = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
     df = np.zeros(vocabulary.size + 1, np.int64)
     for r in rows:
         df[r["term"]] = r["n"]
@@ -182,86 +207,124 @@ def latent_space(y: np.ndarray, rank: int) -> np.ndarray:
 class Matcher:
     """Finds the items of a block in a text."""
 
-    def __init__(self, item_ids, items, vocabulary, idf, basis):
-        self.item_ids, self.items, self.vocabulary = item_ids, [words_of(t) for t in items], vocabulary
-        self.answers = [answer_of(t) for t in items]
-        self.rows = (basis * idf[:, None]).astype(np.float32)  # latent image of one occurrence of a term
-        self.weighted = idf > 0
-        self.terms = np.zeros((len(items), vocabulary.size), bool)
-        for k, words in enumerate(self.items):
-            self.terms[k, vocabulary.encode(words)] = True
-        self.terms &= self.weighted
-        self.needed = np.ceil(MIN_TERM_SHARE * self.terms.sum(1))
-        parts, owner = [], []
-        for k, words in enumerate(self.items):
-            codes = vocabulary.encode(words)
-            for i in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE):
-                parts.append(self.rows[codes[i : i + 2 * PASSAGE]].sum(0))
+    def __init__(self, item_ids, items: list[str], vocabulary: Vocabulary, idf, basis):
+        self.item_ids = item_ids
+        items_words = [words_of(t) for t in items]
+        self.ids = {w: i for i, w in enumerate(sorted({w for words in items_words for w in words}))}
+        number = vocabulary.encode(list(self.ids))
+        self.rows = (basis * idf[:, None]).astype(np.float32)[number]  # latent image of one occurrence of a word
+        self.weighted = idf[number] > 0
+        code = lambda words: [self.ids[w] for w in words]
+        self.items, self.answers = [code(w) for w in items_words], [code(answer_of(t)) for t in items]
+        self.masks, self.answer_masks = [masks_of(x) for x in self.items], [masks_of(x) for x in self.answers]
+        self.short = None
+        parts, owner = [np.zeros((0, self.rows.shape[1]), np.float32)], []
+        for k, codes in enumerate(self.items):
+            if len(codes) < SHORT:
+                self.short = self.short or ahocorasick.Automaton()
+                key = f" {' '.join(items_words[k])} "
+                self.short.add_word(key, (len(key), [*(self.short.get(key, (0, []))[1]), k]))
+                continue
+            for i in range(0, max(1, len(codes) - PASSAGE // 2), PASSAGE):
+                parts.append(self.rows[codes[i : i + 2 * PASSAGE]].sum(0, keepdims=True))
                 owner.append(k)
-        q = np.array(parts, np.float32).reshape(len(parts), -1)
+        if self.short:
+            self.short.make_automaton()
+        q = np.concatenate(parts)
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]
-        self.owner = np.array(owner)
+        self.owner = np.array(owner, np.int64)
+
+    def windows(self, codes: np.ndarray):
+        """Start and latent vector, normed, of the passages that hold a weighted word, some at a time."""
+        at = np.flatnonzero(codes >= 0)
+        at = at[self.weighted[codes[at]]]
+        if not len(at):
+            return
+        sums = np.vstack([np.zeros((1, self.rows.shape[1])), np.cumsum(self.rows[codes[at]], axis=0, dtype=float)])
+        starts = np.arange(0, max(1, len(codes) - PASSAGE + STRIDE), STRIDE)
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
+        starts, lo, hi = starts[hi > lo], lo[hi > lo], hi[hi > lo]
+        for i in range(0, len(starts), 1024):
+            v = (sums[hi[i : i + 1024]] - sums[lo[i : i + 1024]]).astype(np.float32)
+            yield starts[i : i + 1024], v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
+
+    def check(self, k: int, start: int, codes: list[int]) -> tuple[float, float] | None:
+        """Shares of item and answer that stand in order around a passage, if they suffice."""
+        item, masks = self.items[k], self.masks[k]
+        area = [c for c in codes[max(0, start - len(item)) : start + PASSAGE + len(item)] if c in masks]
+        least = MIN_LCS * len(item) - 1e-9
+        if len(area) < least or sum(masks[c].bit_count() for c in set(area)) < least:
+            return None
+        share = lcs_length(item, area, masks) / len(item)
+        if share < MIN_LCS:
+            return None
+        area = codes[max(0, start - len(item)) : start + PASSAGE + len(item)]
+        answer = lcs_length(self.answers[k], area, self.answer_masks[k]) / len(self.answers[k])
+        return (share, answer) if share >= SURE_LCS or answer >= MIN_ANSWER else None
 
     def find(self, text: str | None) -> list[tuple[int, int, float, float, float]]:
         """(item number, first word of the passage, cosine, share of the item, share of its answer) of every match."""
         words = words_of(text)
-        codes = self.vocabulary.encode(words)
-        at = np.flatnonzero((codes >= 0) & self.weighted[codes])
-        if len(at) < MIN_TERMS:
-            return []
-        possible = self.terms[:, np.unique(codes[at])].sum(1) >= self.needed
-        wanted = np.flatnonzero(possible[self.owner])
-        if not len(wanted):
-            return []
-        queries = self.queries[wanted]
-        sums = np.vstack([np.zeros((1, self.rows.shape[1]), np.float32), np.cumsum(self.rows[codes[at]], axis=0, dtype=np.float32)])
-        starts = np.arange(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE)
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
-        some = hi - lo >= MIN_TERMS
-        starts, lo, hi = starts[some], lo[some], hi[some]
         best: dict[int, tuple[int, int, float, float, float]] = {}
-        for i in range(0, len(starts), 4096):
-            v = sums[hi[i : i + 4096]] - sums[lo[i : i + 4096]]
-            cosine = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]) @ queries.T
+        if self.short and words:
+            joined = f" {' '.join(words)} "
+            for end, (n, ks) in self.short.iter(joined):
+                for k in ks:
+                    best.setdefault(k, (k, joined.count(" ", 0, end + 1 - n), 1.0, 1.0, 1.0))
+        get = self.ids.get
+        codes = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        listed = None
+        for starts, v in self.windows(codes) if len(self.owner) else ():
+            cosine = v @ self.queries.T
             for r, q in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
-                k, start = int(self.owner[wanted[q]]), int(starts[i + r])
-                item = self.items[k]
-                area = words[max(0, start - len(item)) : start + PASSAGE + len(item)]
-                share = lcs_length(item, area) / len(item)
-                if share < MIN_LCS or k in best and best[k][3] >= share:
+                k = int(self.owner[q])
+                if k in best and best[k][3] == 1.0:
                     continue
-                answer = lcs_length(self.answers[k], area) / len(self.answers[k])
-                if share >= SURE_LCS or answer >= MIN_ANSWER:
-                    best[k] = k, start, float(cosine[r, q]), share, answer
+                listed = codes.tolist() if listed is None else listed
+                found = self.check(k, int(starts[r]), listed)
+                if found and (k not in best or best[k][3] < found[0]):
+                    best[k] = k, int(starts[r]), float(cosine[r, q]), *found
         return list(best.values())
 
 
+def _item_buckets(items: DataFrame, vocabulary: Vocabulary | None = None, df: np.ndarray | None = None, limit: float = 0.0) -> list[int]:
+    """Buckets of all items' words; with frequencies: those of the MIN_TERMS rarest words of each item, by number."""
+
+    def read(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for text in batch.column("text"):
+                words = set(words_of(text.as_py()))
+                if df is None:
+                    seen.update(map(bucket_of, words))
+                else:
+                    codes = np.unique(vocabulary.encode(list(words)))
+                    seen.update(codes[np.argsort(df[codes], kind="stable")[:MIN_TERMS]].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["bucket"])
+
+    return [r["bucket"] for r in items.select("text").mapInArrow(read, "bucket long").distinct().collect()]  # BUCKETS rows at most
+
+
 def _matchers(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str):
-    """One matcher per block of at most ITEMS_AT_ONCE items; nothing for an empty benchmark."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.substring_index(F.trim(F.regexp_replace(text, r"\s+", " ")), " ", MAX_ITEM_WORDS).alias("text"))
-    items = items.where("item_id is not null and text <> ''").dropDuplicates(["item_id", "text"])
-    blocks = -(-items.count() // ITEMS_AT_ONCE)
-    full = docs.select("text")
+    """One matcher per block of about WORDS_AT_ONCE words of items; nothing for an empty benchmark."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null").dropDuplicates(["item_id", "text"])
+    items = items.withColumn("n", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).where("n > 0")
+    words = items.agg(F.sum("n")).first()[0]
+    if not words:
+        return
+    passages_of = docs.select("text").unionByName(items.select("text"))  # the items are passages too
+    vocabulary = Vocabulary(_item_buckets(items))
+    df, passages = document_frequencies(passages_of, vocabulary)
+    rare = df <= MAX_DF * passages
+    rare[_item_buckets(items, vocabulary, df)] = True
+    idf = np.where(rare, np.log((2 + passages) / (1 + df)), 0.0)
+    width = min(RANK + OVERSAMPLING, vocabulary.size)
+    basis = latent_space(_sketch(passages_of, vocabulary, idf, width), min(RANK, width))
+    blocks = -(-words // WORDS_AT_ONCE)
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about ITEMS_AT_ONCE
-        if not rows:
-            continue
-        texts = [r["text"] for r in rows]
-        vocabulary = Vocabulary([words_of(t) for t in texts])
-        df, passages = document_frequencies(full, vocabulary)
-        rare = df <= MAX_DF * passages
-        for t in texts:
-            codes = np.unique(vocabulary.encode(words_of(t)))
-            rare[codes[np.argsort(df[codes], kind="stable")[:MIN_TERMS]]] = True
-        idf = np.where(rare, np.log((2 + passages) / (1 + df)), 0.0)
-        width = min(RANK + OVERSAMPLING, vocabulary.size)
-        y = _sketch(full, vocabulary, idf, width)
-        for t in texts:  # the items are passages too
-            p, terms, n = _passage_terms(vocabulary.encode(words_of(t)))
-            keep = idf[terms] > 0
-            omega = np.random.default_rng(SEED).standard_normal(y.shape).astype(np.float32)
-            _add(y, omega, [p[keep]], [terms[keep]], [n[keep] * idf[terms[keep]]])
-        yield Matcher([r["item_id"] for r in rows], texts, vocabulary, idf, latent_space(y, min(RANK, width)))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about WORDS_AT_ONCE words
+        if rows:
+            yield Matcher([r["item_id"] for r in rows], [r["text"] for r in rows], vocabulary, idf, basis)
 
 
 def _found(matcher: Matcher):
@@ -281,8 +344,9 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "
     """doc_id, item_id, start (word number), cosine, lcs and answer of every item that a document holds.
 
     A candidate counts if a subsequence of at least SURE_LCS of the item's words stands near the passage, or at
-    least MIN_LCS of them and MIN_ANSWER of its answer part. Null and empty texts hold nothing; null and empty
-    items are never found; repeated rows repeat their matches; empty tables give an empty result.
+    least MIN_LCS of them and MIN_ANSWER of its answer part; an item of fewer than SHORT words if they stand in a row.
+    Null and empty texts hold nothing; null and empty items are never found; repeated rows repeat their matches, repeated
+    items count once; extra columns are not read; empty tables give an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
@@ -294,11 +358,15 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without the documents that hold a benchmark item."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """`docs` without the documents that hold a benchmark item, as `contaminated_passages` finds them.
+
+    Null and empty texts stay; repeated rows stay or go together; columns may have any names; an empty benchmark
+    leaves all documents.
+    """
     out = docs
-    for matcher in _matchers(docs.select(F.col(text).alias("text")), benchmark, "item_id", "text"):
-        out = out.withColumn("_hits", _found(matcher)(F.col(text))).where(F.size("_hits") == 0).drop("_hits")
+    for matcher in _matchers(docs.select(F.col(text).alias("text")), benchmark, item_id, "text"):
+        out = out.where(F.size(_found(matcher)(F.col(text))) == 0)
     return out
 
 

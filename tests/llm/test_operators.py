@@ -187,6 +187,63 @@ def test_decontamination_finds_planted_items(spark):
     assert decontam.contaminated_passages(docs.limit(0), benchmark).count() == 0
 
 
+def slow_matches(text, items):
+    """Items whose words stand in order around any passage of a text: every passage against every item."""
+    w, found = decontam.words_of(text), set()
+    for k, item in items:
+        x, answer = decontam.words_of(item), decontam.answer_of(item or "")
+        if not x:
+            continue
+        if len(x) < decontam.SHORT:
+            if f" {' '.join(x)} " in f" {' '.join(w)} ":
+                found.add(k)
+            continue
+        for start in range(0, max(1, len(w) - decontam.PASSAGE + decontam.STRIDE), decontam.STRIDE):
+            area = w[max(0, start - len(x)) : start + decontam.PASSAGE + len(x)]
+            share = decontam.lcs_length(x, area) / len(x)
+            if share >= decontam.SURE_LCS or share >= decontam.MIN_LCS and decontam.lcs_length(answer, area) >= decontam.MIN_ANSWER * len(answer):
+                found.add(k)
+    return found
+
+
+@pytest.mark.parametrize("at_once", [400_000, 300])
+def test_decontamination_equals_brute_force(spark, monkeypatch, at_once):
+    """Verbatim, paraphrased, long and short items: all that a search without vectors finds, in one block or in many."""
+    monkeypatch.setattr(decontam, "WORDS_AT_ONCE", at_once)
+    r = random.Random(21)
+    common = "the of and to in is for on with as at by it from".split()
+    rare = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4))
+    item = lambda n: " ".join(rare() if r.random() < 0.3 else r.choice(common) for _ in range(n))
+    items = [(k, item(20) + ". " + item(9) + ".") for k in range(25)] + [(30, item(2600)), (31, "yes"), (32, "quite certain"), (33, None), (34, " "), (0, None)]
+    prose = lambda n: " ".join(rare() if r.random() < 0.5 else r.choice(common) for _ in range(n))
+
+    def reworded(text):  # most of the rare words go, the frequent ones stay
+        left = [w for w in text.split() if w.rstrip(".") not in common]
+        gone = set(r.sample(left, int(0.6 * len(left))))
+        return " ".join(rare() if w in gone else w for w in text.split())
+
+    texts = {i: f"{prose(120)} {items[i][1]} {prose(80)}" for i in range(12)}
+    texts |= {i: f"{prose(90)} {reworded(items[i][1])} {prose(70)}" for i in range(12, 25)}
+    texts |= {30: f"{prose(20)} {items[25][1]} {prose(30)}", 31: f"{prose(30)} yes {prose(5)}", 32: "quite certain", 33: "quite often certain", 40: None, 41: "", 42: items[3][1]}
+    texts |= {50 + i: prose(200) for i in range(40)}
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()]).withColumns({"_hits": F.lit(1), "m": F.lit(2)})
+    benchmark = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated_passages(docs, benchmark).collect()}
+    want = {(i, k) for i, t in texts.items() for k in slow_matches(t, items)}
+    assert got == want and {(i, i) for i in range(12)} | {(30, 30), (31, 31), (32, 32), (42, 3)} <= got and (33, 32) not in got
+    assert len({(i, i) for i in range(12, 25)} & got) >= 8
+    kept = decontam.decontaminate(docs, benchmark)
+    assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == set(texts) - {i for i, _ in want}
+
+
+def test_decontamination_awkward_rows(spark, awkward):
+    benchmark = spark.createDataFrame([(1, words(60, 1)), (2, "nothing of the kind at all here")], "item_id long, text string")
+    found = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated_passages(awkward, benchmark).collect()]
+    assert sorted(found) == [(1, 1), (1, 1), (7, 1)]
+    kept = decontam.decontaminate(awkward, benchmark)
+    assert kept.columns == awkward.columns and kept.count() == awkward.count() - 3
+
+
 def test_lcs_and_latent_space_against_plain_forms():
     r = random.Random(1)
     for _ in range(30):
