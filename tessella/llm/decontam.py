@@ -13,6 +13,7 @@ at most BUCKETS x RANK numbers; the search takes items in blocks of about WORDS_
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -74,6 +75,17 @@ def bucket_of(word: str) -> int:
     return xxhash.xxh32_intdigest(word, SEED) % BUCKETS
 
 
+class _Numbers(dict):
+    """Word -> number of its bucket, worked out when first asked for."""
+
+    def __init__(self, number: np.ndarray):
+        self.number = number
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = int(self.number[bucket_of(word)])
+        return n
+
+
 class Vocabulary:
     """The buckets of the benchmark's terms, numbered; words of other buckets have the number -1."""
 
@@ -81,21 +93,15 @@ class Vocabulary:
         self.size = len(buckets)
         self.number = np.full(BUCKETS, -1, np.int32)
         self.number[sorted(buckets)] = np.arange(len(buckets), dtype=np.int32)
-        self.seen: dict[str, int] = {}
+        self.seen = None
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": None}
 
     def encode(self, words: list[str]) -> np.ndarray:
-        seen, out = self.seen, np.empty(len(words), np.int32)
-        if len(seen) > CACHED_WORDS:
-            seen.clear()
-        for i, w in enumerate(words):
-            n = seen.get(w)
-            if n is None:
-                n = seen[w] = int(self.number[bucket_of(w)])
-            out[i] = n
-        return out
+        if self.seen is None or len(self.seen) > CACHED_WORDS:
+            self.seen = _Numbers(self.number)
+        return np.fromiter(map(self.seen.__getitem__, words), np.int32, len(words))
 
 
 def _passage_terms(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,16 +236,18 @@ class Matcher:
                 owner.append(k)
         if self.short:
             self.short.make_automaton()
+        # Which items hold each weighted word, and how many of these words an item's least subsequence must hold.
+        pairs = sorted({(c, k) for k, codes in enumerate(self.items) for c in codes if self.weighted[c]})
+        self.holders = np.array([k for _, k in pairs], np.int64)
+        self.held = np.searchsorted(np.array([c for c, _ in pairs], np.int64), np.arange(len(self.ids) + 1))
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.needed = np.ceil(MIN_LCS * self.sizes - 1e-9) - np.array([sum(not self.weighted[c] for c in x) for x in self.items])
         q = np.concatenate(parts)
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]
         self.owner = np.array(owner, np.int64)
 
-    def windows(self, codes: np.ndarray):
-        """Start and latent vector, normed, of the passages that hold a weighted word, some at a time."""
-        at = np.flatnonzero(codes >= 0)
-        at = at[self.weighted[codes[at]]]
-        if not len(at):
-            return
+    def windows(self, codes: np.ndarray, at: np.ndarray):
+        """Start and latent vector, normed, of the passages that hold a weighted word (these stand `at`), some at a time."""
         sums = np.vstack([np.zeros((1, self.rows.shape[1])), np.cumsum(self.rows[codes[at]], axis=0, dtype=float)])
         starts = np.arange(0, max(1, len(codes) - PASSAGE + STRIDE), STRIDE)
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
@@ -248,6 +256,15 @@ class Matcher:
             v = (sums[hi[i : i + 1024]] - sums[lo[i : i + 1024]]).astype(np.float32)
             yield starts[i : i + 1024], v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
 
+    def possible(self, codes: np.ndarray, at: np.ndarray, ks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which candidates have as many of the item's weighted words around the passage as its least subsequence must hold."""
+        first, n = self.held[codes[at]], np.diff(self.held)[codes[at]]
+        ends = np.cumsum(n)
+        item = self.holders[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.sort(item << 32 | np.repeat(at, n))
+        lo, hi = np.maximum(starts - self.sizes[ks], 0), starts + PASSAGE + self.sizes[ks]
+        return np.searchsorted(place, ks << 32 | hi) - np.searchsorted(place, ks << 32 | lo) >= self.needed[ks]
+
     def check(self, k: int, start: int, codes: list[int]) -> tuple[float, float] | None:
         """Shares of item and answer that stand in order around a passage, if they suffice."""
         item, masks = self.items[k], self.masks[k]
@@ -271,12 +288,15 @@ class Matcher:
             for end, (n, ks) in self.short.iter(joined):
                 for k in ks:
                     best.setdefault(k, (k, joined.count(" ", 0, end + 1 - n), 1.0, 1.0, 1.0))
-        get = self.ids.get
-        codes = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        codes = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int32, len(words))
+        at = np.flatnonzero(codes >= 0)
+        at = at[self.weighted[codes[at]]]
         listed = None
-        for starts, v in self.windows(codes) if len(self.owner) else ():
+        for starts, v in self.windows(codes, at) if len(self.owner) and len(at) else ():
             cosine = v @ self.queries.T
-            for r, q in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
+            rows, qs = np.nonzero(cosine >= MIN_COSINE)
+            good = self.possible(codes, at, self.owner[qs], starts[rows])
+            for r, q in zip(rows[good].tolist(), qs[good].tolist(), strict=True):
                 k = int(self.owner[q])
                 if k in best and best[k][3] == 1.0:
                     continue
