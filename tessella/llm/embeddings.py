@@ -4,12 +4,16 @@ In every pass a vector gets the signs of random projections as one long number;
 by that number, and each is compared with the WINDOW vectors behind it. The order is a range partitioning; row
 numbers over it cut it into blocks of equal length with a halo of one window, so the work is even however
 many vectors share a number or a label. Verified pairs of all passes are united. What a window misses inside a
-found component is made up for exactly: all pairs of a component's members are compared in square cells, which
-give counts, not pairs. Equal vectors are collapsed at the start and counted with their copies.
+found component is made up for exactly: all pairs of a component's members are compared in the cells of a triangular
+grid, which give counts, not pairs. Equal vectors are collapsed at the start and counted with their copies. The
+number of passes follows from the number of vectors of the largest label, so that a pair just at the threshold is missed
+by all windows with probability MISS at most, whatever the size, where vectors are spread evenly.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
 
-PASSES, BITS, WINDOW, BLOCK, CELL, SEED = 6, 62, 96, 2048, 1024, 5
+LEAST_PASSES, MISS, BITS, WINDOW, BLOCK, CELL, SEED = 6, 0.002, 62, 96, 2048, 1024, 5
+MEMBERS_PER_HOME = 4096
 ROWS_PER_PARTITION = 50_000
 
 
@@ -29,6 +34,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
+def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
+    """Passes that miss a pair at the threshold with probability `miss` among n vectors of one label.
+
+    A window holds the vectors that agree in about log2(n / window) leading signs; a sign of a random projection
+    agrees with probability 1 - angle / pi.
+    """
+    agree = 1 - math.acos(threshold) / math.pi
+    found = agree ** max(0.0, math.log2(max(1, n) / window))
+    return LEAST_PASSES if found >= 1 else max(LEAST_PASSES, math.ceil(math.log(miss) / math.log(1 - found)))
+
+
 def usable(embedding: str):
     """Whether a vector is not null, not zero, and holds finite numbers only."""
     c = F.col(embedding)
@@ -56,13 +72,15 @@ def _codes(vectors: DataFrame, passes: int) -> DataFrame:
     return vectors.mapInArrow(project, f"pass int, code long, label {kind}, dim int, gid long, v array<double>")
 
 
-def window_links(vectors: DataFrame, threshold: float, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def window_links(vectors: DataFrame, threshold: float, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """Edges (`a`, `b`) between vectors of a label whose cosine reaches the threshold, found in any pass's windows.
 
     Of each block a spanning forest of its links is returned.
     """
+    sizes = vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    passes = passes or passes_for(sizes[1] or 0, threshold, window)
     coded = _codes(vectors, passes)
-    parts = max(1, -(-vectors.count() * passes // ROWS_PER_PARTITION))
+    parts = max(1, -(-(sizes[0] or 0) * passes // ROWS_PER_PARTITION))
     order = ["pass", "label", "dim", "code", "gid"]
     rows = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     rows = materialize(rows.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1)), "sorted-codes")
@@ -96,35 +114,34 @@ def window_links(vectors: DataFrame, threshold: float, passes: int = PASSES, win
 def links_within(members: DataFrame, threshold: float) -> DataFrame:
     """gid and links: how many vectors, copies counted, reach the threshold within the same component.
 
-    Large components are cut into square cells of about CELL x CELL members; small ones share cells.
+    Components of more than CELL members are cut into blocks, and every two blocks meet in one cell of a triangular
+    grid, which counts for both sides; small components share homes, whose number follows the number of members.
     """
+    homes = max(1, -(-members.count() // MEMBERS_PER_HOME))
     sized = members.join(members.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cuts")), "component")
     cut = F.pmod(F.xxhash64("gid", F.lit(3)), F.col("cuts")).cast("int")
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-    home = F.pmod(F.xxhash64("component"), F.lit(1 << 20))
-    left = F.transform(every, lambda t: F.struct(cut.alias("i"), t.cast("int").alias("j"), F.lit(True).alias("left")))
-    right = F.transform(every, lambda t: F.struct(t.cast("int").alias("i"), cut.alias("j"), F.lit(False).alias("left")))
-    # A component of one cell stands there once: its rows are both sides. The home groups small components.
-    parts = F.when(F.col("cuts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("boolean").alias("left")))).otherwise(F.concat(left, right))
-    share = F.when(F.col("cuts") == 1, F.pmod(home, F.greatest(F.lit(1), F.lit(512)))).otherwise(home)
-    rows = sized.select(share.alias("home"), "component", "gid", "copies", "v", F.explode(parts).alias("c")).select("home", "c.*", "component", "gid", "copies", "v")
+    cells = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda t: F.struct(F.least(cut, t).cast("int").alias("i"), F.greatest(cut, t).cast("int").alias("j"), cut.alias("block")))
+    home = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("component"), F.lit(homes))).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(1 << 40)))
+    rows = sized.select(home.alias("home"), "component", "gid", "copies", "v", F.explode(cells).alias("c")).select("home", "c.*", "component", "gid", "copies", "v")
 
     def count(group: pa.Table) -> pa.Table:
-        component = group.column("component").to_numpy()
+        component, block = group.column("component").to_numpy(), group.column("block").to_numpy()
         gid, copies = group.column("gid").to_numpy(), group.column("copies").to_numpy()
-        left = np.array([x is None or x for x in group.column("left").to_pylist()])
-        right = np.array([not x for x in group.column("left").to_pylist()])
-        out_gid, out_n = [], []
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        out = np.zeros(len(gid), np.int64)
         order = np.argsort(component, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
             u = _unit(_matrix(group.column("v").take(pa.array(at)), len(at)))
-            li, ri = np.flatnonzero(left[at]), np.flatnonzero(right[at])
-            for i in range(0, len(li), 512):
-                x = li[i : i + 512]
-                near = (u[x] @ u[ri].T >= threshold) & (gid[at[x]][:, None] != gid[at[ri]][None, :])
-                n = near @ copies[at[ri]]
-                out_gid.append(gid[at[x]]), out_n.append(n)
-        return pa.table({"gid": pa.array(np.concatenate(out_gid)), "links": pa.array(np.concatenate(out_n).astype(np.int64))})
+            left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
+            for k in range(0, len(left), 512):
+                x = left[k : k + 512]
+                near = u[x] @ u[right].T >= threshold
+                if i == j:
+                    near &= gid[at[x]][:, None] != gid[at[right]][None, :]
+                else:
+                    out[at[right]] += near.T @ copies[at[x]]
+                out[at[x]] += near @ copies[at[right]]
+        return pa.table({"gid": pa.array(gid), "links": pa.array(out)})
 
     return rows.groupBy("home", "i", "j").applyInArrow(count, "gid long, links long").groupBy("gid").agg(F.sum("links").alias("links"))
 
@@ -139,17 +156,19 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     null. An empty table gives an empty result; extra columns are not read.
     """
     base = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.when(usable(embedding) & F.col(label).isNotNull(), F.col(embedding).cast("array<double>")).alias("v"))
-    base = base.withColumn("gid", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
-    groups = base.where("v is not null").groupBy("gid").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("label").alias("label"), F.first("v").alias("v"))
-    vectors = materialize(groups.withColumn("dim", F.size("v")), "vectors")
+    # Two hashes tell vectors apart; distinct ones are numbered when they are written.
+    hashes = [F.when(F.col("v").isNotNull(), F.xxhash64(*seed, "label", "v")).alias(c) for c, seed in (("h", ()), ("g", (F.lit(1),)))]
+    base = base.select("vec_id", "label", "v", *hashes)
+    groups = base.where("v is not null").groupBy("h", "g").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("label").alias("label"), F.first("v").alias("v"))
+    vectors = materialize(groups.withColumn("dim", F.size("v")).withColumn("gid", F.monotonically_increasing_id()), "vectors")
     parts = connected_components(window_links(vectors.select("label", "dim", "gid", "v"), threshold), "vector-links").withColumnRenamed("node", "gid")
     members = materialize(parts.join(vectors.select("gid", "copies", "low", "v"), "gid"), "vector-members")
     counts = links_within(members.select("component", "gid", "copies", "v"), threshold)
     lowest = members.groupBy("component").agg(F.min("low").alias("component_low"))
     named = members.select("gid", "component").join(lowest, "component").join(counts, "gid", "left").select("gid", "component_low", "links")
-    result = vectors.select("gid", "copies", "low").join(named, "gid", "left").select("gid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component_id"))
+    result = vectors.select("h", "g", "gid", "copies", "low").join(named, "gid", "left").select("h", "g", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component_id"))
     return (
-        base.select("vec_id", "gid").join(result, "gid", "left")
+        base.select("vec_id", "h", "g").join(result, ["h", "g"], "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )

@@ -1,8 +1,9 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Candidate spans come from regular expressions: four base kinds, whose valid matches always stay, and wider
-kinds (e-mail addresses spelled out, local phone numbers, national numbers). Five labelers vote on each
-candidate: the strict form, a gazetteer of endings and prefixes, key words before it, words before it that
+kinds (e-mail addresses spelled out, local phone numbers, national numbers, bank accounts, secrets, persons, addresses).
+Five labelers vote on each candidate: the strict form, a gazetteer of endings, prefixes, countries, names and streets,
+key words before it, words before it that
 speak against it, and the characters around it. The votes of the whole corpus are counted by pattern; expectation
 maximisation over the patterns estimates how reliable each labeler is without any labels, and a logistic span
 classifier is trained on the resulting probabilities. It decides which wider candidates become spans.
@@ -28,13 +29,23 @@ WIDE = {
     "email_spelled": r"(?i)\b[a-z0-9][a-z0-9._-]{1,40}(?:\x20?[\[(]at[\])]\x20?)[a-z0-9][a-z0-9-]{0,40}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[a-z0-9-]{2,40})+",
     "phone_local": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "secret": r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[a-z0-9+/_.~-]{8,}+[\"']?",
+    "person": r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20)?[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}\b",
+    "address": r"\b[0-9]{1,5}\x20(?:[A-Z][a-z]{1,20}\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)\b",
 }
 #: What a text must contain to be searched at all: a cheap test before the pattern, which implies it. One character, or a pattern.
-NEEDS = {"email": "@", "phone": "+", "ip": ".", "email_spelled": r"(?i)[\[(]at[\])]", "phone_local": r"[.-][0-9]{4}", "national_id": "-"}
+NEEDS = {"email": "@", "phone": "+", "ip": ".", "email_spelled": r"(?i)[\[(]at[\])]", "phone_local": r"[.-][0-9]{4}", "national_id": "-", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"(?i)key|secret|token|passw|pwd", "person": r"[A-Z][a-z]+ [A-Z][a-z]", "address": r"[0-9] [A-Z]"}
 KINDS = [*BASE, *WIDE]
-KEYWORDS = r"(?i)(?:e-?mail|mail|contact|phone|tel|telephone|call|fax|mobile|card|visa|credit|ssn|social security|id number|address|ip)\W{0,3}(?:\w{1,6}\W{1,3})?$"
+KEYWORDS = r"(?i)(?:name|iban|account|bank|lives|street|signed|author|config|auth|e-?mail|mail|contact|phone|tel|telephone|call|fax|mobile|card|visa|credit|ssn|social security|id number|address|ip)\W{0,3}(?:\w{1,6}\W{1,3})?$"
 AGAINST = r"(?i)(?:version|order|invoice|ref|isbn|build|part|serial|revision|rfc|section)\W{0,3}(?:no\W{0,2})?$"
 ENDINGS = r"(?i)[. )\]](?:com|org|net|edu|gov|io|info|de|fr|es|uk)$"
+# Frequent given names, country codes of bank accounts.
+GIVEN_NAMES = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Peter Paul Daniel Mark George Kevin Laura Emma "
+    "Hans Klaus Jürgen Wolfgang Ursula Petra Sabine Pierre Jean Marie Claude Sophie Camille José Juan Carlos Luis Carmen Pilar Lucía Ahmed Mohammed Fatima Wei Yuki Ivan Olga"
+).split()
+IBAN_COUNTRIES = "AD AE AL AT BA BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR UA".split()
 LABELERS = ("form", "gazetteer", "keyword", "against", "edges")
 EM_ROUNDS, FIT_ROUNDS, RATE = 25, 200, 0.5
 
@@ -54,12 +65,27 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
+def _mod97(account: Column) -> Column:
+    """The account number, its first four characters moved to its end and letters as 10 to 35, modulo 97."""
+    turned = F.split(F.concat(F.substr(account, F.lit(5)), F.substring(account, 1, 4)), "")
+
+    def add(rest, c):
+        d = F.when(c == "", F.lit(0)).when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return F.when(c == "", rest).otherwise((rest * F.when(d > 9, 100).otherwise(10) + d) % 97)
+
+    return F.aggregate(turned, F.lit(0), add)
+
+
 def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
     if kind == "card":
         digits = _digits(match)
         return F.length(digits).between(13, 19) & F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
+    if kind == "iban":
+        return _mod97(F.replace(match, F.lit(" "), F.lit(""))) == 1
+    if kind == "person":  # a name needs a title or a listed given name
+        return match.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\b") | match.rlike(rf"^(?:{'|'.join(GIVEN_NAMES)}) ")
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
     return F.lit(True)
@@ -98,9 +124,18 @@ def _votes(kind: str, s: Column, text: Column) -> Column:
         gazetteer = F.when(match.rlike(r"^(?:0|127|255)\."), -1).otherwise(0)
     elif kind == "national_id":
         gazetteer = F.when(match.rlike(r"^(?:000|666|9)"), -1).otherwise(1)
+    elif kind == "iban":
+        gazetteer = F.when(F.substring(match, 1, 2).isin(IBAN_COUNTRIES), 1).otherwise(-1)
+    elif kind == "secret":
+        gazetteer = F.when(match.rlike(r"(?i)example|changeme|placeholder|xxxx"), -1).otherwise(1)
+    elif kind == "person":
+        gazetteer = F.when(match.rlike(rf"(?:^|[. ])(?:{'|'.join(GIVEN_NAMES)}) "), 1).otherwise(0)
+    elif kind == "address":
+        gazetteer = F.lit(1)
     else:
         gazetteer = F.when(_digits(match).rlike(r"^1?[2-9]"), 1).otherwise(-1)
-    form = F.lit(1) if kind in BASE else F.when(match.rlike(r"^(?:\([0-9]{3}\)|[0-9]{3}-[0-9]{3}-|[^()\[\] ]+ ?[\[(])"), 1).otherwise(0)
+    strict = {"iban": F.lit(1), "secret": F.when(match.rlike("[0-9]") & match.rlike(r"[:=] {0,3}[\"']?[^\"']{16,}"), 1).otherwise(0), "person": F.when(match.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\b"), 1).otherwise(0), "address": F.lit(1)}
+    form = F.lit(1) if kind in BASE else strict[kind] if kind in strict else F.when(match.rlike(r"^(?:\([0-9]{3}\)|[0-9]{3}-[0-9]{3}-|[^()\[\] ]+ ?[\[(])"), 1).otherwise(0)
     return F.array(
         form.cast("int"),
         gazetteer.cast("int"),
@@ -213,13 +248,13 @@ def _joined(spans: str) -> Column:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """doc_id, base counts by kind, base_sha256 and all spans of every document."""
+    """doc_id, base counts by kind, base_sha256, all spans and their number of every document."""
     found = personal_data(table(spark, sf_dir, "documents"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, BASE), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op5_personal_data": op5}

@@ -14,13 +14,25 @@ from .common import table
 
 BUCKETS = 4096
 GRAM = 4
-ROUNDS, RATE, RIDGE = 150, 2.0, 0.002
+ROUNDS, RATE, RIDGE = 100, 2.0, 0.002
 #: The labelled table is fitted in one row's arrays: it may hold this many URLs.
 MAX_LABELLED = 500
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-BLOCKED = "casino pills poker loans viagra replica torrent betting xxx lottery adult cheap-meds".split()
-ALLOWED = "library university research journal museum archive science school health weather docs recipes".split()
+# The words and forms that the labelled table is made of.
+BLOCKED = (
+    "casino pills poker loans viagra replica torrent betting xxx lottery adult meds slots bets jackpot bingo escort porn cialis steroids payday crypto-win forex hack crack keygen warez "
+    "free-spins cheap-watches fake-id miracle-diet hot-singles win-prize free-money quick-cash"
+).split()
+ALLOWED = (
+    "library university research journal museum archive science school health weather docs recipes news city travel music history garden books sports council hospital theatre radio "
+    "gallery college parliament forum wiki maps rail airport bakery chess botany physics poetry cinema market photo village river mountain church orchestra union institute academy"
+).split()
+SYLLABLES = "ba den hor lin mar no pel ris sto tha ver wen".split()
+FORMS = (
+    "http://www.{}.example.com/en/{}.html", "https://{}.example.org/{}/", "http://m.{}.example.net/de/{}?page=2", "https://{}-online.example.com/fr/{}", "http://blog.{}.example.net/{}",
+    "https://best-{}.example/{}/offer", "https://shop.example.com/{}/{}", "http://{}.example.com/{}/", "https://www.{}.example.net/{}.html",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,11 +59,25 @@ def grams(host: str, path: str) -> Column:
     return F.concat(cut("h", host), cut("p", path))
 
 
+def labelled_rows(forms: tuple[str, ...] = FORMS) -> list[tuple[str, int]]:
+    """URLs and labels (1: block): words of either kind and neutral names of two or three syllables.
+
+    Words of both kinds pass through all forms in turn, so that a form by itself says nothing.
+    """
+    n = len(SYLLABLES)
+    names = ["".join(SYLLABLES[(k * step + k // n) % n] for step in ((1, 5, 7) if k % 3 else (1, 7))) for k in range(70)]
+    tails = ("{}", "4711", "about", "89", "{}-2021", "123456", "7")
+    return [
+        (forms[(k + 4 * i) % len(forms)].format(word, tails[(k + i) % len(tails)].format(word)), label)
+        for label, words in ((1, BLOCKED), (0, (*ALLOWED, *names)))
+        for k, word in enumerate(words)
+        for i in range(3 if label else 1)
+    ]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small labelled table: url and label (1: block), made from two word lists and a few forms."""
-    forms = ("http://www.{}-online.example/{}", "https://best{}.example/{}/offer", "http://{}.example/en/{}", "https://shop.example/{}/{}")
-    rows = [(form.format(w, w), label) for label, words in ((1, BLOCKED), (0, ALLOWED)) for w in words for form in forms]
-    return spark.createDataFrame(rows, "url string, label int")
+    """The small labelled table: url and label."""
+    return spark.createDataFrame(labelled_rows(), "url string, label int")
 
 
 def train(labelled: DataFrame) -> tuple[float, list[float]]:
