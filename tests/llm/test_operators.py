@@ -97,6 +97,8 @@ def test_simhash_awkward_rows(spark, awkward):
     kept = simhash.keep_one_per_group(awkward)
     assert kept.columns == awkward.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 8]
+    twice = awkward.unionByName(awkward.where("doc_id is null"))
+    assert sorted(r["doc_id"] or 0 for r in simhash.keep_one_per_group(twice).collect()) == [0, 0, 1, 2, 5, 6, 8]
     assert simhash.simhash_components(awkward.limit(0)).count() == 0
 
 
@@ -295,6 +297,38 @@ def test_personal_data_base_spans_equal_brute_force(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_personal_data_wide_kinds(spark):
+    texts = {1: 'config: api_key = "sk3f9a8b7c6d5e4f3a2b" end', 2: "pay to account DE89 3704 0044 0532 0130 00 today", 3: "account DE88 3704 0044 0532 0130 00 is mistyped", 4: "signed, Dr. Maria Keller", 5: "He lives at 12 Long Meadow Street now", 6: "The Big Apple is a token of love", 7: "call (555) 123-4567 now"}
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()] * 3).withColumns({"base": F.lit(1), "wide": F.lit(2), "spans": F.lit(3), "_text": F.lit(4)})
+    got = [(r["doc_id"], [(s["kind"], texts[r["doc_id"]][s["start"] : s["stop"]]) for s in r["spans"]]) for r in pii.personal_data(docs).collect()]
+    assert len(got) == 3 * len(texts) and all(a == b for i in texts for a in [dict(got)[i]] for j, b in got if j == i)
+    found = {i: dict(s) for i, s in got}
+    assert found[1]["secret"].startswith("api_key") and found[2]["iban"] == "DE89 3704 0044 0532 0130 00" and found[4]["person"] == "Dr. Maria Keller"
+    assert found[5]["address"] == "12 Long Meadow Street" and not found[3] and not found[6] and found[7]["phone_local"] == "(555) 123-4567"
+
+
+def test_personal_data_training_equals_plain_rounds(spark, sf):
+    """Expectation maximisation over vote patterns and the span classifier, against plain loops."""
+    found = pii.candidates(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).cache()
+    from collections import Counter
+
+    rows = [(s["kind"], tuple(s["votes"])) for r in found.select("base", "wide").collect() for s in [*r["base"], *r["wide"]]]
+    counted = sorted(Counter(rows).items())
+    votes, n = np.array([v for (_, v), _ in counted], float), np.array([c for _, c in counted], float)
+    pi, a, b, r = 0.5, np.full(5, 0.8), np.full(5, 0.2), None
+    for _ in range(pii.EM_ROUNDS):
+        z = np.log(pi / (1 - pi)) + (votes == 1) @ np.log(a / b) + (votes == -1) @ np.log((1 - a) / (1 - b))
+        r = 1 / (1 + np.exp(-z))
+        pi = (r @ n + 0.5) / (n.sum() + 1)
+        a = ((votes == 1).T @ (r * n) + 0.8) / ((votes != 0).T @ (r * n) + 1)
+        b = ((votes == 1).T @ ((1 - r) * n) + 0.2) / ((votes != 0).T @ ((1 - r) * n) + 1)
+    x = np.array([[1.0, *(float(k == kind) for k in pii.KINDS), *(float(v == 1) for v in vote), *(float(v == -1) for v in vote)] for (kind, vote), _ in counted])
+    w, m = np.zeros(x.shape[1]), np.log1p(n)
+    for _ in range(pii.FIT_ROUNDS):
+        w = w - pii.RATE * (x.T @ (m * (1 / (1 + np.exp(-(x @ w))) - r)) / m.sum() + 0.001 * w)
+    assert np.allclose(pii.train(found), w, atol=1e-6)
+
+
 def test_personal_data_query(spark, sf):
     got = pii.op5(spark, sf)
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -325,6 +359,22 @@ def test_urls_equal_brute_force(spark):
     assert urlfilter.judge(pages.limit(0), urlfilter.labelled_urls(spark)).count() == 0
 
 
+def test_urls_on_held_out_forms(spark):
+    """Words in forms that the table does not hold, and neutral names that it does not hold."""
+    labelled = {u for u, _ in urlfilter.labelled_rows()}
+    forms = ("https://{}-club.example.net/en/5521.html", "http://my{}.example.org/page/{}", "http://www.{}.example.com/2020/4.html")
+    others = [a + b for a in ("kel", "tur", "vos", "zim", "dro", "lac") for b in ("ana", "ibo", "ern", "usk", "olt")]
+    rows = [(f.format(w, w), y) for y, ws in ((1, urlfilter.BLOCKED), (0, (*urlfilter.ALLOWED, *others))) for w in ws for f in forms]
+    assert not labelled & {u for u, _ in rows}
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: r["score"] >= 0.5 for r in urlfilter.judge(pages, urlfilter.labelled_urls(spark), rules=(("nowhere/", "allow"),)).collect()}
+    for label, least in ((1, 0.85), (0, 0.85)):
+        of = [i for i, (_, y) in enumerate(rows) if y == label]
+        share = sum(got[i] == bool(label) for i in of) / len(of)
+        print("held-out share right, label", label, round(share, 3))
+        assert share >= least
+
+
 def test_url_training_equals_plain_descent(spark):
     labelled = urlfilter.labelled_urls(spark)
     intercept, weights = urlfilter.train(labelled)
@@ -563,6 +613,15 @@ def test_vectors_equal_brute_force(spark, sf):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_passes_follow_the_size():
+    assert embeddings.passes_for(0, 0.98) == embeddings.passes_for(5000, 0.98) == 6
+    n = [embeddings.passes_for(10**k, 0.98) for k in range(4, 10)]
+    assert n == sorted(n) and 12 < n[3] < 20 < n[5] < 40
+    for k in range(4, 10):
+        found = (1 - np.arccos(0.98) / np.pi) ** np.log2(10**k / embeddings.WINDOW)
+        assert (1 - found) ** embeddings.passes_for(10**k, 0.98) <= embeddings.MISS
+
+
 def test_links_within_cut_components(spark, monkeypatch):
     g = np.random.default_rng(6)
     base = g.standard_normal(8)
