@@ -25,27 +25,29 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Frequent given names, country codes of bank accounts.
+GIVEN_NAMES = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Peter Paul Daniel Mark George Kevin Laura Emma "
+    "Hans Klaus Jürgen Wolfgang Ursula Petra Sabine Pierre Jean Marie Claude Sophie Camille José Juan Carlos Luis Carmen Pilar Lucía Ahmed Mohammed Fatima Wei Yuki Ivan Olga"
+).split()
+IBAN_COUNTRIES = "AD AE AL AT BA BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR UA".split()
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora|Señor"
 WIDE = {
     "email_spelled": r"(?i)\b[a-z0-9][a-z0-9._-]{1,40}(?:\x20?[\[(]at[\])]\x20?)[a-z0-9][a-z0-9-]{0,40}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[a-z0-9-]{2,40})+",
     "phone_local": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "secret": r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[a-z0-9+/_.~-]{8,}+[\"']?",
-    "person": r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20)?[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}\b",
+    "person": rf"\b(?:(?:{TITLES})\.?\x20(?:[A-Z]\p{{Ll}}{{1,20}}\x20)?|(?:{'|'.join(GIVEN_NAMES)})\x20)[A-Z]\p{{Ll}}{{1,20}}\b",
     "address": r"\b[0-9]{1,5}\x20(?:[A-Z][a-z]{1,20}\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)\b",
 }
 #: What a text must contain to be searched at all: a cheap test before the pattern, which implies it. One character, or a pattern.
-NEEDS = {"email": "@", "phone": "+", "ip": ".", "email_spelled": r"(?i)[\[(]at[\])]", "phone_local": r"[.-][0-9]{4}", "national_id": "-", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"(?i)key|secret|token|passw|pwd", "person": r"[A-Z][a-z]+ [A-Z][a-z]", "address": r"[0-9] [A-Z]"}
+NEEDS = {"email": "@", "phone": "+", "ip": ".", "email_spelled": r"(?i)[\[(]at[\])]", "phone_local": r"[.-][0-9]{4}", "national_id": "-", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"(?i)key|secret|token|passw|pwd", "person": r"[A-Z]\p{Ll}+\.? [A-Z]\p{Ll}", "address": r"[0-9] [A-Z]"}
 KINDS = [*BASE, *WIDE]
 KEYWORDS = r"(?i)(?:name|iban|account|bank|lives|street|signed|author|config|auth|e-?mail|mail|contact|phone|tel|telephone|call|fax|mobile|card|visa|credit|ssn|social security|id number|address|ip)\W{0,3}(?:\w{1,6}\W{1,3})?$"
 AGAINST = r"(?i)(?:version|order|invoice|ref|isbn|build|part|serial|revision|rfc|section)\W{0,3}(?:no\W{0,2})?$"
 ENDINGS = r"(?i)[. )\]](?:com|org|net|edu|gov|io|info|de|fr|es|uk)$"
-# Frequent given names, country codes of bank accounts.
-GIVEN_NAMES = (
-    "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Peter Paul Daniel Mark George Kevin Laura Emma "
-    "Hans Klaus Jürgen Wolfgang Ursula Petra Sabine Pierre Jean Marie Claude Sophie Camille José Juan Carlos Luis Carmen Pilar Lucía Ahmed Mohammed Fatima Wei Yuki Ivan Olga"
-).split()
-IBAN_COUNTRIES = "AD AE AL AT BA BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR UA".split()
+SPANS_PER_PART = 128
 LABELERS = ("form", "gazetteer", "keyword", "against", "edges")
 EM_ROUNDS, FIT_ROUNDS, RATE = 25, 200, 0.5
 
@@ -84,8 +86,6 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(13, 19) & F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
     if kind == "iban":
         return _mod97(F.replace(match, F.lit(" "), F.lit(""))) == 1
-    if kind == "person":  # a name needs a title or a listed given name
-        return match.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\b") | match.rlike(rf"^(?:{'|'.join(GIVEN_NAMES)}) ")
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
     return F.lit(True)
@@ -99,13 +99,19 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
 
-    def step(acc, i):
+    def step(acc, i):  # spans gather in parts, so that a text of very many matches is not copied once per match
         start = acc["at"] + F.length(F.element_at(gaps, i))
         match = F.element_at(matches, i)
         stop = start + F.length(match)
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), match.alias("match")))).alias("out"))
-
-    walk = F.aggregate(F.sequence(F.lit(1), F.size(matches)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        span = F.array(F.struct(start.alias("start"), stop.alias("stop"), match.alias("match")))
+        full = F.size(acc["part"]) >= SPANS_PER_PART
+        return F.struct(
+            stop.alias("at"), F.when(full, span).otherwise(F.concat(acc["part"], span)).alias("part"),
+            F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"),
+        )
+
+    first = F.struct(F.lit(0).alias("at"), none.alias("part"), F.array().cast("array<array<struct<start:int,stop:int,match:string>>>").alias("parts"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.size(matches)), first, step, lambda acc: F.concat(F.flatten(acc["parts"]), acc["part"]))
     need = NEEDS.get(kind, "")
     possible = text.rlike(need) if len(need) > 1 else text.contains(need)
     return F.when(possible & (F.size(matches) > 0), walk).otherwise(none)
@@ -134,7 +140,7 @@ def _votes(kind: str, s: Column, text: Column) -> Column:
         gazetteer = F.lit(1)
     else:
         gazetteer = F.when(_digits(match).rlike(r"^1?[2-9]"), 1).otherwise(-1)
-    strict = {"iban": F.lit(1), "secret": F.when(match.rlike("[0-9]") & match.rlike(r"[:=] {0,3}[\"']?[^\"']{16,}"), 1).otherwise(0), "person": F.when(match.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\b"), 1).otherwise(0), "address": F.lit(1)}
+    strict = {"iban": F.lit(1), "secret": F.when(match.rlike("[0-9]") & match.rlike(r"[:=] {0,3}[\"']?[^\"']{16,}"), 1).otherwise(0), "person": F.when(match.rlike(rf"^(?:{TITLES})\b"), 1).otherwise(0), "address": F.lit(1)}
     form = F.lit(1) if kind in BASE else strict[kind] if kind in strict else F.when(match.rlike(r"^(?:\([0-9]{3}\)|[0-9]{3}-[0-9]{3}-|[^()\[\] ]+ ?[\[(])"), 1).otherwise(0)
     return F.array(
         form.cast("int"),
