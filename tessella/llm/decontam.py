@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 PASSAGE = 32  # words of a passage that is counted and sketched
 STRIDE = 16  # words between the passages that are searched
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 RANK, OVERSAMPLING, SEED = 96, 16, 11
 MAX_DF = 0.005  # terms in a larger share of the passages carry no weight, unless an item has few others
 MIN_TERMS = 3  # weighted terms that every item keeps
@@ -37,6 +37,7 @@ MIN_LCS, SURE_LCS, MIN_ANSWER = 0.6, 0.8, 0.6
 WORDS_AT_ONCE = 400_000
 FAN_IN, LEVELS = 64, 4  # up to 64^4 tasks
 CACHED_WORDS = 1 << 20
+TERMS_PER_ROW = 50_000
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -79,10 +80,10 @@ class _Numbers(dict):
     """Word -> number of its bucket, worked out when first asked for."""
 
     def __init__(self, number: np.ndarray):
-        self.number = number
+        self.number = number.tolist()
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = int(self.number[bucket_of(word)])
+    def __missing__(self, word: str, digest=xxhash.xxh32_intdigest) -> int:
+        n = self[word] = self.number[digest(word, SEED) % BUCKETS]
         return n
 
 
@@ -112,49 +113,61 @@ def _passage_terms(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return key >> 32, key & 0xFFFFFFFF, n
 
 
-def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """In how many passages of all documents each term stands, and the number of passages."""
+def passage_terms(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The known terms of all passages, some documents to a row: numbers of passage and term and counts as bytes."""
 
-    def count(batches):
-        df, passages = np.zeros(vocabulary.size + 1, np.int64), 0
+    def row(parts: list, passages: int) -> pa.RecordBatch:
+        columns = [np.concatenate([x[k] for x in parts]).astype(np.int32).tobytes() for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array([passages], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["passages", "p", "t", "n"])
+
+    def read(batches):
+        parts, passages, held = [], 0, 0
         for batch in batches:
             for text in batch.column("text"):
                 words = words_of(text.as_py())
-                passages += -(-len(words) // PASSAGE)
                 if words:
-                    df[: vocabulary.size] += np.bincount(_passage_terms(vocabulary.encode(words))[1], minlength=vocabulary.size)
-        df[vocabulary.size] = passages
+                    p, t, n = _passage_terms(vocabulary.encode(words))
+                    parts.append((p + passages, t, n))
+                    passages, held = passages + -(-len(words) // PASSAGE), held + len(p)
+                if held > TERMS_PER_ROW:
+                    yield row(parts, passages)
+                    parts, passages, held = [], 0, 0
+        if parts:
+            yield row(parts, passages)
+
+    return materialize(docs.select("text").mapInArrow(read, "passages long, p binary, t binary, n binary"), "passage-terms")
+
+
+def document_frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many passages of all documents each term stands, and the number of passages."""
+
+    def count(batches):
+        df = np.zeros(size, np.int64)
+        for batch in batches:
+            for t in batch.column("t"):
+                df += np.bincount(np.frombuffer(t.as_py(), np.int32), minlength=size)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(df[hit])], ["term", "n"])
 
-    rows = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
-    df = np.zeros(vocabulary.size + 1, np.int64)
-    for r in rows:
+    df = np.zeros(size, np.int64)
+    for r in terms.select("t").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         df[r["term"]] = r["n"]
-    return df[:-1], int(df[-1])
+    return df, terms.agg(F.sum("passages")).first()[0] or 0
 
 
-def _sketch(docs: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, width: int) -> np.ndarray:
+def _sketch(terms: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
     """The sum over all passages a of a (a . omega), with one partial sum per task."""
-    omega = np.random.default_rng(SEED).standard_normal((vocabulary.size, width)).astype(np.float32)
-    block = 512
+    size, block = len(idf), 512
+    omega = np.random.default_rng(SEED).standard_normal((size, width)).astype(np.float32)
 
     def part(batches):
-        y = np.zeros((vocabulary.size, width))
+        y = np.zeros((size, width))
         for batch in batches:
-            passages, terms, weights, base, held = [], [], [], 0, 0
-            for text in batch.column("text"):
-                codes = vocabulary.encode(words_of(text.as_py()))
-                p, t, n = _passage_terms(codes)
+            for row in zip(batch.column("p"), batch.column("t"), batch.column("n"), strict=True):
+                p, t, n = (np.frombuffer(x.as_py(), np.int32) for x in row)
                 keep = idf[t] > 0
-                passages.append(p[keep] + base), terms.append(t[keep]), weights.append(n[keep] * idf[t[keep]])
-                base += len(codes) // PASSAGE + 1
-                held += len(terms[-1])
-                if held > 50_000:
-                    _add(y, omega, passages, terms, weights)
-                    passages, terms, weights, base, held = [], [], [], 0, 0
-            _add(y, omega, passages, terms, weights)
-        for i in range(0, vocabulary.size, block):
+                _add(y, omega, p[keep], t[keep], n[keep] * idf[t[keep]])
+        for i in range(0, size, block):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y[i : i + block].tobytes()], pa.binary())], ["block", "y"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -162,23 +175,20 @@ def _sketch(docs: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, width: int
         return pa.table({"block": group.column("block")[:1], "turn": group.column("turn")[:1], "y": pa.array([total.tobytes()], pa.binary())})
 
     # Partial sums meet FAN_IN at a time, so no group grows with the number of tasks.
-    parts = docs.mapInArrow(part, "block long, y binary").withColumn("turn", F.spark_partition_id())
+    parts = terms.select("p", "t", "n").mapInArrow(part, "block long, y binary").withColumn("turn", F.spark_partition_id())
     for _ in range(LEVELS):
         parts = parts.withColumn("turn", F.floor(F.col("turn") / FAN_IN).cast("int")).groupBy("block", "turn").applyInArrow(add, "block long, turn int, y binary")
-    rows = parts.collect()  # terms x width numbers
-    y = np.zeros((vocabulary.size, width))
-    for r in rows:
+    y = np.zeros((size, width))
+    for r in parts.collect():  # terms x width numbers
         part_y = np.frombuffer(r["y"]).reshape(-1, width)
         y[r["block"] : r["block"] + len(part_y)] = part_y
     return y
 
 
-def _add(y, omega, passages, terms, weights) -> None:
-    """y += A' A omega for a batch of passages, each normed to length 1."""
-    t = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+def _add(y, omega, p, t, w) -> None:
+    """y += A' A omega for passages p with terms t of weights w, each passage normed to length 1."""
     if not len(t):
         return
-    p, w = np.concatenate(passages), np.concatenate(weights)
     starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     norm = np.sqrt(np.add.reduceat(w * w, starts))
     sizes = np.diff(np.r_[starts, len(p)])
@@ -248,17 +258,20 @@ class Matcher:
 
     def windows(self, codes: np.ndarray, at: np.ndarray):
         """Start and latent vector, normed, of the passages that hold a weighted word (these stand `at`), some at a time."""
-        sums = np.vstack([np.zeros((1, self.rows.shape[1])), np.cumsum(self.rows[codes[at]], axis=0, dtype=float)])
         starts = np.arange(0, max(1, len(codes) - PASSAGE + STRIDE), STRIDE)
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
         starts, lo, hi = starts[hi > lo], lo[hi > lo], hi[hi > lo]
-        for i in range(0, len(starts), 1024):
-            v = (sums[hi[i : i + 1024]] - sums[lo[i : i + 1024]]).astype(np.float32)
-            yield starts[i : i + 1024], v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
+        for i in range(0, len(starts), 512):
+            first, last = lo[i], hi[min(i + 512, len(hi)) - 1]
+            sums = np.zeros((last - first + 1, self.rows.shape[1]), np.float32)
+            np.cumsum(self.rows[codes[at[first:last]]], axis=0, out=sums[1:])
+            v = sums[hi[i : i + 512] - first] - sums[lo[i : i + 512] - first]
+            yield starts[i : i + 512], v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
 
     def possible(self, codes: np.ndarray, at: np.ndarray, ks: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Which candidates have as many of the item's weighted words around the passage as its least subsequence must hold."""
-        first, n = self.held[codes[at]], np.diff(self.held)[codes[at]]
+        first = self.held[codes[at]]
+        n = self.held[codes[at] + 1] - first
         ends = np.cumsum(n)
         item = self.holders[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
         place = np.sort(item << 32 | np.repeat(at, n))
@@ -334,12 +347,13 @@ def _matchers(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str):
         return
     passages_of = docs.select("text").unionByName(items.select("text"))  # the items are passages too
     vocabulary = Vocabulary(_item_buckets(items))
-    df, passages = document_frequencies(passages_of, vocabulary)
+    terms = passage_terms(passages_of, vocabulary)
+    df, passages = document_frequencies(terms, vocabulary.size)
     rare = df <= MAX_DF * passages
     rare[_item_buckets(items, vocabulary, df)] = True
     idf = np.where(rare, np.log((2 + passages) / (1 + df)), 0.0)
     width = min(RANK + OVERSAMPLING, vocabulary.size)
-    basis = latent_space(_sketch(passages_of, vocabulary, idf, width), min(RANK, width))
+    basis = latent_space(_sketch(terms, idf, width), min(RANK, width))
     blocks = -(-words // WORDS_AT_ONCE)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about WORDS_AT_ONCE words
