@@ -48,8 +48,11 @@ def tile_grid(width: int) -> np.ndarray:
     return (width - 1 - _compress(k)) * width + _compress(k >> 1)
 
 
-def sample(npix: int, frame: dict, order: int, width: int, policy: str = "replace") -> tuple[np.ndarray, np.ndarray]:
-    """Weighted values and weights, row-major, of one tile in one frame; zeros where the frame has nothing."""
+def sample(npix: int, frame: dict, order: int, width: int, policy: str = "replace", overlay: str = "weighted", low: float = -np.inf, high: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted values and weights, row-major, of one tile in one frame; zeros where the frame has nothing.
+
+    Only the overlays `weighted` and `fading` weigh pixels near the high edges down.
+    """
     ra, dec = cell_centres(npix * width * width + np.arange(width * width), order + width.bit_length() - 1)
     w, h, d0 = frame["width"], frame["height"], np.radians(frame["crval2"])
     a = ra - np.radians(frame["crval1"])
@@ -78,14 +81,14 @@ def sample(npix: int, frame: dict, order: int, width: int, policy: str = "replac
     elif policy not in ("strict", "propagate"):
         raise ValueError(f"unknown blank policy {policy}")
     value = near[0] * (1 - fx) * (1 - fy) + near[1] * fx * (1 - fy) + near[2] * (1 - fx) * fy + near[3] * fx * fy
-    weight = np.where((u >= w - 1.5) & (u < w - 1), 0.5, 1.0) * np.where((v >= h - 1.5) & (v < h - 1), 0.5, 1.0)
-    good = ~np.isnan(value)
+    weight = np.where((u >= w - 1.5) & (u < w - 1), 0.5, 1.0) * np.where((v >= h - 1.5) & (v < h - 1), 0.5, 1.0) if overlay in ("weighted", "fading") else np.ones(len(value))
+    good = ~np.isnan(value) & (value >= low) & (value <= high)
     at = tile_grid(width)[hit[good]]
     wsum[at], wtot[at] = value[good] * weight[good], weight[good]
     return wsum, wtot
 
 
-def sample_frames(frames: DataFrame, order: int, width: int, policy: str = "replace") -> DataFrame:
+def sample_frames(frames: DataFrame, order: int, width: int, policy: str = "replace", overlay: str = "weighted", low: float = -np.inf, high: float = np.inf) -> DataFrame:
     """npix, image_id, wsum and wtot (row-major arrays) of every frame and tile that have pixels in common."""
     pairs = coverage(frames, order).join(frames.select("image_id", *WCS, "pixels"), "image_id")
 
@@ -94,38 +97,51 @@ def sample_frames(frames: DataFrame, order: int, width: int, policy: str = "repl
             pixels = batch.column("pixels")
             rows = batch.drop_columns(["pixels"]).to_pylist()
             for k, row in enumerate(rows):
-                wsum, wtot = sample(row["npix"], row | {"pixels": pixels[k].values.to_numpy(zero_copy_only=False)}, order, width, policy)
+                wsum, wtot = sample(row["npix"], row | {"pixels": pixels[k].values.to_numpy(zero_copy_only=False)}, order, width, policy, overlay, low, high)
                 if wtot.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row["npix"]], pa.int64()), pa.array([row["image_id"]], pa.int64()), pa.array([wsum]), pa.array([wtot])], ["npix", "image_id", "wsum", "wtot"])
-
-    return pairs.select("npix", F.col("image_id").cast("long").alias("image_id"), *WCS, "pixels").mapInArrow(run, "npix long, image_id long, wsum array<double>, wtot array<double>")
+                    yield pa.RecordBatch.from_arrays([pa.array([row["npix"]], pa.int64()), batch.column("image_id").slice(k, 1), pa.array([wsum]), pa.array([wtot])], ["npix", "image_id", "wsum", "wtot"])
 
+    kind = frames.schema["image_id"].dataType.simpleString()
+    return pairs.select("npix", "image_id", *WCS, "pixels").mapInArrow(run, f"npix long, image_id {kind}, wsum array<double>, wtot array<double>")
 
-def _add(batches):
-    """Sums of sorted rows, one tile in memory at a time."""
-    npix, wsum, wtot = None, None, None
 
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([npix], pa.int64()), pa.array([wsum]), pa.array([wtot])], ["npix", "wsum", "wtot"])
+def _adding(first: bool):
+    """Sums of sorted rows, or each pixel's first value, one tile in memory at a time."""
 
-    for batch in batches:
-        for n, a, b in zip(batch.column("npix").to_pylist(), batch.column("wsum"), batch.column("wtot"), strict=True):
-            a, b = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
-            if n == npix:
-                wsum, wtot = wsum + a, wtot + b
-                continue
-            if npix is not None:
-                yield row()
-            npix, wsum, wtot = n, a, b
-    if npix is not None:
-        yield row()
+    def add(batches):
+        npix, wsum, wtot = None, None, None
 
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([npix], pa.int64()), pa.array([wsum]), pa.array([wtot])], ["npix", "wsum", "wtot"])
 
-def coadd(sampled: DataFrame) -> DataFrame:
-    """npix and pixels: the weighted mean of all frames of each tile, NaN where none has a value."""
+        for batch in batches:
+            for n, a, b in zip(batch.column("npix").to_pylist(), batch.column("wsum"), batch.column("wtot"), strict=True):
+                a, b = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
+                if n == npix:
+                    new = (wtot == 0) if first else 1.0
+                    wsum, wtot = wsum + a * new, wtot + b * new
+                    continue
+                if npix is not None:
+                    yield row()
+                npix, wsum, wtot = n, a, b
+        if npix is not None:
+            yield row()
+
+    return add
+
+
+def coadd(sampled: DataFrame, overlay: str = "weighted") -> DataFrame:
+    """npix and pixels: all frames of each tile put together, NaN where none has a value.
+
+    add: the sum; first: the frame with the smallest image_id that has a value; the others: the mean by weight.
+    """
     schema = "npix long, wsum array<double>, wtot array<double>"
-    spread = sampled.withColumn("_s", F.pmod(F.xxhash64("image_id"), F.lit(SPREAD))).repartition("npix", "_s")
-    parts = spread.sortWithinPartitions("npix").select("npix", "wsum", "wtot").mapInArrow(_add, schema)
-    whole = parts.repartition("npix").sortWithinPartitions("npix").mapInArrow(_add, schema)
-    mean = F.zip_with("wsum", "wtot", lambda s, t: F.when(t > 0, s / t).otherwise(float("nan")))
-    return whole.select("npix", mean.alias("pixels"))
+    add = _adding(overlay == "first")
+    if overlay == "first":  # an order decides, so a tile's frames pass by in one sorted run
+        whole = sampled.repartition("npix").sortWithinPartitions("npix", "image_id").select("npix", "wsum", "wtot").mapInArrow(add, schema)
+    else:
+        spread = sampled.withColumn("_s", F.pmod(F.xxhash64("image_id"), F.lit(SPREAD))).repartition("npix", "_s")
+        parts = spread.sortWithinPartitions("npix").select("npix", "wsum", "wtot").mapInArrow(add, schema)
+        whole = parts.repartition("npix").sortWithinPartitions("npix").mapInArrow(add, schema)
+    value = lambda s, t: F.when(t > 0, s if overlay == "add" else s / t).otherwise(float("nan"))
+    return whole.select("npix", F.zip_with("wsum", "wtot", value).alias("pixels"))

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import healpix as hp
 from ..functions import wcs
 from ..functions.plan import fenced
-from ..operators import images
+from ..operators import images, tilearrays
 from ..operators.coverage import coverage
-from ..operators.incremental import accumulate, append_allowed, apply_batch, tiles_of
+from ..operators.incremental import append_allowed, apply_batch
+
+
+#: Tiles up to this many pixels across are sampled by expressions, one row per pixel.
+NARROW = 16
 
 
 @dataclass(frozen=True)
@@ -72,9 +76,28 @@ def sample_tiles(frames: DataFrame, options: Options) -> DataFrame:
     return sampled.where(F.col("value").isNotNull() & F.col("value").between(options.low, options.high))
 
 
+def wide_tiles(frames: DataFrame, options: Options) -> DataFrame:
+    """The same as `narrow_tiles`, with tiles as arrays until all frames are put together: for wide tiles."""
+    w = options.tile_width
+    sampled = tilearrays.sample_frames(frames, options.order, w, options.blank_policy, options.overlay, options.low, options.high)
+    pixels = tilearrays.coadd(sampled, options.overlay).select("npix", F.posexplode("pixels").alias("k", "value")).where(~F.isnan("value"))
+    return pixels.select("npix", (F.col("k") % w).alias("x"), F.floor(F.col("k") / w).cast("int").alias("y"), "value")
+
+
+def narrow_tiles(frames: DataFrame, options: Options) -> DataFrame:
+    """npix, x, y and value: the samples of every tile pixel put together by the overlay; `first` goes by image_id."""
+    samples = sample_tiles(frames, options)
+    return images.coadd(samples, ("npix", "x", "y"), options.overlay, rank="source").select("npix", "x", "y", "value")
+
+
 def build(frames: DataFrame, options: Options) -> dict[int, DataFrame]:
-    """Tiles (npix, x, y, value) by order: the highest, and with `tree` all below it."""
-    tiles = tiles_of(accumulate(sample_tiles(frames, options)))
+    """Tiles (npix, x, y, value) by order: the highest, and with `tree` all below it.
+
+    Tiles of more than NARROW pixels across are put together as arrays, narrower ones as rows of samples.
+    """
+    if options.overlay not in images.OVERLAYS:
+        raise ValueError(f"unknown overlay {options.overlay}")
+    tiles = (narrow_tiles if options.tile_width <= NARROW else wide_tiles)(frames, options)
     out = {options.order: tiles}
     if runs_tree(options.tree, options.tiles, options.append, options.order):
         for order in range(options.order - 1, -1, -1):

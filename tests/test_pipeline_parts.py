@@ -216,3 +216,30 @@ def test_tile_arrays_equal_tile_rows(spark):
     arrays = tilearrays.coadd(tilearrays.sample_frames(f, 2, 8)).collect()
     got = {(r["npix"], k): v for r in arrays for k, v in enumerate(r["pixels"]) if v == v}
     assert set(got) == set(rows) and all(abs(got[k] - rows[k]) < 1e-6 for k in rows)
+
+
+@pytest.mark.parametrize("overlay", images.OVERLAYS)
+def test_build_honours_overlays_in_narrow_and_wide_tiles(spark, monkeypatch, overlay):
+    """Rows and arrays agree, both with plain arithmetic over the samples, for image ids that are no numbers."""
+    f = frames(spark, lambda i, k: float("nan") if k % 11 == 3 else i * 10 + k % 7).withColumns({"crval1": F.lit(40.0) + F.col("image_id") * 2, "crval2": F.lit(10.0)}).withColumn("image_id", F.concat(F.lit("f"), F.lpad("image_id", 3, "0")))
+    options = build.Options(order=2, overlay=overlay, low=3.0, high=100.0)
+    held = {}
+    for r in build.sample_tiles(f, options).collect():
+        held.setdefault((r["npix"], r["x"], r["y"]), []).append((r["source"], r["value"], r["weight"]))
+    want = {}
+    for at, rows in held.items():
+        values, weights = [v for _, v, _ in rows], [w for _, _, w in rows]
+        want[at] = {
+            "mean": lambda: sum(values) / len(values), "add": lambda: sum(values), "first": lambda: min(rows)[1],
+            "weighted": lambda: sum(v * w for v, w in zip(values, weights, strict=True)) / sum(weights), "fading": lambda: sum(v * w for v, w in zip(values, weights, strict=True)) / sum(weights),
+        }[overlay]()
+    assert any(len(rows) > 1 for rows in held.values())
+    for narrow in (16, 4):
+        monkeypatch.setattr(build, "NARROW", narrow)
+        got = {(r["npix"], r["x"], r["y"]): r["value"] for r in build.build(f, options)[2].collect()}
+        assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_unknown_overlays_are_refused(spark):
+    with pytest.raises(ValueError):
+        build.build(frames(spark, lambda i, k: 1.0), build.Options(order=2, overlay="median"))
