@@ -32,7 +32,9 @@ def scratch_dir(spark: SparkSession) -> str:
     root = conf.get("spark.checkpoint.dir")
     if not root:
         if conf.get("spark.master", "").startswith("local") and "cluster" not in conf.get("spark.master", ""):
-            root = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="tessella-"))
+            if app not in _LOCAL:
+                _LOCAL[app] = tempfile.mkdtemp(prefix="tessella-")
+            root = _LOCAL[app]
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{root.rstrip('/')}/tessella-{app}"
