@@ -39,3 +39,15 @@ def card_value(header, key: str) -> Column:
 def index_line(line) -> Column:
     """filepath and cellmem of one JSON line; null for a malformed line."""
     return F.from_json(_col(line), "filepath string, cellmem long")
+
+
+def tile_of(path) -> tuple[Column, Column]:
+    """The order and the cell that a tile's path names, whatever folder and suffix; nulls for other files."""
+    found = lambda k: F.regexp_extract(_col(path), r"(?:^|/)Norder(\d+)/Dir\d+/Npix(\d+)\.\w+$", k)
+    return F.nullif(found(1), F.lit("")).cast("int"), F.nullif(found(2), F.lit("")).cast("long")
+
+
+def pixel_defaults(header) -> dict[str, Column]:
+    """What a reference image's header says about pixels; bitpix -32, bzero 0, bscale 1 and no blank where it is silent."""
+    number = lambda key, kind: card_value(header, key).try_cast(kind)
+    return {"bitpix": F.coalesce(number("BITPIX", "int"), F.lit(-32)), "bzero": F.coalesce(number("BZERO", "double"), F.lit(0.0)), "bscale": F.coalesce(number("BSCALE", "double"), F.lit(1.0)), "blank": number("BLANK", "double")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .healpix import _col
@@ -82,3 +82,10 @@ def order_by_size(side) -> Column:
     """The tile order that an image of this many pixels a side is built at by default."""
     side = _col(side)
     return F.when(side < 2048, 5).when(side < 4096, 6).when(side < 8192, 7).otherwise(8)
+
+
+def shifted(frames: DataFrame, shifts: DataFrame, key: str = "image_id") -> DataFrame:
+    """Frames with crpix moved by their key's dx and dy; those without a shift stay as they are."""
+    moves = shifts.select(key, F.col("dx").alias("_dx"), F.col("dy").alias("_dy"))
+    moved = frames.join(moves, key, "left").withColumns({"crpix1": F.col("crpix1") + F.coalesce("_dx", F.lit(0.0)), "crpix2": F.col("crpix2") + F.coalesce("_dy", F.lit(0.0))})
+    return moved.select(*frames.columns)

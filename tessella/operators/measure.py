@@ -68,12 +68,17 @@ def robust_scatter(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFram
 
 
 def difference(epoch: DataFrame, reference: DataFrame, by: tuple[str, ...], threshold: float = 5.0) -> DataFrame:
-    """Statistics of epoch less reference, pixel by pixel: background, sigma, peak and where, signal, snr, recovered.
+    """Statistics of epoch less reference, pixel by pixel: see `difference_statistics`."""
+    d = epoch.join(reference.withColumnRenamed("value", "_ref"), [*by, "x", "y"]).select(*by, "x", "y", (F.col("value") - F.col("_ref")).alias("d")).where("d is not null")
+    return difference_statistics(d, by, threshold)
+
+
+def difference_statistics(d: DataFrame, by: tuple[str, ...], threshold: float = 5.0) -> DataFrame:
+    """Of differences (by, x, y, d): background, sigma, peak and where, signal, snr, recovered.
 
     sigma is 1.4826 times the median absolute deviation, the standard deviation where that is zero, at least 1e-6.
     Of several largest pixels the first in row order counts.
     """
-    d = epoch.join(reference.withColumnRenamed("value", "_ref"), [*by, "x", "y"]).select(*by, "x", "y", (F.col("value") - F.col("_ref")).alias("d")).where("d is not null")
     middle = d.groupBy(*by).agg(F.median("d").alias("background"))
     r = d.join(middle, list(by)).withColumn("d", F.col("d") - F.col("background"))
     stats = r.groupBy(*by, "background").agg(
@@ -86,6 +91,25 @@ def difference(epoch: DataFrame, reference: DataFrame, by: tuple[str, ...], thre
     return out.withColumn("peak_snr", F.col("peak") / F.col("sigma")).withColumn("snr", snr).withColumn("recovered", snr >= threshold)
 
 
+def difference_photometry(epoch: DataFrame, reference: DataFrame, by: tuple[str, ...], x0, y0, radius: float, inner: float, outer: float) -> DataFrame:
+    """The aperture photometry of epoch less reference at a target's own position; see `aperture`.
+
+    Pixels that only one side has do not count. The error comes from the scatter of the difference in the annulus.
+    """
+    d = epoch.join(reference.withColumnRenamed("value", "_ref"), [*by, "x", "y"]).select(*by, "x", "y", (F.col("value") - F.col("_ref")).alias("value"))
+    return aperture(d, by, x0, y0, radius, inner, outer)
+
+
+def background_like(pixels: DataFrame, by: tuple[str, ...], width: int, height: int, sigmas: float = 1.5, margin: int = 0) -> DataFrame:
+    """Pixels less than `sigmas` robust deviations off their group's median and `margin` off the edges.
+
+    The deviation is 1.4826 times the median absolute deviation; where that is zero nothing is background-like.
+    """
+    stats = robust_scatter(pixels.where("value is not null"), by, "value").select(*by, "median", "scatter")
+    inner = F.col("x").between(margin, width - 1 - margin) & F.col("y").between(margin, height - 1 - margin)
+    return pixels.where(inner).join(stats, list(by)).where(F.abs(F.col("value") - F.col("median")) < sigmas * F.col("scatter")).select(*by, "x", "y", "value")
+
+
 def shift_vote(detected: DataFrame, predicted: DataFrame, by: tuple[str, ...], reach: float = 200.0, bin_size: float = 4.0) -> DataFrame:
     """by, dx, dy, votes: the most common offset between detected and predicted positions, then the median around it.
 
@@ -103,6 +127,21 @@ def shift_vote(detected: DataFrame, predicted: DataFrame, by: tuple[str, ...], r
     return near.groupBy(*by, "votes").agg(F.median("ox").alias("dx"), F.median("oy").alias("dy"), F.count("*").alias("n_near"))
 
 
+def nearest_pixel(left: DataFrame, right: DataFrame, by: tuple[str, ...], reach: float = 8.0) -> DataFrame:
+    """by, left_id, right_id and distance: for each left position (by, id, x, y) the nearest right one within `reach`.
+
+    A band join on a grid of `reach`; of equally near ones the smallest id counts, positions without one give no row.
+    """
+    r = right.select(*by, F.col("id").alias("right_id"), F.col("x").alias("_rx"), F.col("y").alias("_ry"))
+    r = r.withColumn("_c", F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i, j))))")))
+    r = r.withColumns({"_gx": F.floor(F.col("_rx") / reach) + F.col("_c.i"), "_gy": F.floor(F.col("_ry") / reach) + F.col("_c.j")})
+    q = left.select(*by, F.col("id").alias("left_id"), "x", "y", F.floor(F.col("x") / reach).alias("_gx"), F.floor(F.col("y") / reach).alias("_gy"))
+    away = F.sqrt((F.col("x") - F.col("_rx")) * (F.col("x") - F.col("_rx")) + (F.col("y") - F.col("_ry")) * (F.col("y") - F.col("_ry")))
+    near = q.join(r, [*by, "_gx", "_gy"]).withColumn("distance", away).where(F.col("distance") <= reach)
+    best = near.groupBy(*by, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("_m"))
+    return best.select(*by, "left_id", F.col("_m.right_id").alias("right_id"), F.col("_m.distance").alias("distance"))
+
+
 def recovery(rows: DataFrame, level: str, station: str, truth: str, recovered: Column) -> DataFrame:
     """level, station and n, hits, share: per station, and for `any` station by truth id."""
     r = rows.select(F.col(level).alias("level"), F.col(station).alias("station"), F.col(truth).alias("truth"), recovered.alias("hit"))

@@ -105,6 +105,24 @@ def build(frames: DataFrame, options: Options) -> dict[int, DataFrame]:
     return out
 
 
+def epoch_builds(observations: DataFrame, frames: DataFrame, by: tuple[str, ...], options: Options) -> DataFrame:
+    """by, npix, x, y and value: one build for each group of observations (image_id and `by`), all in one job.
+
+    The observations say which frames a group has; a frame may be in several groups. Tiles stay rows of samples, so
+    for wide tiles call `build` for each group's frames instead.
+    """
+    chosen = frames.drop(*by).join(observations.select("image_id", *by).distinct(), "image_id")
+    # The group goes into the key of a frame, since one frame may stand in several groups.
+    keyed = chosen.withColumn("image_id", F.struct("image_id", *by))
+    samples = sample_tiles(keyed.drop(*by), options).select("*", *[F.col(f"source.{c}").alias(c) for c in by])
+    return images.coadd(samples, (*by, "npix", "x", "y"), options.overlay, rank="source").select(*by, "npix", "x", "y", "value")
+
+
+def tile_counts(tiles: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, n_tiles and n_pixels: what each group's build wrote."""
+    return tiles.groupBy(*by).agg(F.countDistinct("npix").alias("n_tiles"), F.count("value").alias("n_pixels"))
+
+
 def append(state: DataFrame, frames: DataFrame, options: Options) -> DataFrame:
     """The state after new frames; equal to a build of all frames' state."""
     append_allowed(has_index=state is not None, weighted=options.overlay in ("mean", "weighted"))

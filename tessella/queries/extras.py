@@ -137,7 +137,8 @@ def cell_rollup(spark, sf):
 def injection_recovery_table(spark, sf):
     """Recovery of injected sources by level and station."""
     tiles = px(spark, sf).select(F.col("npix").alias("image_id"), "x", "y", "value")
-    return transients.injection_recovery(tiles, (3, 5, 7, 10, 20, 50), {"A": 1.0, "B": 1.5, "C": 2.5})
+    found = transients.injection_recovery(tiles, (3, 5, 7, 10, 20, 50), {"A": 1.0, "B": 1.5, "C": 2.5})
+    return found.select("level", "station", "n", "hits", r6("share").alias("share"), r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query()
@@ -150,4 +151,4 @@ def separated_peaks(spark, sf):
 @query()
 def noisy_tiles(spark, sf):
     """Tiles with reproducible normal noise."""
-    return simulate.with_noise(px(spark, sf).select("npix", "x", "y", "value"), 0.5, key="npix", seed=42)
+    return simulate.with_noise(px(spark, sf).select("npix", "x", "y", "value"), 0.5, key="npix", seed=42).withColumn("value", r6("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.healpix import tile_dir
-from ..functions.text import basename
+from ..functions.text import basename, tile_of
 
 LINE = "filepath string, cellmem long"
 
@@ -27,6 +27,40 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
     tiles.withColumn("dir", tile_dir("npix")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("order", "dir").parquet(path)
 
 
+def tile_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """order, npix and path of the tile files among `paths`; other files are left out."""
+    order, npix = tile_of(path)
+    return paths.select(order.alias("order"), npix.alias("npix"), F.col(path).alias("path")).where("order is not null")
+
+
+def highest_tiles(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The tile files of the highest order there is. The order is one row, broadcast."""
+    files = tile_files(paths, path)
+    return files.join(F.broadcast(files.agg(F.max("order").alias("order"))), "order").select("order", "npix", "path")
+
+
+def list_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The tile files below a folder of any store that Spark reads; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return tile_files(found)
+
+
+def write_rows(rows: DataFrame, path: str, form: str = "json", mode: str = "overwrite") -> None:
+    """A table as JSON lines or as CSV with a header, one file per partition."""
+    if form not in ("json", "csv"):
+        raise ValueError(f"unknown form {form}")
+    writer = rows.write.mode(mode)
+    writer.option("header", "true").csv(path) if form == "csv" else writer.option("ignoreNullFields", "false").json(path)
+
+
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    """Tables below each other with the union of their columns; what a table lacks is null."""
+    first, *rest = tables
+    for t in rest:
+        first = first.unionByName(t, allowMissingColumns=True)
+    return first
+
+
 def properties(tiles: DataFrame, order: int, width: int, low: float, high: float, bitpix: int = -32) -> DataFrame:
     """key and value rows of a survey's description."""
     one = tiles.select("npix").distinct().agg(F.count("*").alias("n"))

@@ -243,3 +243,45 @@ def test_build_honours_overlays_in_narrow_and_wide_tiles(spark, monkeypatch, ove
 def test_unknown_overlays_are_refused(spark):
     with pytest.raises(ValueError):
         build.build(frames(spark, lambda i, k: 1.0), build.Options(order=2, overlay="median"))
+
+
+def test_squares_are_clipped_to_the_frame(spark):
+    from tessella.plans import transients
+
+    f = frames(spark, lambda i, k: float("nan") if k == 13 else k, n=1)
+    at = spark.createDataFrame([(0, 1, 0.4, 1.2), (0, 2, 11.6, 5.0), (0, 3, -9.0, 4.0)], "image_id long, star_id long, x double, y double")
+    got = {(r["star_id"], r["x"], r["y"]): r["value"] for r in transients.around(at, f, 2).collect()}
+    want = {(s, x, y): None if (x, y) == (1, 1) else float(12 * y + x) for s, x0, y0 in ((1, 0, 1), (2, 12, 5)) for x in range(x0 - 2, x0 + 3) for y in range(y0 - 2, y0 + 3) if 0 <= x < 12 and 0 <= y < 12}
+    assert got == want
+
+
+def test_groups_of_frames_are_built_in_one_job(spark):
+    f = frames(spark, lambda i, k: i + k % 5).withColumn("station", (F.col("image_id") % 2).cast("string"))
+    o = build.Options(order=2)
+    seen = f.select("image_id", "station").unionByName(f.select("image_id", F.lit("all").alias("station")))
+    every = build.epoch_builds(seen, f, ("station",), o)
+    for name, part in (("0", f.where("station = '0'")), ("all", f)):
+        one = build.build(part, o)[2].withColumnRenamed("value", "v")
+        both = every.where(F.col("station") == name).join(one, ["npix", "x", "y"], "full")
+        assert both.where("value is null or v is null or abs(value - v) > 1e-9").count() == 0
+    assert {r["station"] for r in build.tile_counts(every, ("station",)).collect()} == {"0", "1", "all"}
+
+
+def test_nearest_pixel_equals_all_pairs(spark):
+    r = random.Random(4)
+    a, b = ([(g, i, r.uniform(-60, 60), r.uniform(-60, 60)) for g in (1, 2) for i in range(60)] for _ in (0, 1))
+    schema = "g int, id long, x double, y double"
+    got = {(x["g"], x["left_id"]): x["right_id"] for x in measure.nearest_pixel(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ("g",), 8.0).collect()}
+    want = {}
+    for g, i, x, y in a:
+        near = min((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for h, j, u, v in b if h == g)
+        if near[0] <= 8:
+            want[g, i] = near[1]
+    assert got == want
+
+
+def test_background_like_pixels_keep_off_sources_and_edges(spark):
+    rows = [(1, x, y, 10.0 + (x * 7 + y * 3) % 5 * 0.1 + (50.0 if (x, y) == (4, 4) else 0)) for x in range(9) for y in range(9)]
+    got = measure.background_like(spark.createDataFrame(rows, "g int, x int, y int, value double"), ("g",), 9, 9, 1.8, 2)
+    places = {(r["x"], r["y"]) for r in got.collect()}
+    assert places and (4, 4) not in places and all(2 <= v <= 6 for p in places for v in p)

@@ -114,3 +114,30 @@ def test_jobs(spark):
     b = boxes(spark, [(1, 10, 10, 5, 5, 128, 128), (1, 40, 10, 5, 5, 128, 128), (2, 0, 0, 256, 128, 256, 128), (3, 70, 0, 5, 5, 64, 64)])
     j = cutouts.jobs(b, 32).collect()
     assert len(j) == 3 and sum(r["read_full"] for r in j) == 1
+
+
+def test_tile_files_are_found_by_path(spark, tmp_path):
+    from tessella.sources import index as ix
+
+    for name in ("Norder3/Dir0/Npix7.fits", "Norder4/Dir10000/Npix10012.fits", "Norder4/Dir0/Npix3.fits", "properties", "Norder3/Allsky.fits"):
+        (tmp_path / "hips" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "hips" / name).write_bytes(b"x")
+    found = ix.list_tiles(spark, str(tmp_path / "hips"))
+    assert {(r["order"], r["npix"]) for r in found.collect()} == {(3, 7), (4, 10012), (4, 3)}
+    assert {r["npix"] for r in ix.highest_tiles(found.select("path")).collect()} == {10012, 3}
+    assert ix.highest_tiles(found.select("path").where("false")).count() == 0
+
+
+def test_rows_are_written_as_json_and_csv(spark, tmp_path):
+    import pytest
+
+    from tessella.sources import index as ix
+
+    a = spark.createDataFrame([(1, "x"), (2, None)], "id long, name string")
+    both = ix.union_of([a, spark.createDataFrame([(3, 0.5)], "id long, snr double")])
+    want = {(1, "x", None), (2, None, None), (3, None, 0.5)}
+    for form, read in (("json", lambda p: spark.read.schema(both.schema).json(p)), ("csv", lambda p: spark.read.schema(both.schema).option("header", "true").csv(p))):
+        ix.write_rows(both, str(tmp_path / form), form)
+        assert {(r["id"], r["name"], r["snr"]) for r in read(str(tmp_path / form)).collect()} == want
+    with pytest.raises(ValueError):
+        ix.write_rows(both, str(tmp_path / "x"), "xml")
