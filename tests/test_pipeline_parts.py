@@ -285,3 +285,14 @@ def test_background_like_pixels_keep_off_sources_and_edges(spark):
     got = measure.background_like(spark.createDataFrame(rows, "g int, x int, y int, value double"), ("g",), 9, 9, 1.8, 2)
     places = {(r["x"], r["y"]) for r in got.collect()}
     assert places and (4, 4) not in places and all(2 <= v <= 6 for p in places for v in p)
+
+
+def test_source_keys_resolve_in_four_steps(spark):
+    from tessella.operators.coverage import resolve_sources
+
+    files = spark.createDataFrame([(p,) for p in ("/data/a/1.fits", "/data/deep/b/2.fits", "/data/deep/c/2.fits", "/far/3.fits", "/", "", None)], "path string")
+    keys = spark.createDataFrame([(k,) for k in ("/far/3.fits", "a/1.fits", "c/2.fits", "x/2.fits", "x/9.fits", "/1.fits", None)], "source_key string")
+    got = {r["source_key"]: (r["path"], r["how"]) for r in resolve_sources(keys, files, "/data").collect()}
+    assert got["/far/3.fits"] == ("/far/3.fits", "exact") and got["a/1.fits"] == ("/data/a/1.fits", "exact")
+    assert got["c/2.fits"] == ("/data/deep/c/2.fits", "suffix") and got["x/2.fits"] == ("/data/deep/b/2.fits", "basename")
+    assert got["x/9.fits"] == (None, None) and got[None] == (None, None) and got["/1.fits"][0] == "/data/a/1.fits"
