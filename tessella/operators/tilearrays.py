@@ -14,23 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.healpix import JPLL, JRLL
 from .coverage import coverage
+from .polygons import compress
 
 SPREAD = 8
 WCS = ("width", "height", "crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2")
 
 
-def _compress(v: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(v)
-    for k in range(24):
-        out |= (v >> 2 * k & 1) << k
-    return out
-
-
 def cell_centres(pix: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Right ascension and declination, in radians, of nested cells."""
     n = 1 << order
     face, inside = pix >> 2 * order, pix & (n * n - 1)
-    x, y = _compress(inside), _compress(inside >> 1)
+    x, y = compress(inside), compress(inside >> 1)
     jr = np.array(JRLL)[face] * n - x - y - 1
     nr = np.where(jr < n, jr, np.where(jr > 3 * n, 4 * n - jr, n))
     polar = (jr < n) | (jr > 3 * n)
@@ -45,7 +39,7 @@ def cell_centres(pix: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 def tile_grid(width: int) -> np.ndarray:
     """Place in the row-major tile of each cell in nested order."""
     k = np.arange(width * width)
-    return (width - 1 - _compress(k)) * width + _compress(k >> 1)
+    return (width - 1 - compress(k)) * width + compress(k >> 1)
 
 
 def sample(npix: int, frame: dict, order: int, width: int, policy: str = "replace", overlay: str = "weighted", low: float = -np.inf, high: float = np.inf) -> tuple[np.ndarray, np.ndarray]:

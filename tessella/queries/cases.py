@@ -14,7 +14,7 @@ from ..sources import index as ix
 from .grid import COVERAGE_SQL, r6
 from .measures import shift_vote
 from .pixels import px
-from .sky import FRAMES, PIXELS, SQL, STARS, WCS, ang2pix_sql, compress_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, stars, table
+from .sky import FRAMES, PIXELS, SQL, STARS, WCS, ang2pix_sql, compress_sql, cover_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, stars, table
 
 
 def r4(c):
@@ -43,10 +43,8 @@ def bilinear_sql(relation: str, keep: str, w: int) -> str:
  WHERE px >= -0.5 AND py >= -0.5 AND px < {w - 0.5} AND py < {w - 0.5})))))"""
 
 
-SAMPLES_SQL = f"""{VECTOR_FRAMES}, vgrid AS (SELECT f.*, x, y FROM vframes f, (SELECT range AS x FROM range(8)), (SELECT range AS y FROM range(8))),
- vcover AS (SELECT DISTINCT image_id, npix FROM {ang2pix_sql(pix2sky_sql('vgrid', 'image_id'), 2)}),
- vcells AS (SELECT image_id, tile, k, ra, dec FROM {pix2ang_sql('(SELECT image_id, npix AS tile, k, npix * 64 + k AS npix FROM vcover, (SELECT range AS k FROM range(64)))', 5)}),
- vplaced AS (SELECT * FROM {sky2pix_sql('(SELECT tile, k, ra, dec, f.* FROM vcells JOIN vframes f USING (image_id))', 'image_id, station, tile, k, pixels')}),
+SAMPLES_SQL = f"""{VECTOR_FRAMES}, vcells AS MATERIALIZED (SELECT npix >> 6 AS tile, npix & 63 AS k, ra, dec FROM {pix2ang_sql('(SELECT range AS npix FROM range(12288))', 5)}),
+ vplaced AS (SELECT * FROM {sky2pix_sql('(SELECT tile, k, ra, dec, f.* FROM vcells JOIN vframes f ON dec BETWEEN crval2 - 10 AND crval2 + 10)', 'image_id, station, tile, k, pixels')} WHERE px BETWEEN -1 AND 8 AND py BETWEEN -1 AND 8),
  samples AS (SELECT image_id, station, tile AS npix, {compress_sql('(k >> 1)', 3)}::INT AS x, (7 - {compress_sql('k', 3)})::INT AS y, value, (CASE WHEN px >= 6.5 AND px < 7 THEN 0.5 ELSE 1.0 END * CASE WHEN py >= 6.5 AND py < 7 THEN 0.5 ELSE 1.0 END)::DOUBLE AS weight
   FROM {bilinear_sql('vplaced', 'image_id, station, tile, k, px, py', 8)} WHERE value IS NOT NULL)"""
 
@@ -102,8 +100,7 @@ def epoch_tile_counts(spark, sf):
 WIDE = 16
 WIDE_FRAMES = f"""{FRAMES}, {STARS}, wframes AS (SELECT image_id, date_obs, station, 16 AS width, 16 AS height, crval1, crval2, 8.5::DOUBLE AS crpix1, 8.5::DOUBLE AS crpix2, -0.8::DOUBLE AS cd1_1, 0.0::DOUBLE AS cd1_2, 0.0::DOUBLE AS cd2_1, 0.8::DOUBLE AS cd2_2,
   list_transform(range(256), lambda i: (100 + ((i % 16) * 7 + (i // 16) * 13 + image_id * 3) % 11 + CASE WHEN ((i % 16) * 5 + (i // 16) * 3 + image_id) % 17 = 0 THEN 500 ELSE 0 END)::DOUBLE) AS pixels FROM frames),
- wgrid AS (SELECT f.* EXCLUDE (pixels), x, y FROM wframes f, (SELECT unnest([0, 2, 4, 6, 8, 10, 12, 14, 15]) AS x), (SELECT unnest([0, 2, 4, 6, 8, 10, 12, 14, 15]) AS y)),
- wcover AS MATERIALIZED (SELECT DISTINCT image_id, npix FROM {ang2pix_sql(pix2sky_sql('wgrid', 'image_id'), 3)}),
+ wcover AS MATERIALIZED (SELECT image_id, npix FROM {cover_sql('wframes', 'image_id', 3, 16, 0.8)}),
  targets AS (SELECT s_suppkey AS target_id, (s_suppkey * 29.7713::DOUBLE) - 360.0::DOUBLE * floor(s_suppkey * 29.7713::DOUBLE / 360.0::DOUBLE) AS ra, (s_suppkey * 17.3171::DOUBLE) - 160.0::DOUBLE * floor(s_suppkey * 17.3171::DOUBLE / 160.0::DOUBLE) - 80.0::DOUBLE AS dec FROM supplier)"""
 
 
@@ -126,8 +123,7 @@ def targets(spark, sf):
 
 
 PHOTOMETRY_SQL = f"""{WIDE_FRAMES}, both_ AS (SELECT -target_id - 1 AS star_id, ra, dec FROM targets UNION ALL SELECT star_id, ra, dec FROM stars WHERE mag BETWEEN 14 AND 20),
- located AS (SELECT star_id, ra, dec, npix FROM {ang2pix_sql('both_', 3)}),
- spots AS (SELECT image_id, star_id, px AS x0, py AS y0, pixels FROM {sky2pix_sql('(SELECT l.star_id, l.ra, l.dec, f.* FROM located l JOIN wcover c USING (npix) JOIN wframes f ON f.image_id = c.image_id)', 'image_id, star_id, pixels')} WHERE px >= 0 AND py >= 0 AND px < 16 AND py < 16),
+ spots AS (SELECT image_id, star_id, px AS x0, py AS y0, pixels FROM {sky2pix_sql('(SELECT l.star_id, l.ra, l.dec, f.* FROM both_ l JOIN wframes f ON l.dec BETWEEN f.crval2 - 10 AND f.crval2 + 10)', 'image_id, star_id, pixels')} WHERE px >= 0 AND py >= 0 AND px < 16 AND py < 16),
  square AS (SELECT image_id, star_id, x0, y0, x, y, CASE WHEN x BETWEEN 0 AND 15 AND y BETWEEN 0 AND 15 THEN pixels[y * 16 + x + 1] END AS v FROM (SELECT *, round(x0)::INT - 4 + i AS x, round(y0)::INT - 4 + j AS y FROM spots, (SELECT range AS i FROM range(9)), (SELECT range AS j FROM range(9)))),
  rings AS (SELECT *, (x - x0) * (x - x0) + (y - y0) * (y - y0) AS r2 FROM square),
  sums AS (SELECT image_id, star_id, count(v) FILTER (r2 <= 2.25) AS n, sum(v) FILTER (r2 <= 2.25) AS s, median(v) FILTER (r2 BETWEEN 4 AND 9) AS sky, var_pop(v) FILTER (r2 BETWEEN 4 AND 9) AS var FROM rings GROUP BY ALL),

@@ -11,7 +11,7 @@ from ..operators import coverage as cov
 from ..operators import cutouts, images, incremental
 from ..plans import build
 from ..sources import index as ix
-from .sky import FRAMES, STARS, ang2pix_sql, compress_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, spread_sql, stars, table
+from .sky import FRAMES, STARS, ang2pix_sql, compress_sql, cover_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, spread_sql, stars, table
 
 
 def r6(c):
@@ -105,8 +105,7 @@ def upper_median_scale(spark, sf):
     return ranked.where("upto > floor(n / 2)").agg(F.min("scale").alias("median_scale"))
 
 
-COVERAGE_SQL = f"""grid AS (SELECT f.*, gx AS x, gy AS y FROM frames f, (SELECT DISTINCT least(range, 63) AS gx FROM range(0, 90, 22)), (SELECT DISTINCT least(range, 63) AS gy FROM range(0, 90, 22))),
- cover AS (SELECT DISTINCT image_id, npix FROM {ang2pix_sql(pix2sky_sql('grid', 'image_id'), 6)})"""
+COVERAGE_SQL = f"cover AS MATERIALIZED (SELECT image_id, npix FROM {cover_sql('frames', 'image_id', 6, 64, 0.01)})"
 
 
 @query(f"WITH {FRAMES}, {COVERAGE_SQL} SELECT image_id, npix FROM cover")

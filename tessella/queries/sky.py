@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,6 +110,33 @@ def pix2ang_sql(relation: str, order: int) -> str:
  SELECT *, npix >> {2 * order} AS f_, {compress_sql(f'(npix & {n * n - 1})', order)} AS x_, {compress_sql(f'((npix & {n * n - 1}) >> 1)', order)} AS y_ FROM {relation}))))))"""
 
 
+def cover_sql(relation: str, keep: str, order: int, width: int, scale: float) -> str:
+    """SQL of the cells of `order` that meet frames of `width` pixels a side of `scale` degrees: every cell against every frame.
+
+    A cell's outline of 32 points is put into the frame's pixels and each of its sides clipped by the frame and its margin.
+    """
+    fine = max(order, 4)
+    n, side, k = 1 << fine, math.degrees(math.sqrt(math.pi / 3)) / (1 << fine), 8
+    radius = math.degrees(math.atan(math.radians((width + 1) * scale / math.sqrt(2))))
+    reach, rim = radius + 1.05 * side, math.radians(min(radius + 2.1 * side, 85.9))
+    slack = 0.5 + 0.003 * side * math.sqrt(2) / scale / math.cos(rim) ** 2
+    steps = [j / k for j in range(k)]
+    u, v = steps + [1.0] * k + [1 - j for j in steps] + [0.0] * k, [0.0] * k + steps + [1.0] * k + [1 - j for j in steps]
+    dot = "sin(radians(dec)) * sin(radians(crval2)) + cos(radians(dec)) * cos(radians(crval2)) * cos(radians(ra - crval1))"
+    near = f"""(SELECT f.*, npix, npix >> {2 * fine} AS f_, {compress_sql(f'(npix & {n * n - 1})', fine)} AS x_, {compress_sql(f'((npix & {n * n - 1}) >> 1)', fine)} AS y_
+  FROM {relation} f JOIN {pix2ang_sql(f'(SELECT range AS npix FROM range({12 * n * n}))', fine)} c ON dec BETWEEN crval2 - {reach + 0.1} AND crval2 + {reach + 0.1} WHERE {dot} >= {math.cos(math.radians(reach + 0.1))})"""
+    points = f"""(SELECT *, degrees(pi() / 4 * (([1,3,5,7,0,2,4,6,1,3,5,7])[f_ + 1] + CASE WHEN s_ > 0 THEN (ga_ - gb_) / s_ ELSE 0 END)) AS ra, degrees(atan2(z_, CASE WHEN s_ < 1 THEN sqrt(s_ * s_ / 3 * (2 - s_ * s_ / 3)) ELSE sqrt(1 - z_ * z_) END)) AS dec FROM (
+ SELECT *, CASE WHEN r_ < 1 THEN 1 - s_ * s_ / 3 WHEN r_ > 3 THEN s_ * s_ / 3 - 1 ELSE (2 - r_) * 2 / 3 END AS z_ FROM (
+ SELECT *, CASE WHEN r_ < 1 THEN r_ WHEN r_ > 3 THEN 4 - r_ ELSE 1 END AS s_ FROM (
+ SELECT *, ([2,2,2,2,3,3,3,3,4,4,4,4])[f_ + 1] - ga_ - gb_ AS r_ FROM (
+ SELECT *, (x_ + ({u}::DOUBLE[])[k_]) / {n} AS ga_, (y_ + ({v}::DOUBLE[])[k_]) / {n} AS gb_ FROM {near}, (SELECT range AS k_ FROM range(1, {4 * k + 1})))))))"""
+    low, high = -0.5 - slack, width - 0.5 + slack
+    return f"""(SELECT DISTINCT {keep}, npix >> {2 * (fine - order)} AS npix FROM (
+ SELECT *, unnest(range(1, {4 * k + 1})) AS i_ FROM (SELECT {keep}, npix, list(px ORDER BY k_) AS px_, list(py ORDER BY k_) AS py_ FROM {sky2pix_sql(points, keep + ', npix, k_')} GROUP BY ALL))
+ WHERE greatest(least(({low} - px_[i_]) / (px_[i_ % {4 * k} + 1] - px_[i_]), ({high} - px_[i_]) / (px_[i_ % {4 * k} + 1] - px_[i_])), least(({low} - py_[i_]) / (py_[i_ % {4 * k} + 1] - py_[i_]), ({high} - py_[i_]) / (py_[i_ % {4 * k} + 1] - py_[i_])), 0)
+  <= least(greatest(({low} - px_[i_]) / (px_[i_ % {4 * k} + 1] - px_[i_]), ({high} - px_[i_]) / (px_[i_ % {4 * k} + 1] - px_[i_])), greatest(({low} - py_[i_]) / (py_[i_ % {4 * k} + 1] - py_[i_]), ({high} - py_[i_]) / (py_[i_ % {4 * k} + 1] - py_[i_])), 1)
+ UNION SELECT {keep}, npix FROM {ang2pix_sql(f'(SELECT *, crval1 AS ra, crval2 AS dec FROM {relation})', order)})"""
+
 
 def pix2sky_sql(relation: str, keep: str) -> str:
     """SQL that adds ra and dec of pixel (x, y) of a frame relation; keeps the columns in `keep`."""

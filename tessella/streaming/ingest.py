@@ -7,18 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import healpix as hp
-from ..functions import wcs
-from ..operators.coverage import sample_positions
+from ..operators.coverage import coverage
 from ..operators.incremental import accumulate
 
 
 def dirty_tile_stream(frames: DataFrame, order: int, time: str = "date_obs", late: str = "1 day") -> DataFrame:
     """npix and image_id of every frame of a stream, each frame once; frames later than `late` are dropped."""
     once = frames.withWatermark(time, late).dropDuplicatesWithinWatermark(["image_id"])
-    good = once.where(wcs.has_wcs("width", "height", "cd1_1", "cd1_2", "cd2_1", "cd2_2"))
-    cells = hp.with_cell(sample_positions(good, order, keep=("image_id", time)), order).select("image_id", time, "npix")
-    return cells.dropDuplicatesWithinWatermark(["image_id", "npix"])
+    return coverage(once, order, keep=(time,))
 
 
 def nights(rows: DataFrame, time: str, by: tuple[str, ...], late: str = "1 day") -> DataFrame:
