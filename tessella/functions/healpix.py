@@ -157,6 +157,37 @@ def unit_vector(ra, dec) -> tuple[Column, Column, Column]:
     return F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d)
 
 
+def separation(ra, dec, other_ra, other_dec) -> Column:
+    """Angle between two positions, in degrees, from the chord between their directions: exact for small angles."""
+    chord = F.sqrt(sum(((p - q) * (p - q) for p, q in zip(unit_vector(ra, dec), unit_vector(other_ra, other_dec), strict=True)), F.lit(0.0)))
+    return F.degrees(2 * F.asin(F.least(chord / 2, F.lit(1.0))))
+
+
+def with_neighbours(df: DataFrame, order: int, pix: str = "npix", out: str = "neighbour") -> DataFrame:
+    """One row per row of `df` and cell that shares a side or a corner with `pix`: eight for most cells, seven or six for some.
+
+    Each corner is circled closely, in steps of an eighth of a turn; the cells met there are the neighbours, so the seams between
+    base cells need no rules. Orders up to 20.
+    """
+    inner = min(6, MAX_ORDER - order)  # a corner is the centre of the cell `inner` orders down that lies in it
+    last = (1 << 2 * inner) - 1
+    corners = (0, last // 3, last // 3 * 2, last)
+    rows = df.where(is_valid(pix, order)).withColumn("_nb_at", F.explode(F.array(*[F.col(pix) * (1 << 2 * inner) + k for k in corners])))
+    rows = with_centre(with_centre(rows, order, pix, "_nb_ra", "_nb_dec"), order + inner, "_nb_at", "_nb_ra2", "_nb_dec2")
+    c, p = unit_vector("_nb_ra", "_nb_dec"), unit_vector("_nb_ra2", "_nb_dec2")
+    rows = fenced(rows, {f"_nb_{k}{i}": v for i in range(3) for k, v in (("p", p[i]), ("r", p[i] - c[i]))}, drop=("_nb_at", "_nb_ra", "_nb_dec", "_nb_ra2", "_nb_dec2"))
+    turns = F.array(*[F.struct(F.lit(0.1 * math.cos(k * math.pi / 4)).alias("c"), F.lit(0.1 * math.sin(k * math.pi / 4)).alias("s")) for k in range(-3, 4)])
+    rows = rows.withColumn("_nb_t", F.explode(turns))
+    at = lambda k, i: F.col(f"_nb_{k}{i}")
+    across = [at("p", (i + 1) % 3) * at("r", (i + 2) % 3) - at("p", (i + 2) % 3) * at("r", (i + 1) % 3) for i in range(3)]
+    v = [at("p", i) + F.col("_nb_t.c") * at("r", i) + F.col("_nb_t.s") * across[i] for i in range(3)]
+    rows = fenced(rows.select(*df.columns, *[e.alias(f"_nb_v{i}") for i, e in enumerate(v)]), {
+        "_nb_ra": F.degrees(F.atan2(F.col("_nb_v1"), F.col("_nb_v0"))), "_nb_dec": F.degrees(F.atan2(F.col("_nb_v2"), F.sqrt(F.col("_nb_v0") * F.col("_nb_v0") + F.col("_nb_v1") * F.col("_nb_v1")))),
+    })
+    found = with_cell(rows, order, "_nb_ra", "_nb_dec", out).select(*df.columns, out)
+    return found.where(F.col(out) != F.col(pix)).distinct()
+
+
 def to_galactic(ra, dec) -> tuple[Column, Column]:
     """Galactic longitude and latitude of an ICRS position, in degrees."""
     # Pole and node of the galactic frame.

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import healpix as hp
@@ -180,3 +181,47 @@ def footprint_cells(frames: DataFrame, order: int, keep: tuple[str, ...] = ()) -
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pix, pa.int64())], [*names, "npix"])
 
     return good.select(*names, *[good[c].alias(f"_{c}") for c in WCS]).mapInArrow(run, schema)
+
+
+def disc_cells(positions: DataFrame, order: int, radius: str | float, ra: str = "ra", dec: str = "dec") -> DataFrame:
+    """`positions` with npix: one row per position and cell of `order` that may meet the disc of `radius` degrees around it.
+
+    No cell that holds a point of the disc is missing. `radius` is a number or the name of a column; a position or radius that
+    is null, or a negative radius, has no cells.
+    """
+    held = positions.withColumns({"_ra": F.col(ra).cast("double"), "_dec": F.col(dec).cast("double"), "_radius": (F.col(radius) if isinstance(radius, str) else F.lit(radius)).cast("double")})
+    held = held.where("_ra is not null and _dec between -90 and 90 and _radius >= 0")
+    names = positions.columns
+    schema = StructType([*positions.schema.fields, StructField("npix", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            a, d, r = (np.radians(batch.column(c).to_numpy()) for c in ("_ra", "_dec", "_radius"))
+            middle = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], -1)
+            upto = np.floor(np.cumsum(np.maximum((1 + r / np.radians(hp.pixel_size(order))) ** 2 * 4, 12)) / PAIRS)
+            starts = np.flatnonzero(np.r_[True, upto[1:] != upto[:-1]]) if len(r) else []
+            for x, y in zip(starts, np.r_[starts[1:], len(r)].astype(int), strict=True) if len(r) else ():
+                at, pix = descend(middle[x:y], r[x:y], order)
+                yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(at + x)).columns, pa.array(pix, pa.int64())], [*names, "npix"])
+
+    return held.mapInArrow(run, schema)
+
+
+def disc_ranges(ra: float, dec: float, radius: float, order: int, most: int = 32) -> list[tuple[int, int]]:
+    """Sorted ranges (first, last) of cells of `order` that hold the disc around one position, at most `most` of them.
+
+    The descent goes no deeper than needed for `most` ranges; the narrowest gaps are closed first, so more cells may be in
+    the ranges than in the disc.
+    """
+    a, d = np.radians(ra), np.radians(dec)
+    middle = np.array([[np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)]])
+    level = 0
+    while level < order and 4 * (1 + radius / hp.pixel_size(level + 1)) ** 2 <= 64 * most:
+        level += 1
+    _, pix = descend(middle, np.array([np.radians(radius)]), level)
+    pix = np.sort(pix)
+    gaps = pix[1:] - pix[:-1] - 1
+    open_ = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
+    open_ = open_[gaps[open_] > 0]
+    shift = 2 * (order - level)
+    return [(int(x) << shift, (int(y) + 1 << shift) - 1) for x, y in zip(pix[np.r_[0, open_ + 1]], pix[np.r_[open_, len(pix) - 1]], strict=True)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import healpix as hp
 from ..functions import text, wcs
 from ..operators import coverage as cov
-from ..operators import cutouts, images, incremental
+from ..operators import catalogue, cutouts, images, incremental
 from ..plans import build
 from ..sources import index as ix
 from .sky import FRAMES, STARS, ang2pix_sql, compress_sql, cover_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, spread_sql, stars, table
@@ -244,11 +244,43 @@ def observation_query(spark, sf):
 
 @query(f"WITH {STARS} SELECT star_id, round(mag, 6) AS mag, round(sep, 6) AS sep FROM (SELECT *, degrees(2 * asin(least(1.0, sqrt(pow(cos(radians(dec)) * cos(radians(ra)) - cos(radians(10.0)) * cos(radians(40.0)), 2) + pow(cos(radians(dec)) * sin(radians(ra)) - cos(radians(10.0)) * sin(radians(40.0)), 2) + pow(sin(radians(dec)) - sin(radians(10.0)), 2)) / 2))) AS sep FROM stars) WHERE sep <= 25 AND mag BETWEEN 14 AND 19.5")
 def cone_search(spark, sf):
-    """Stars of a magnitude window within 25 degrees of a position."""
-    a, b = hp.unit_vector("ra", "dec"), hp.unit_vector(F.lit(40.0), F.lit(10.0))
-    chord = F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0)))
-    s = stars(spark, sf).withColumn("sep", F.degrees(2 * F.asin(F.least(chord / 2, F.lit(1.0)))))
-    return s.where((F.col("sep") <= 25) & F.col("mag").between(14, 19.5)).select("star_id", r6("mag").alias("mag"), r6("sep").alias("sep"))
+    """Stars of a magnitude window within 25 degrees of a position: ranges of cells, then the exact test."""
+    found = catalogue.cone(hp.with_cell(stars(spark, sf), 6), 40.0, 10.0, 25.0, 6)
+    return found.where(F.col("mag").between(14, 19.5)).select("star_id", r6("mag").alias("mag"), r6("separation").alias("sep"))
+
+
+BAND_SQL = """bands AS (SELECT star_id, ra, dec, mag AS gmag, CASE WHEN star_id % 11 = 0 THEN 'nan'::DOUBLE ELSE mag - 0.4 END AS rmag, CASE WHEN star_id % 5 = 0 THEN NULL WHEN star_id % 7 = 0 THEN -1.0 ELSE 0.01 + (star_id % 9) / 100.0 END::DOUBLE AS e_rmag FROM stars),
+ fields AS (SELECT s_suppkey AS target_id, CASE s_suppkey % 4 WHEN 0 THEN 'V' WHEN 1 THEN 'g' WHEN 2 THEN 'R' ELSE 'H' END AS band, (s_suppkey % 5 + 1) * 2.0 AS radius, (s_suppkey * 29.7713::DOUBLE) - 360.0::DOUBLE * floor(s_suppkey * 29.7713::DOUBLE / 360.0::DOUBLE) AS ra, (s_suppkey * 17.3171::DOUBLE) - 180.0::DOUBLE * floor(s_suppkey * 17.3171::DOUBLE / 180.0::DOUBLE) - 90.0::DOUBLE AS dec FROM supplier)"""
+
+
+def _sep_sql(a: str, b: str) -> str:
+    return f"degrees(2 * asin(least(1.0, sqrt(pow(cos(radians({a}.dec)) * cos(radians({a}.ra)) - cos(radians({b}.dec)) * cos(radians({b}.ra)), 2) + pow(cos(radians({a}.dec)) * sin(radians({a}.ra)) - cos(radians({b}.dec)) * sin(radians({b}.ra)), 2) + pow(sin(radians({a}.dec)) - sin(radians({b}.dec)), 2)) / 2)))"
+
+
+@query(f"""WITH {STARS}, {BAND_SQL}, pairs AS (SELECT f.target_id, f.band, b.star_id, f.radius, {_sep_sql('f', 'b')} AS sep, CASE WHEN f.band IN ('V', 'R') THEN rmag WHEN f.band = 'g' THEN gmag END AS mag,
+ CASE WHEN f.band IN ('V', 'R') THEN CASE WHEN e_rmag > 0 THEN e_rmag ELSE 0.05 END ELSE 0.01 END AS mag_err FROM fields f JOIN bands b ON abs(f.dec - b.dec) <= f.radius + 0.01)
+ SELECT target_id, star_id, round(sep, 6) AS sep, round(mag, 6) AS mag, round(mag_err, 6) AS mag_err FROM pairs WHERE sep <= radius AND NOT isnan(mag) AND mag BETWEEN 14 AND 20""")
+def reference_cones(spark, sf):
+    """Reference stars around every position, within its own radius and in its own band."""
+    s, key = stars(spark, sf), F.col("star_id")
+    rmag = F.when(key % 11 == 0, float("nan")).otherwise(F.col("mag") - 0.4)
+    err = F.when(key % 5 == 0, None).when(key % 7 == 0, -1.0).otherwise(0.01 + (key % 9) / 100.0)
+    bands = s.select("star_id", "ra", "dec", F.col("mag").alias("gmag"), rmag.alias("rmag"), err.alias("e_rmag"))
+    k, turn = F.col("s_suppkey"), lambda x, m: x - m * F.floor(x / m)
+    band = F.when(k % 4 == 0, "V").when(k % 4 == 1, "g").when(k % 4 == 2, "R").otherwise("H")
+    fields = table(spark, sf, "supplier").select(k.alias("target_id"), band.alias("band"), ((k % 5 + 1) * 2.0).alias("radius"), turn(k * 29.7713, 360.0).alias("ra"), (turn(k * 17.3171, 180.0) - 90.0).alias("dec"))
+    found = catalogue.reference_stars(catalogue.cones(fields, bands, "radius", 4), F.col("band"))
+    return found.select("target_id", "star_id", r6("separation").alias("sep"), r6("mag").alias("mag"), r6("mag_err").alias("mag_err"))
+
+
+@query(f"""WITH {STARS}, c AS (SELECT DISTINCT npix FROM {ang2pix_sql('stars', 4)}),
+ corners AS (SELECT npix, unnest([0.0, 1.0, 1.0, 0.0]) AS u, unnest([0.0, 0.0, 1.0, 1.0]) AS v, npix >> 8 AS f_, {compress_sql('(npix & 255)', 4)} AS x_, {compress_sql('((npix & 255) >> 1)', 4)} AS y_ FROM (SELECT range AS npix FROM range(3072))),
+ rings AS (SELECT npix, f_, (x_ + u) / 16.0::DOUBLE AS a, (y_ + v) / 16.0::DOUBLE AS b, ([2,2,2,2,3,3,3,3,4,4,4,4])[f_ + 1] - (x_ + u) / 16.0::DOUBLE - (y_ + v) / 16.0::DOUBLE AS r FROM corners),
+ places AS (SELECT npix, round(CASE WHEN r < 1 THEN 1 - s * s / 3 WHEN r > 3 THEN s * s / 3 - 1 ELSE (2 - r) * 2 / 3 END, 9) AS z, CASE WHEN s = 0 THEN 0 ELSE (round(([1,3,5,7,0,2,4,6,1,3,5,7])[f_ + 1] * 1e6 + (a - b) / s * 1e6)::BIGINT + 8000000) % 8000000 END AS t FROM (SELECT *, CASE WHEN r < 1 THEN r WHEN r > 3 THEN 4 - r ELSE 1 END AS s FROM rings))
+ SELECT DISTINCT c.npix, q.npix AS neighbour FROM c JOIN places p ON p.npix = c.npix JOIN places q ON q.z = p.z AND q.t = p.t AND q.npix <> p.npix""")
+def cell_neighbours(spark, sf):
+    """The cells around every cell that holds a star: those that share a corner with it."""
+    return hp.with_neighbours(hp.with_cell(stars(spark, sf), 4).select("npix").distinct(), 4)
 
 
 @query(f"""WITH {STARS}, l AS (SELECT star_id AS left_id, ra, dec FROM stars WHERE star_id % 2 = 0), r AS (SELECT star_id AS right_id, ra AS ra2, dec AS dec2 FROM stars WHERE star_id % 2 = 1),
