@@ -129,7 +129,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     flagged = read.select("doc_id", "part", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), *[c.alias(f) for f, c in found.items()])
     flagged = materialize(flagged, "audit-texts")
     first = first_of_text(flagged).withColumn("first", F.lit(True))
-    marked = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    ids = F.col("doc_id").try_cast(docs.schema["doc_id"].dataType)  # ids of another type are no error
+    marked = labels.groupBy(ids.alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     # By id and text, as by id alone, a key has one row unless the table repeats it: no copies meet in one task.
     verdicts = flagged.join(first, ["digest", "doc_id"], "left").join(marked, "doc_id", "left").select(

@@ -361,10 +361,10 @@ def _matchers(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str):
             yield Matcher([r["item_id"] for r in rows], [r["text"] for r in rows], vocabulary, idf, basis)
 
 
-def _found(matcher: Matcher):
-    """A UDF from text to the array of its matches."""
+def _found(matcher: Matcher, kind: str):
+    """A UDF from text to the array of its matches; `kind` is the type of item ids."""
 
-    @F.pandas_udf("array<struct<item_id:long,start:int,cosine:double,lcs:double,answer:double>>")
+    @F.pandas_udf(f"array<struct<item_id:{kind},start:int,cosine:double,lcs:double,answer:double>>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([
             [{"item_id": matcher.item_ids[k], "start": s, "cosine": c, "lcs": share, "answer": a} for k, s, c, share, a in matcher.find(t)]
@@ -383,12 +383,12 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "
     items count once; extra columns are not read; empty tables give an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = None
+    out, kind = None, benchmark.schema[item_id].dataType.simpleString()
     for matcher in _matchers(rows, benchmark, item_id, "text"):
-        hits = rows.select("doc_id", F.explode(_found(matcher)("text")).alias("m")).select("doc_id", "m.*")
+        hits = rows.select("doc_id", F.explode(_found(matcher, kind)("text")).alias("m")).select("doc_id", "m.*")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        out = rows.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, cosine double, lcs double, answer double")
+        out = rows.sparkSession.createDataFrame([], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind}, start int, cosine double, lcs double, answer double")
     return out
 
 
@@ -398,9 +398,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Null and empty texts stay; repeated rows stay or go together; columns may have any names; an empty benchmark
     leaves all documents.
     """
-    out = docs
+    out, kind = docs, benchmark.schema[item_id].dataType.simpleString()
     for matcher in _matchers(docs.select(F.col(text).alias("text")), benchmark, item_id, "text"):
-        out = out.where(F.size(_found(matcher)(F.col(text))) == 0)
+        out = out.where(F.size(_found(matcher, kind)(F.col(text))) == 0)
     return out
 
 

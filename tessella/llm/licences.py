@@ -214,10 +214,8 @@ def licences(docs: DataFrame, text: str = "text", out: str = "licences", sentenc
     """`docs` with the column `out`: structs of licence, sentence (number of the first) and sentences, in text order.
 
     Null and empty texts have none; repeated rows have equal results; an empty table gives an empty result. A column
-    that is already named `out` is an error.
+    that is already named `out` is replaced.
     """
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already: name another with `out`")
     made: list[Scanner] = []
 
     @F.pandas_udf("array<struct<licence:string,sentence:int,sentences:int>>")

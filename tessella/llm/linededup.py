@@ -15,6 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from .common import materialize, row_id, table
 
@@ -59,7 +61,8 @@ def _batch(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
 
 def _chunks(docs: DataFrame) -> DataFrame:
     """rid, id, first, stop and the two halves of the hash (h, g) of every chunk."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    id_type = docs.schema["id"].dataType
+    kinds = (pa.int64(), to_arrow_type(id_type), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def cut(batches):
         for batch in batches:
@@ -71,12 +74,13 @@ def _chunks(docs: DataFrame) -> DataFrame:
                     out.append((r, d, a, b, (x >> 64) - (1 << 63), (x & MASK) - (1 << 63)))
             yield _batch(out, ["rid", "id", "first", "stop", "h", "g"], kinds)
 
-    return docs.mapInArrow(cut, "rid long, id long, first int, stop int, h long, g long")
+    return docs.mapInArrow(cut, f"rid long, id {id_type.simpleString()}, first int, stop int, h long, g long")
 
 
 def _fetched(docs: DataFrame, text: str) -> DataFrame:
     """The bytes of the chunks listed in `wanted`; a first occurrence is given to each of its cells."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    id_type = docs.schema["id"].dataType
+    kinds = (pa.int64(), to_arrow_type(id_type), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
     names = ["rid", "id", "first", "stop", "h", "g", "cell", "keeper", "chunk"]
 
     def fetch(batches):
@@ -90,7 +94,7 @@ def _fetched(docs: DataFrame, text: str) -> DataFrame:
                     out.extend((r, d, w["first"], w["stop"], w["h"], w["g"], c, w["keeper"], b"\n".join(lines[w["first"] : w["stop"]])) for c in cells)
             yield _batch(out, names, kinds)
 
-    return docs.mapInArrow(fetch, "rid long, id long, first int, stop int, h long, g long, cell int, keeper boolean, chunk binary")
+    return docs.mapInArrow(fetch, f"rid long, id {id_type.simpleString()}, first int, stop int, h long, g long, cell int, keeper boolean, chunk binary")
 
 
 def _cut(docs: DataFrame, text: str) -> DataFrame:
@@ -132,11 +136,12 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
     """`docs` with repeated passages cut from `text`; every row stays, in its columns and order of columns.
 
     A document all of whose lines are repeats keeps an empty text; a null text stays null; `n_chars`, if
-    given, names a column that is set to the new length. With `report`, `removed_chunks` and
+    given, names a column that is set to the new length. Ids that are not whole numbers are ordered as texts; null ids come first. With `report`, `removed_chunks` and
     `removed_lines` are added. Columns may have any names. An empty table gives an empty result.
     """
     # Id and hash tell rows apart; both uses below read this one exchange of the texts.
-    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    whole_number = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))) if whole_number else F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     whole = docs.select(row_id(doc_id, text).alias("rid"), number.alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     cuts = repeated_chunks(whole, text).groupBy("rid", "id").agg(F.collect_set(F.struct("first", "stop")).alias("cuts"))
     done = _cut(whole.join(cuts, ["rid", "id"], "left").select("rid", "id", "row", "cuts"), text)

@@ -192,25 +192,6 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 3) -> DataFrame:
-    """`docs` without near-duplicates: of each component the document with the smallest id stays.
-
-    A row whose id is null is never dropped; rows that repeat the smallest id and its text give one row.
-    """
-    parts = simhash_components(docs, doc_id, text, threshold)
-    dropped = parts.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, F.col(doc_id) == dropped["_dropped"], "left_anti")
-    if not _repeats(docs, doc_id):
-        return kept
-    named = F.col(doc_id).isNotNull()
-    return kept.where(named).dropDuplicates([doc_id, text]).unionByName(kept.where(~named))
-
-
-def _repeats(docs: DataFrame, doc_id: str) -> bool:
-    """Whether any id occurs twice; a narrow check that spares most inputs a shuffle of their texts."""
-    return bool(docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").take(1))
-
-
 def op4(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of `documents`."""
     parts = simhash_components(table(spark, sf_dir, "documents"))

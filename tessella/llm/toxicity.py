@@ -252,6 +252,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_
     # Rows of a draw this low are a little more than `limit`, so the tasks of a large table return few rows each.
     few = marked.where(F.col("draw") <= (1 << 30) * (1.2 * limit + 200) / max(1, marked.count()))
     picked = few.orderBy("draw", "doc_id").limit(limit).drop("draw")
+    picked = picked.withColumn("doc_id", F.col("doc_id").try_cast(docs.schema["doc_id"].dataType))  # ids of another type are no error
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `limit` rows
     return rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(2)).cast("int").alias("half"))
 
@@ -303,10 +304,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int
 
     Null and empty texts have no clauses and get the curve's value there; repeated rows get equal scores.
     Scores come from the text alone. An empty table gives an empty result. A column that is already named `out`
-    is an error.
+    is replaced.
     """
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already: name another with `out`")
     lexicon, curve = fit(docs.select("doc_id", F.col(text).alias("text")), labels, limit)
     return docs.withColumn(out, curve_value(curve, clause_features(lexicon)(F.col(text))))
 

@@ -94,11 +94,6 @@ def test_simhash_awkward_rows(spark, awkward):
     assert got.count() == awkward.count()
     zero = [r for r in got.collect() if r["doc_id"] in (2, 3, 4)]
     assert all(r["fp"] == 0 and r["component_id"] == 2 for r in zero)
-    kept = simhash.keep_one_per_group(awkward)
-    assert kept.columns == awkward.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 8]
-    twice = awkward.unionByName(awkward.where("doc_id is null"))
-    assert sorted(r["doc_id"] or 0 for r in simhash.keep_one_per_group(twice).collect()) == [0, 0, 1, 2, 5, 6, 8]
     assert simhash.simhash_components(awkward.limit(0)).count() == 0
 
 
@@ -535,8 +530,8 @@ def test_toxicity_awkward_rows(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = toxicity.toxicity(awkward, none, out="tox")
     assert out.count() == awkward.count() and out.columns == [*awkward.columns, "tox"]
-    with pytest.raises(ValueError):
-        toxicity.toxicity(awkward, none)
+    replaced = toxicity.toxicity(awkward, none)
+    assert replaced.columns == awkward.columns and dict(replaced.dtypes)["score"] == "double"
     kept = toxicity.reject_toxic(awkward.withColumn("_score", F.lit(1)), none)
     assert kept.columns == [*awkward.columns, "_score"] and kept.count() == awkward.count()
     assert toxicity.toxicity(awkward.limit(0), none, out="tox").count() == 0
@@ -551,8 +546,7 @@ def test_licence_rules_in_order(spark, awkward):
     assert licences.licences(awkward).count() == awkward.count() and licences.licences(awkward.limit(0)).count() == 0
     repeated = [r["licences"] for r in licences.licences(awkward).where("doc_id = 1").collect()]
     assert len(repeated) == 2 and repeated[0] == repeated[1]
-    with pytest.raises(ValueError):
-        licences.licences(awkward.withColumn("licences", F.lit(1)))
+    assert dict(licences.licences(awkward.withColumn("licences", F.lit(1))).dtypes)["licences"].startswith("array")
 
 
 def test_licences_of_standard_notices():

@@ -76,6 +76,20 @@ def test_stages_take_awkward_and_empty_documents(spark, corpus):
         assert docs.where(F.col("taken") > 3 * F.col("size")).count() == 0
 
 
+def test_stages_take_text_ids_repeated_ids_and_clashing_columns(spark, corpus):
+    folder, passage, item = corpus
+    named = lambda k: words(90, 7000 + k) + "\n" + words(70, 7500 + k)
+    rows = [("a", named(1)), ("b", named(1)), ("b", named(2)), ("b", named(2)), ("c", named(3) + "\n" + item), ("d", named(4) + "\n" + passage), ("e", passage), (None, named(5)), ("f", None), ("", named(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1.0, "x", 3) for i, t in rows], "doc_id string, text string, lang string, source string, n_chars long, score double, licences string, size long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "licences", "size"], name
+    kept = {(r["doc_id"], (r["text"] or "").split("\n")[0]) for r in docs.collect()}
+    first = lambda k: named(k).split("\n")[0]
+    assert {("b", first(2)), (None, first(5)), ("", first(6))} <= kept  # unlike all others, whatever their ids
+    assert sum(x[1] == first(1) for x in kept) == 1 and not any(x[0] == "c" for x in kept)
+
+
 def test_the_rest_works_without_the_text_operators(tmp_path):
     import shutil
 
