@@ -1,19 +1,23 @@
 """FITS images as a source and a sink.
 
-Files are read with Spark's binary file source, so any store that Spark reads will do, and decoded by a small
-codec: 2880-byte blocks of 80-byte cards, then big-endian pixels. All BITPIX are supported; BSCALE and BZERO
-are applied once, BLANK becomes NaN.
+`read` takes whole files from Spark's binary file source, so any store that Spark reads will do. The data source
+`fits` (`FitsDataSource`) opens files itself and fetches what a row needs: header blocks, and the lines or tiles of the
+part asked for. Both use one small codec: 2880-byte blocks of 80-byte cards, then big-endian pixels or compressed
+tiles. All BITPIX are supported; BSCALE and BZERO are applied once, BLANK becomes NaN.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .compressed import Fetch, is_compressed, read_tiles
+
 BLOCK, CARD = 2880, 80
 DTYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 EXTENSIONS = (".fits", ".fit", ".fts", ".img", ".fz")
@@ -48,14 +52,20 @@ def parse_card(card: str) -> tuple[str, str | None]:
     return key, rest.split("/")[0].strip() or None
 
 
-def headers(data: bytes) -> list[tuple[dict[str, str], int]]:
-    """Header and data offset of every unit of a file. Raises ValueError for a broken file."""
-    units, at = [], 0
-    while at + BLOCK <= len(data):
+def _data_size(cards: dict[str, str]) -> int:
+    """Bytes of a unit's data, without the fill to whole blocks."""
+    axes = [int(float(cards.get(f"NAXIS{k}", 0))) for k in range(1, int(cards.get("NAXIS", 0)) + 1)]
+    return (int(np.prod(axes)) + int(cards.get("PCOUNT", 0))) * int(cards.get("GCOUNT", 1)) * abs(int(cards.get("BITPIX", 8))) // 8 if axes else 0
+
+
+def units_of(fetch: Fetch, size: int) -> Iterator[tuple[dict[str, str], int]]:
+    """Header and data offset of one unit of a file after the other; data are skipped, not fetched. Raises ValueError for a broken file."""
+    at, first = 0, True
+    while at + BLOCK <= size:
         cards: dict[str, str] = {}
         done = False
         while not done:
-            block = data[at : at + BLOCK].decode("ascii", "replace")
+            block = fetch(at, BLOCK).decode("ascii", "replace")
             if len(block) < BLOCK:
                 raise ValueError("header without END")
             at += BLOCK
@@ -66,39 +76,54 @@ def headers(data: bytes) -> list[tuple[dict[str, str], int]]:
                 key, value = parse_card(block[i : i + CARD])
                 if value is not None:
                     cards.setdefault(key, value)
-        if not units and "SIMPLE" not in cards:
+        if first and "SIMPLE" not in cards:
             raise ValueError("not a FITS file")
-        units.append((cards, at))
-        axes = [int(float(cards.get(f"NAXIS{k}", 0))) for k in range(1, int(cards.get("NAXIS", 0)) + 1)]
-        size = (int(np.prod(axes)) + int(cards.get("PCOUNT", 0))) * int(cards.get("GCOUNT", 1)) * abs(int(cards.get("BITPIX", 8))) // 8 if axes else 0
-        at += -(-size // BLOCK) * BLOCK
-    if not units:
+        first = False
+        yield cards, at
+        at += -(-_data_size(cards) // BLOCK) * BLOCK
+    if first:
         raise ValueError("empty file")
-    return units
 
 
-def select_unit(units: list[tuple[dict[str, str], int]], preferred: int | None) -> int:
-    """The preferred unit if it is an image with axes, else the first one that is. Counted from 1."""
-    def is_image(k: int) -> bool:
-        cards = units[k - 1][0]
-        return int(cards.get("NAXIS", 0)) >= 2 and cards.get("XTENSION", "IMAGE").strip() in ("IMAGE", "")
+def headers(data: bytes) -> list[tuple[dict[str, str], int]]:
+    """Header and data offset of every unit of a file. Raises ValueError for a broken file."""
+    return list(units_of(lambda at, n: data[at : at + n], len(data)))
+
+
+def is_image(cards: dict[str, str]) -> bool:
+    """Whether a unit holds an image with axes, as pixels or as compressed tiles."""
+    if is_compressed(cards):
+        return int(cards.get("ZNAXIS", 0)) >= 2
+    return int(cards.get("NAXIS", 0)) >= 2 and cards.get("XTENSION", "IMAGE").strip() in ("IMAGE", "")
+
 
-    if preferred and preferred <= len(units) and is_image(preferred):
-        return preferred
-    for k in range(1, len(units) + 1):
-        if is_image(k):
-            return k
+def find_unit(units: Iterator[tuple[dict[str, str], int]], preferred: int | None) -> tuple[int, dict[str, str], int]:
+    """Number (from 1), header and data offset of the preferred unit if it is an image, else of the first one that is.
+
+    No unit behind the chosen one is looked at.
+    """
+    held = None
+    for k, (cards, at) in enumerate(units, 1):
+        if is_image(cards):
+            if not preferred or k == preferred:
+                return k, cards, at
+            held = held or (k, cards, at)
+        if held and (not preferred or k >= preferred):
+            return held
+    if held:
+        return held
     raise ValueError("no image in the file")
 
 
-def decode(data: bytes, path: str = "", header_only: bool = False, bounds: tuple[int, int, int, int] | None = None, hdu: int | None = None) -> dict:
-    """One image as a row of SCHEMA. `bounds` (x0, y0, w, h) reads a part and moves CRPIX along."""
-    units = headers(data)
-    k = select_unit(units, hdu or (2 if path.lower().endswith(".fz") else None))
-    cards, at = units[k - 1]
-    if "ZIMAGE" in cards:
-        raise ValueError("compressed images are not supported")
-    width, height, bitpix = int(cards["NAXIS1"]), int(cards["NAXIS2"]), int(cards["BITPIX"])
+def decode_from(fetch: Fetch, size: int, path: str = "", header_only: bool = False, bounds: tuple[int, int, int, int] | None = None, hdu: int | None = None) -> dict:
+    """One image of a file of `size` bytes as a row of SCHEMA; `fetch(at, n)` gives n bytes of it.
+
+    `bounds` (x0, y0, w, h) reads a part and moves CRPIX along. Fetched are header blocks up to the image's, and the
+    lines, or the compressed tiles, that the part needs.
+    """
+    k, cards, at = find_unit(units_of(fetch, size), hdu or (2 if path.lower().endswith(".fz") else None))
+    z = "Z" if is_compressed(cards) else ""
+    width, height, bitpix = int(cards[z + "NAXIS1"]), int(cards[z + "NAXIS2"]), int(cards[z + "BITPIX"])
     row: dict = {"path": path, "hdu": k, "bitpix": bitpix}
     for key in NUMBERS:
         try:
@@ -121,18 +146,26 @@ def decode(data: bytes, path: str = "", header_only: bool = False, bounds: tuple
         row[c] = row[c] - shift if row[c] is not None else None
     row["pixels"] = None
     if not header_only:
-        need = width * height * abs(bitpix) // 8
-        if len(data) < at + need:
-            raise ValueError("the pixels are cut off")
-        raw = np.frombuffer(data, DTYPES[bitpix], width * height, at).reshape(height, width)[y0:y1, x0:x1]
-        values = raw.astype(np.float64) * (row["bscale"] if row["bscale"] is not None else 1.0) + (row["bzero"] or 0.0)
-        if bitpix > 0 and row["blank"] is not None:
-            values[raw == row["blank"]] = np.nan
+        if z:
+            stored, lost = read_tiles(fetch, cards, at, (x0, y0, x1, y1))
+        else:
+            line = width * abs(bitpix) // 8
+            if size < at + height * line:
+                raise ValueError("the pixels are cut off")
+            raw = np.frombuffer(fetch(at + y0 * line, (y1 - y0) * line), DTYPES[bitpix]).reshape(y1 - y0, width)[:, x0:x1]
+            stored, lost = raw.astype(np.float64), raw == row["blank"] if bitpix > 0 and row["blank"] is not None else np.zeros(raw.shape, bool)
+        values = stored * (row["bscale"] if row["bscale"] is not None else 1.0) + (row["bzero"] or 0.0)
+        values[lost] = np.nan
         row["pixels"] = values.astype(np.float32).ravel()
     has_cd = any(row[c] for c in ("cd1_1", "cd1_2", "cd2_1", "cd2_2"))
     return row | {"is_valid": bool(has_cd), "error": None}
 
 
+def decode(data: bytes, path: str = "", header_only: bool = False, bounds: tuple[int, int, int, int] | None = None, hdu: int | None = None) -> dict:
+    """One image of a file's bytes as a row of SCHEMA; see `decode_from`."""
+    return decode_from(lambda at, n: data[at : at + n], len(data), path, header_only, bounds, hdu)
+
+
 def encode(pixels, width: int, height: int, cards: dict | None = None, bitpix: int = -32, blank: int | None = None) -> bytes:
     """A FITS file of one image. NaN becomes BLANK for integer types, which needs a blank value."""
     values = np.asarray(pixels, dtype=np.float64).reshape(height, width)
@@ -168,11 +201,17 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return files.orderBy("path").limit(limit) if limit else files
 
 
-def read(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, limit: int = 0, header_only: bool = False, bounds: tuple[int, int, int, int] | None = None, hdu: int | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    """Images below `path` as rows of SCHEMA. Broken files give a row with `error`, or fail the job in mode FAILFAST."""
-    wanted = list_files(spark, path, pattern, recursive, limit).select("path")
+def read(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, limit: int = 0, header_only: bool = False, bounds: tuple[int, int, int, int] | None = None, hdu: int | None = None, mode: str = "PERMISSIVE", exclude: str | None = None) -> DataFrame:
+    """Images below `path` as rows of SCHEMA. Broken files give a row with `error`, or fail the job in mode FAILFAST.
+
+    Whole files travel from the store; `open_ranged` fetches parts of them. `exclude` leaves out everything below a folder.
+    """
     content = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(path).select("path", "content")
-    files = content.join(wanted, "path", "left_semi") if limit else content.where(F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1))).isin(*EXTENSIONS))
+    if limit:  # the listing reads no contents
+        files = content.join(list_files(spark, path, pattern, recursive, limit, exclude).select("path"), "path", "left_semi")
+    else:
+        files = content.where(F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1))).isin(*EXTENSIONS))
+        files = files.where(~F.contains("path", F.lit(exclude.rstrip("/") + "/"))) if exclude else files
     schema = spark.createDataFrame([], SCHEMA).schema
 
     def decoded(batches):
