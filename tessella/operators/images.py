@@ -38,9 +38,11 @@ def pixel(pixels: Column, x: Column, y: Column, width: Column | int, height: Col
     return F.when(~F.isnan(v), v.cast("double"))
 
 
-def with_bilinear(df: DataFrame, pixels: str, x: str, y: str, width: Column, height: Column, out: str = "value", policy: str = "replace") -> DataFrame:
+def with_bilinear(df: DataFrame, pixels: str, x: str, y: str, width: Column, height: Column, out: str = "value", policy: str = "replace", part: tuple[str, str, str, str] | None = None) -> DataFrame:
     """`df` with the image's value between pixels, at columns x and y.
 
+    `part` names the columns x0, y0, w and h of the part of the image that `pixels` holds; without it that is all of it.
+
     Positions from -0.5 to size - 0.5 count. Of the four neighbours, blank ones take the value of the first that
     is not (`replace`), make the result null (`strict`), or count only if all are blank (`propagate`).
     """
@@ -50,11 +52,12 @@ def with_bilinear(df: DataFrame, pixels: str, x: str, y: str, width: Column, hei
     near = [f"_bl_{j}{i}" for j in (0, 1) for i in (0, 1)]
     u, v = F.col(x), F.col(y)
     inside = (u >= -0.5) & (u < width - 0.5) & (v >= -0.5) & (v < height - 0.5)
+    left, bottom, across, up = map(F.col, part) if part else (F.lit(0), F.lit(0), width, height)
     cx, cy = F.least(F.greatest(u, F.lit(0.0)), width - 1.001), F.least(F.greatest(v, F.lit(0.0)), height - 1.001)
     steps = [
         {fx: cx, fy: cy},
         {px: F.floor(fx), py: F.floor(fy)},
-        {n: pixel(F.col(pixels), F.col(px) + k % 2, F.col(py) + k // 2, width, height) for k, n in enumerate(near)} | {fx: F.col(fx) - F.col(px), fy: F.col(fy) - F.col(py)},
+        {n: pixel(F.col(pixels), F.col(px) + k % 2 - left, F.col(py) + k // 2 - bottom, across, up) for k, n in enumerate(near)} | {fx: F.col(fx) - F.col(px), fy: F.col(fy) - F.col(py)},
         {first: F.coalesce(*near)},
     ]
     if policy == "replace":

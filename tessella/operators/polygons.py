@@ -13,12 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import healpix as hp
 from ..functions import wcs
 
 WCS = ("width", "height", "crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2")
+CUT = ("x0", "y0", "w", "h")
 POINTS_PER_SIDE = 8
 #: Of a cell's side: how far its outline is from the chords between POINTS_PER_SIDE points, and its corners from its centre, at most.
 SAGITTA, RADIUS = 0.003, 1.05
@@ -27,6 +28,9 @@ MARGIN = 0.5
 #: Below this order cells are too wide for the pixel plane; they are ancestors of cells of this order.
 FLAT_ORDER = 4
 PAIRS = 400_000
+#: Pixels beyond a cell's outline that its box holds, for interpolation; bytes of cut pixels in a batch.
+BORDER = 2
+BYTES_PER_BATCH = 8 << 20
 
 
 def compress(v: np.ndarray) -> np.ndarray:
@@ -124,8 +128,11 @@ def meets(x: np.ndarray, y: np.ndarray, low: np.ndarray, right: np.ndarray, top:
     return crossed | within
 
 
-def covered(w: dict[str, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the frame and cell for every cell that a footprint meets, each once; `w` has the arrays of WCS."""
+def covered(w: dict[str, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the frame, cell and box for every cell that a footprint meets, each once; `w` has the arrays of WCS.
+
+    A box (x0, y0, x1, y1, ends included) holds the frame's pixels within the cell and those next to them.
+    """
     fine = max(order, FLAT_ORDER)
     middle, radius = _circles(w)
     at, pix = descend(middle, radius, fine)
@@ -139,14 +146,24 @@ def covered(w: dict[str, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarra
         x = (f["cd2_2"][:, None] * xi - f["cd1_2"][:, None] * eta) / det[:, None] + f["crpix1"][:, None] - 1
         y = (f["cd1_1"][:, None] * eta - f["cd2_1"][:, None] * xi) / det[:, None] + f["crpix2"][:, None] - 1
     slack = _slack(w, middle, radius, fine)[at]
-    flat = facing.min(axis=1) > 0.05
-    held = ~flat  # a cell near the rim of the tangent plane stays
+    flat = facing.min(axis=1, initial=1) > 0.05
+    held = ~flat  # a cell near the rim of the tangent plane stays, with the whole frame as its box
+    boxes = np.stack([np.zeros(len(at)), np.zeros(len(at)), f["width"] - 1, f["height"] - 1], -1)
     if flat.any():
         held[flat] = meets(x[flat], y[flat], -0.5 - slack[flat], f["width"][flat] - 0.5 + slack[flat], f["height"][flat] - 0.5 + slack[flat])
-    at, pix = at[held], pix[held] >> 2 * (fine - order)
+        around = slack[flat] + BORDER
+        low, high = [np.floor(v[flat].min(axis=1) - around) for v in (x, y)], [np.ceil(v[flat].max(axis=1) + around) for v in (x, y)]
+        right, top = boxes[flat, 2], boxes[flat, 3]
+        boxes[flat] = np.stack([np.clip(low[0], 0, right), np.clip(low[1], 0, top), np.clip(high[0], 0, right), np.clip(high[1], 0, top)], -1)
+    at, pix, boxes = at[held], pix[held] >> 2 * (fine - order), boxes[held].astype(np.int64)
     if fine > order and len(at):
-        at, pix = np.unique(np.stack([at, pix]), axis=1)
-    return at, pix
+        both, group = np.unique(np.stack([at, pix]), axis=1, return_inverse=True)
+        merged = np.empty((both.shape[1], 4), np.int64)
+        merged[:, :2], merged[:, 2:] = np.iinfo(np.int64).max, -1
+        np.minimum.at(merged[:, :2], group.ravel(), boxes[:, :2])
+        np.maximum.at(merged[:, 2:], group.ravel(), boxes[:, 2:])
+        at, pix, boxes = both[0], both[1], merged
+    return at, pix, boxes
 
 
 def _slices(w: dict[str, np.ndarray], order: int) -> Iterator[slice]:
@@ -159,14 +176,77 @@ def _slices(w: dict[str, np.ndarray], order: int) -> Iterator[slice]:
         yield slice(a, b)
 
 
+def usable(frames: DataFrame) -> DataFrame:
+    """Frames with a size, a whole WCS and a CD matrix that can be inverted."""
+    good = frames.where(wcs.has_wcs("width", "height", "cd1_1", "cd1_2", "cd2_1", "cd2_2"))
+    return good.where("cd1_1 * cd2_2 <> cd1_2 * cd2_1").na.drop(subset=list(WCS))
+
+
+def footprint_boxes(frames: DataFrame, order: int, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """The columns in `keep`, npix, x0, y0, w and h: the part of a frame that each cell it meets needs, with a border to interpolate."""
+    good = usable(frames)
+    names = list(dict.fromkeys(keep))
+    schema = StructType([good.schema[c] for c in names] + [StructField("npix", LongType())] + [StructField(c, IntegerType()) for c in CUT])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = {c: batch.column(f"_{c}").to_numpy(zero_copy_only=False).astype(float) for c in WCS}
+            for part in _slices(w, order):
+                at, pix, boxes = covered({c: v[part] for c, v in w.items()}, order)
+                sides = [boxes[:, 0], boxes[:, 1], boxes[:, 2] - boxes[:, 0] + 1, boxes[:, 3] - boxes[:, 1] + 1]
+                yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(at + part.start)).columns, pa.array(pix, pa.int64()), *[pa.array(v, pa.int32()) for v in sides]], schema.names)
+
+    return good.select(*names, *[good[c].alias(f"_{c}") for c in WCS]).mapInArrow(run, schema)
+
+
+def cut_tiles(frames: DataFrame, order: int, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """The columns in `keep` and WCS, npix, x0, y0, w, h and pixels: what each cell needs of each frame, cut out of its pixels.
+
+    Frames aren't joined or shuffled: a frame's task cuts it, and only the parts travel on. The WCS stays that of the whole
+    frame. Blank pixels are NaN. A frame whose pixels don't fill its size fails the job.
+    """
+    good = usable(frames)
+    names = list(dict.fromkeys((*keep, *WCS)))
+    schema = StructType([good.schema[c] for c in names] + [StructField("npix", LongType())] + [StructField(c, IntegerType()) for c in CUT] + [StructField("pixels", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            w = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in WCS}
+            rows, held, pixels = [], 0, batch.column("pixels")
+            for k in range(batch.num_rows):
+                _, pix, boxes = covered({c: v[k : k + 1] for c, v in w.items()}, order)
+                image = pixels[k].values.to_numpy(zero_copy_only=False).reshape(int(w["height"][k]), int(w["width"][k]))
+                for p, (x0, y0, x1, y1) in zip(pix, boxes, strict=True):
+                    part = image[y0 : y1 + 1, x0 : x1 + 1].astype(np.float64).ravel()
+                    rows.append((k, p, x0, y0, x1 - x0 + 1, y1 - y0 + 1, part))
+                    held += part.nbytes
+                    if held >= BYTES_PER_BATCH:
+                        yield cut_batch(batch, names, rows)
+                        rows, held = [], 0
+            if rows:
+                yield cut_batch(batch, names, rows)
+
+    return good.select(*names, "pixels").mapInArrow(run, schema)
+
+
+def cut_batch(batch: pa.RecordBatch, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of cut parts: (row of `batch`, npix, x0, y0, w, h, pixels) each, behind the columns `names` of that row."""
+    at, *numbers, parts = zip(*rows, strict=True)
+    ends = np.cumsum([0, *map(len, parts)])
+    pixels = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+    kept = batch.select(names).take(pa.array(at)).columns
+    return pa.RecordBatch.from_arrays([*kept, pa.array(numbers[0], pa.int64()), *[pa.array(v, pa.int32()) for v in numbers[1:]], pixels], [*names, "npix", *CUT, "pixels"])
+
+
 def footprint_cells(frames: DataFrame, order: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns in `keep` and npix: one row per frame and cell of `order` that meets its footprint.
 
     The footprint is the frame's rectangle of pixels and MARGIN pixels around it; cells whose outline passes within 0.3 % of a
     cell's side count too. Frames without a size, a whole WCS or a CD matrix that can be inverted cover nothing.
     """
-    good = frames.where(wcs.has_wcs("width", "height", "cd1_1", "cd1_2", "cd2_1", "cd2_2"))
-    good = good.where("cd1_1 * cd2_2 <> cd1_2 * cd2_1").na.drop(subset=list(WCS))
+    good = usable(frames)
     names = list(dict.fromkeys(keep))
     schema = StructType([good.schema[c] for c in names] + [StructField("npix", LongType())])
 
@@ -176,7 +256,7 @@ def footprint_cells(frames: DataFrame, order: int, keep: tuple[str, ...] = ()) -
                 continue
             w = {c: batch.column(f"_{c}").to_numpy(zero_copy_only=False).astype(float) for c in WCS}
             for part in _slices(w, order):
-                at, pix = covered({c: v[part] for c, v in w.items()}, order)
+                at, pix, _ = covered({c: v[part] for c, v in w.items()}, order)
                 kept = batch.select(names).take(pa.array(at + part.start)).columns if names else []
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pix, pa.int64())], [*names, "npix"])
 

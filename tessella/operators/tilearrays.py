@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.healpix import JPLL, JRLL
-from .coverage import coverage
-from .polygons import compress
+from .polygons import CUT, WCS, compress, cut_tiles
 
 SPREAD = 8
-WCS = ("width", "height", "crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2")
 
 
 def cell_centres(pix: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +43,8 @@ def tile_grid(width: int) -> np.ndarray:
 def sample(npix: int, frame: dict, order: int, width: int, policy: str = "replace", overlay: str = "weighted", low: float = -np.inf, high: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """Weighted values and weights, row-major, of one tile in one frame; zeros where the frame has nothing.
 
+    `pixels` of the frame are those of its part x0, y0, w, h, if it has one.
+
     Only the overlays `weighted` and `fading` weigh pixels near the high edges down.
     """
     ra, dec = cell_centres(npix * width * width + np.arange(width * width), order + width.bit_length() - 1)
@@ -62,11 +62,12 @@ def sample(npix: int, frame: dict, order: int, width: int, policy: str = "replac
     if not len(hit):
         return wsum, wtot
     u, v = u[hit], v[hit]
-    image = np.asarray(frame["pixels"], dtype=float).reshape(h, w)
+    left, bottom = frame.get("x0", 0), frame.get("y0", 0)
+    image = np.asarray(frame["pixels"], dtype=float).reshape(frame.get("h", h), frame.get("w", w))
     cx, cy = np.clip(u, 0, w - 1.001), np.clip(v, 0, h - 1.001)
     x0, y0 = np.floor(cx).astype(int), np.floor(cy).astype(int)
     fx, fy = cx - x0, cy - y0
-    near = np.array([image[np.minimum(y0 + j, h - 1), np.minimum(x0 + i, w - 1)] for j in (0, 1) for i in (0, 1)])
+    near = np.array([image[np.minimum(y0 + j, h - 1) - bottom, np.minimum(x0 + i, w - 1) - left] for j in (0, 1) for i in (0, 1)])
     if policy == "replace":
         first = near[0]
         for other in near[1:]:
@@ -84,7 +85,11 @@ def sample(npix: int, frame: dict, order: int, width: int, policy: str = "replac
 
 def sample_frames(frames: DataFrame, order: int, width: int, policy: str = "replace", overlay: str = "weighted", low: float = -np.inf, high: float = np.inf) -> DataFrame:
     """npix, image_id, wsum and wtot (row-major arrays) of every frame and tile that have pixels in common."""
-    pairs = coverage(frames, order).join(frames.select("image_id", *WCS, "pixels"), "image_id")
+    return sample_cuts(cut_tiles(frames, order), order, width, policy, overlay, low, high)
+
+
+def sample_cuts(cuts: DataFrame, order: int, width: int, policy: str = "replace", overlay: str = "weighted", low: float = -np.inf, high: float = np.inf) -> DataFrame:
+    """The same from the parts that `cut_tiles` gives."""
 
     def run(batches):
         for batch in batches:
@@ -95,8 +100,8 @@ def sample_frames(frames: DataFrame, order: int, width: int, policy: str = "repl
                 if wtot.any():
                     yield pa.RecordBatch.from_arrays([pa.array([row["npix"]], pa.int64()), batch.column("image_id").slice(k, 1), pa.array([wsum]), pa.array([wtot])], ["npix", "image_id", "wsum", "wtot"])
 
-    kind = frames.schema["image_id"].dataType.simpleString()
-    return pairs.select("npix", "image_id", *WCS, "pixels").mapInArrow(run, f"npix long, image_id {kind}, wsum array<double>, wtot array<double>")
+    kind = cuts.schema["image_id"].dataType.simpleString()
+    return cuts.select("npix", "image_id", *WCS, *CUT, "pixels").mapInArrow(run, f"npix long, image_id {kind}, wsum array<double>, wtot array<double>")
 
 
 def _adding(first: bool):

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
 from ..functions import wcs
 from ..functions.plan import fenced
-from ..operators import images, tilearrays
-from ..operators.coverage import coverage
+from ..operators import cutouts, images, tilearrays
 from ..operators.incremental import append_allowed, apply_batch
+from ..operators.polygons import CUT, WCS, cut_tiles
 
 
 #: Tiles up to this many pixels across are sampled by expressions, one row per pixel.
@@ -57,20 +57,23 @@ def chunk_size(tasks: int, workers: int) -> int:
 def sample_tiles(frames: DataFrame, options: Options) -> DataFrame:
     """npix, x, y, source, value, weight: every tile pixel's sample in every frame that covers its tile.
 
-    The coverage is an explode; frames travel to their tiles with their pixel arrays once per tile, and
-    the samples are expressions over the array, so no pixel table is joined.
+    Each frame's task cuts out what its tiles need; frames aren't joined, and the samples are expressions over the
+    parts, so no pixel table is joined either.
     """
+    return samples_of(cut_tiles(frames, options.order), options)
+
+
+def samples_of(cuts: DataFrame, options: Options) -> DataFrame:
+    """The samples of the parts that `cut_tiles` gives, or that `cut_files` reads."""
     w = options.tile_width
-    wcs_cols = ("width", "height", "crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2")
-    tiles = coverage(frames, options.order).join(frames.select("image_id", *wcs_cols, "pixels"), "image_id")
-    cells = tiles.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(w * w - 1)))).withColumn("_cell", F.col("npix") * (w * w) + F.col("_k"))
+    cells = cuts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(w * w - 1)))).withColumn("_cell", F.col("npix") * (w * w) + F.col("_k"))
     cells = hp.with_centre(cells, options.order + w.bit_length() - 1, "_cell")
     x, y = hp.hpx2xy("_k", w)
     u, v = wcs.sky2pix("ra", "dec", wcs.wcs_of())
-    placed = cells.select("image_id", "npix", x.cast("int").alias("x"), y.cast("int").alias("y"), *wcs_cols, "pixels", "ra", "dec")
+    placed = cells.select("image_id", "npix", x.cast("int").alias("x"), y.cast("int").alias("y"), *WCS, *CUT, "pixels", "ra", "dec")
     placed = fenced(placed, {"_u": u, "_v": v})
     placed = placed.where(wcs.inside("_u", "_v", "width", "height", -0.5))
-    sampled = images.with_bilinear(placed, "pixels", "_u", "_v", F.col("width"), F.col("height"), policy=options.blank_policy)
+    sampled = images.with_bilinear(placed, "pixels", "_u", "_v", F.col("width"), F.col("height"), policy=options.blank_policy, part=CUT)
     weight = images.edge_weight(F.col("_u"), F.col("_v"), F.col("width"), F.col("height"))
     sampled = sampled.select("npix", "x", "y", F.col("image_id").alias("source"), "value", weight.alias("weight"))
     return sampled.where(F.col("value").isNotNull() & F.col("value").between(options.low, options.high))
@@ -78,16 +81,23 @@ def sample_tiles(frames: DataFrame, options: Options) -> DataFrame:
 
 def wide_tiles(frames: DataFrame, options: Options) -> DataFrame:
     """The same as `narrow_tiles`, with tiles as arrays until all frames are put together: for wide tiles."""
+    return _wide(cut_tiles(frames, options.order), options)
+
+
+def _wide(cuts: DataFrame, options: Options) -> DataFrame:
     w = options.tile_width
-    sampled = tilearrays.sample_frames(frames, options.order, w, options.blank_policy, options.overlay, options.low, options.high)
+    sampled = tilearrays.sample_cuts(cuts, options.order, w, options.blank_policy, options.overlay, options.low, options.high)
     pixels = tilearrays.coadd(sampled, options.overlay).select("npix", F.posexplode("pixels").alias("k", "value")).where(~F.isnan("value"))
     return pixels.select("npix", (F.col("k") % w).alias("x"), F.floor(F.col("k") / w).cast("int").alias("y"), "value")
 
 
 def narrow_tiles(frames: DataFrame, options: Options) -> DataFrame:
     """npix, x, y and value: the samples of every tile pixel put together by the overlay; `first` goes by image_id."""
-    samples = sample_tiles(frames, options)
-    return images.coadd(samples, ("npix", "x", "y"), options.overlay, rank="source").select("npix", "x", "y", "value")
+    return _narrow(cut_tiles(frames, options.order), options)
+
+
+def _narrow(cuts: DataFrame, options: Options) -> DataFrame:
+    return images.coadd(samples_of(cuts, options), ("npix", "x", "y"), options.overlay, rank="source").select("npix", "x", "y", "value")
 
 
 def build(frames: DataFrame, options: Options) -> dict[int, DataFrame]:
@@ -95,9 +105,23 @@ def build(frames: DataFrame, options: Options) -> dict[int, DataFrame]:
 
     Tiles of more than NARROW pixels across are put together as arrays, narrower ones as rows of samples.
     """
+    return build_cuts(cut_tiles(frames, options.order), options)
+
+
+def build_files(spark: SparkSession, path: str, options: Options, tiles: DataFrame | None = None, **files) -> dict[int, DataFrame]:
+    """The same from FITS files below `path`, with their paths as image_id; `files` are options of the format `fits`.
+
+    With `tiles` (npix of the highest order) only those are built, and only what they need is fetched: the way to rebuild the
+    tiles that an append made dirty.
+    """
+    return build_cuts(cutouts.cut_files(spark, path, options.order, tiles, **files), options)
+
+
+def build_cuts(cuts: DataFrame, options: Options) -> dict[int, DataFrame]:
+    """The same from the parts of frames that tiles need."""
     if options.overlay not in images.OVERLAYS:
         raise ValueError(f"unknown overlay {options.overlay}")
-    tiles = (narrow_tiles if options.tile_width <= NARROW else wide_tiles)(frames, options)
+    tiles = (_narrow if options.tile_width <= NARROW else _wide)(cuts, options)
     out = {options.order: tiles}
     if runs_tree(options.tree, options.tiles, options.append, options.order):
         for order in range(options.order - 1, -1, -1):

@@ -110,6 +110,6 @@ def test_descent_runs_in_slices(spark, monkeypatch):
     assert len(parts) > 5 and sum(s.stop - s.start for s in parts) == 50
     got = set()
     for s in parts:
-        at, pix = polygons.covered({c: v[s] for c, v in w.items()}, 7)
+        at, pix, _ = polygons.covered({c: v[s] for c, v in w.items()}, 7)
         got |= {(int(a + s.start), int(p)) for a, p in zip(at, pix, strict=True)}
     assert got == whole
