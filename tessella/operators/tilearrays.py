@@ -129,6 +129,14 @@ def _adding(first: bool):
     return add
 
 
+def summed(parts: DataFrame) -> DataFrame:
+    """npix, wsum and wtot: the sums over rows of a tile, in two steps so that a tile of very many rows is first summed in SPREAD parts."""
+    schema, add = "npix long, wsum array<double>, wtot array<double>", _adding(False)
+    spread = parts.withColumn("_s", F.pmod(F.xxhash64("npix", F.monotonically_increasing_id()), F.lit(SPREAD))).repartition("npix", "_s")
+    partial = spread.sortWithinPartitions("npix").select("npix", "wsum", "wtot").mapInArrow(add, schema)
+    return partial.repartition("npix").sortWithinPartitions("npix").mapInArrow(add, schema)
+
+
 def coadd(sampled: DataFrame, overlay: str = "weighted") -> DataFrame:
     """npix and pixels: all frames of each tile put together, NaN where none has a value.
 

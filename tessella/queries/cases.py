@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text, wcs
 from ..functions import healpix as hp
 from ..operators import coverage as cov
-from ..operators import measure
+from ..operators import measure, tilestate
 from ..plans import build, transients
 from ..sources import index as ix
 from .grid import COVERAGE_SQL, r6
 from .measures import shift_vote
 from .pixels import px
-from .sky import FRAMES, PIXELS, SQL, STARS, WCS, ang2pix_sql, compress_sql, cover_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, stars, table
+from .sky import FRAMES, PIXELS, SQL, STARS, WCS, ang2pix_sql, compress_sql, cover_sql, frames, pix2ang_sql, pix2sky_sql, query, scratch, sky2pix_sql, stars, table
 
 
 def r4(c):
@@ -95,6 +95,17 @@ def epoch_tile_counts(spark, sf):
     return build.tile_counts(build.epoch_builds(f.select("image_id", "station"), f, ("station",), build.Options(order=2, tile_width=8)), ("station",))
 
 
+@query(f"WITH {SAMPLES_SQL} SELECT npix, x, y, round({COMBINED['weighted']}, 4) AS value FROM samples GROUP BY ALL")
+def tile_state(spark, sf):
+    """Additive state after three batches, one of them delivered twice and one with sources that are known: equal to a build."""
+    f = vector_frames(spark, sf).withColumn("version", F.lit("1"))
+    path, third = scratch(spark, "tile-state"), F.pmod(F.xxhash64("image_id"), F.lit(3))
+    for part, chosen in enumerate((third == 0, third == 1, third == 1, third >= 1)):
+        tilestate.merge(path, f.where(chosen), 2, 8, (0, 1, 1, 2)[part])
+    tiles = tilestate.tiles_of(tilestate.sums(spark, path, 8)).select("npix", F.posexplode("pixels").alias("k", "value")).where(~F.isnan("value"))
+    return tiles.select("npix", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), r4("value").alias("value"))
+
+
 # Positions -----------------------------------------------------------------------------------------------------------
 
 WIDE = 16
