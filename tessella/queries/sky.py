@@ -129,9 +129,10 @@ def cover_sql(relation: str, keep: str, order: int, width: int, scale: float) ->
     slack = 0.5 + 0.003 * side * math.sqrt(2) / scale / math.cos(rim) ** 2
     steps = [j / k for j in range(k)]
     u, v = steps + [1.0] * k + [1 - j for j in steps] + [0.0] * k, [0.0] * k + steps + [1.0] * k + [1 - j for j in steps]
-    dot = "sin(radians(dec)) * sin(radians(crval2)) + cos(radians(dec)) * cos(radians(crval2)) * cos(radians(ra - crval1))"
-    near = f"""(SELECT f.*, npix, npix >> {2 * fine} AS f_, {compress_sql(f'(npix & {n * n - 1})', fine)} AS x_, {compress_sql(f'((npix & {n * n - 1}) >> 1)', fine)} AS y_
-  FROM {relation} f JOIN {pix2ang_sql(f'(SELECT range AS npix FROM range({12 * n * n}))', fine)} c ON dec BETWEEN crval2 - {reach + 0.1} AND crval2 + {reach + 0.1} WHERE {dot} >= {math.cos(math.radians(reach + 0.1))})"""
+    unit = lambda ra, dec: f"cos(radians({dec})) * cos(radians({ra})) AS d1_, cos(radians({dec})) * sin(radians({ra})) AS d2_, sin(radians({dec})) AS d3_"
+    cells = f"(SELECT npix, dec, {unit('ra', 'dec')} FROM {pix2ang_sql(f'(SELECT range AS npix FROM range({12 * n * n}))', fine)})"
+    near = f"""(SELECT f.* EXCLUDE (d1_, d2_, d3_), npix, npix >> {2 * fine} AS f_, {compress_sql(f'(npix & {n * n - 1})', fine)} AS x_, {compress_sql(f'((npix & {n * n - 1}) >> 1)', fine)} AS y_
+  FROM (SELECT *, {unit('crval1', 'crval2')} FROM {relation}) f JOIN {cells} c ON dec BETWEEN crval2 - {reach + 0.1} AND crval2 + {reach + 0.1} WHERE f.d1_ * c.d1_ + f.d2_ * c.d2_ + f.d3_ * c.d3_ >= {math.cos(math.radians(reach + 0.1))})"""
     points = f"""(SELECT *, degrees(pi() / 4 * (([1,3,5,7,0,2,4,6,1,3,5,7])[f_ + 1] + CASE WHEN s_ > 0 THEN (ga_ - gb_) / s_ ELSE 0 END)) AS ra, degrees(atan2(z_, CASE WHEN s_ < 1 THEN sqrt(s_ * s_ / 3 * (2 - s_ * s_ / 3)) ELSE sqrt(1 - z_ * z_) END)) AS dec FROM (
  SELECT *, CASE WHEN r_ < 1 THEN 1 - s_ * s_ / 3 WHEN r_ > 3 THEN s_ * s_ / 3 - 1 ELSE (2 - r_) * 2 / 3 END AS z_ FROM (
  SELECT *, CASE WHEN r_ < 1 THEN r_ WHEN r_ > 3 THEN 4 - r_ ELSE 1 END AS s_ FROM (
