@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
 from ..functions.plan import fenced
+from . import orderstats
 
 
 def unnest(images: DataFrame, pixels: str, width: int, keep: tuple[str, ...]) -> DataFrame:
@@ -139,12 +140,19 @@ def calibrated(raw: DataFrame, bias: DataFrame, flat: DataFrame, key: str = "ima
     return raw.join(frame, ["x", "y"]).select(key, "x", "y", ((F.col("value") - F.col("_b")) / F.col("_f")).alias("value"))
 
 
-def valid_range(values: DataFrame, value: str) -> DataFrame:
-    """n, smallest, largest, and the values at rank n / 100 and 99 n / 100 (counted from 0)."""
-    n = F.count(value)
-    ordered = values.where(F.col(value).isNotNull())
-    stats = ordered.agg(n.alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.expr(f"percentile_disc(0.01) within group (order by {value})").alias("p01"), F.expr(f"percentile_disc(0.99) within group (order by {value})").alias("p99"))
-    return stats
+def valid_range(values: DataFrame, value: str, known: tuple[float, float] | None = None) -> DataFrame:
+    """One row: n, smallest, largest, and the smallest values with 1 % and 99 % of all up to them; nulls and NaN don't count.
+
+    `known` is a range that headers give (DATAMIN, DATAMAX); it stands for the smallest and largest if it is in order and above 0.
+    No task sees more than its own values: see `orderstats`.
+    """
+    good = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    n, low, high = good.agg(F.count("*"), F.min(value), F.max(value)).first()
+    if known is not None and 0 < known[0] < known[1]:
+        low, high = known
+    p01, p99 = orderstats.quantiles(good, value, [0.01, 0.99]) if n else (None, None)
+    row = (n, *[None if v is None else float(v) for v in (low, high, p01, p99)])
+    return values.sparkSession.createDataFrame([row], "n long, low double, high double, p01 double, p99 double")
 
 
 def hpx_tile_wcs(tiles: DataFrame, order: int, width: int) -> DataFrame:

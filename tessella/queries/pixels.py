@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.photometry import gaussian
-from ..operators import images, measure
+from ..operators import images, measure, orderstats
 from ..plans import build
 from .grid import r6
 from .sky import PIXELS, WCS, frames, query, table, tiles8
@@ -100,8 +100,8 @@ def valid_range_auto(spark, sf):
 @query("SELECT round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem")
 def stretch_percentiles(spark, sf):
     """The 5 % and 95 % points between which a picture is stretched."""
-    p = table(spark, sf, "lineitem").agg(F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
-    return p.select(F.round(F.col("p")[0], 4).alias("p05"), F.round(F.col("p")[1], 4).alias("p95"))
+    low, high = orderstats.quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.05, 0.95], interpolate=True)
+    return spark.createDataFrame([(low, high)], "p05 double, p95 double").select(F.round("p05", 4).alias("p05"), F.round("p95", 4).alias("p95"))
 
 
 @query(f"WITH {PIXELS} SELECT telescope, x, y, round(median(value), 6) AS master, round(avg(value), 6) AS mean, count(value) AS n FROM px GROUP BY ALL")
