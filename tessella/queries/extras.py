@@ -109,12 +109,14 @@ def work_chunks(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", part.alias("part")).groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
-@query("""SELECT tree, append, highest, tree AND NOT append AND highest > 0 AS runs_tree, CASE WHEN tree THEN 0 ELSE highest END AS first_order, tree AND highest > 3 AS defers_preview
- FROM (VALUES (true), (false)) a(tree), (VALUES (true), (false)) b(append), (VALUES (0), (3), (5)) c(highest)""")
+@query("""SELECT tree, append, highest, count(*) AS n, bool_and(tree AND NOT append AND highest > 0) AS runs_tree, min(CASE WHEN tree THEN 0 ELSE highest END)::INT AS first_order, bool_and(tree AND highest > 3) AS defers_preview
+ FROM (SELECT o_orderstatus = 'F' AS tree, o_custkey % 2 = 0 AS append, (o_orderkey % 6)::INT AS highest FROM orders) GROUP BY ALL""")
 def stage_policy(spark, sf):
-    """Which stages a run has."""
-    rows = [(t, a, o, build.runs_tree(t, True, a, o), build.first_output_order(t, o), build.defers_preview(t, o)) for t in (True, False) for a in (True, False) for o in (0, 3, 5)]
-    return spark.createDataFrame(rows, "tree boolean, append boolean, highest int, runs_tree boolean, first_order int, defers_preview boolean")
+    """Orders as runs with options: how many have each, and which stages those run."""
+    tree, highest = F.col("tree"), F.col("highest")
+    runs = table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").alias("tree"), (F.col("o_custkey") % 2 == 0).alias("append"), (F.col("o_orderkey") % 6).cast("int").alias("highest"))
+    stages = {"runs_tree": tree & ~F.col("append") & (highest > 0), "first_order": F.when(tree, 0).otherwise(highest), "defers_preview": tree & (highest > 3)}
+    return runs.groupBy("tree", "append", "highest").agg(F.count("*").alias("n")).withColumns(stages)
 
 
 @query("SELECT l_returnflag AS station, count(*) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem WHERE l_extendedprice BETWEEN 5000 AND 60000 GROUP BY 1")

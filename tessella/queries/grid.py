@@ -9,7 +9,6 @@ from ..functions import healpix as hp
 from ..functions import text, wcs
 from ..operators import coverage as cov
 from ..operators import catalogue, cutouts, images, incremental
-from ..plans import build
 from ..sources import index as ix
 from .sky import FRAMES, STARS, ang2pix_sql, compress_sql, cover_sql, frames, pix2ang_sql, pix2sky_sql, query, sky2pix_sql, spread_sql, stars, table
 
@@ -25,10 +24,10 @@ def catalog_density_o3(spark, sf):
     return cells.groupBy("npix").agg(F.count("*").alias("n"), r6(F.avg("mag")).alias("mean_mag"))
 
 
-@query(f"SELECT npix, round(ra, 6) AS ra, round(dec, 6) AS dec, back FROM {ang2pix_sql(pix2ang_sql('(SELECT range AS npix FROM range(3072))', 4), 4, 'back')}")
+@query(f"WITH {STARS}, c AS (SELECT DISTINCT npix FROM {ang2pix_sql('stars', 4)}) SELECT npix, round(ra, 6) AS ra, round(dec, 6) AS dec, back FROM {ang2pix_sql(pix2ang_sql('c', 4), 4, 'back')}")
 def hpx_roundtrip_o4(spark, sf):
-    """Centres of all order-4 cells and the cells they lie in."""
-    p = hp.with_centre(spark.range(hp.npix(4)).withColumnRenamed("id", "npix"), 4)
+    """Centres of all order-4 cells that hold stars, and the cells they lie in."""
+    p = hp.with_centre(hp.with_cell(stars(spark, sf), 4).select("npix").distinct(), 4)
     return hp.with_cell(p, 4, out="back").select("npix", r6("ra").alias("ra"), r6("dec").alias("dec"), "back")
 
 
@@ -47,21 +46,21 @@ def tile_paths(spark, sf):
     return p.select("star_id", "npix", hp.tile_dir("npix").alias("dir"), hp.tile_path(F.lit(8), "npix").alias("path"))
 
 
-@query(f"SELECT x, y, 2 * {spread_sql('x', 5)} + {spread_sql('(31 - y)', 5)} AS \"offset\", x AS back_x, y AS back_y FROM (SELECT range AS x FROM range(32)), (SELECT range AS y FROM range(32))")
+@query(f"SELECT x, y, 2 * {spread_sql('x', 5)} + {spread_sql('(31 - y)', 5)} AS \"offset\", x AS back_x, y AS back_y FROM (SELECT DISTINCT l_partkey % 32 AS x, l_suppkey % 32 AS y FROM lineitem)")
 def xy2hpx_table(spark, sf):
-    """Offsets of a 32-pixel tile's pixels and back."""
-    p = spark.range(32 * 32).select((F.col("id") % 32).alias("x"), F.floor(F.col("id") / 32).alias("y"))
+    """Offsets of the pixels of a 32-pixel tile that line items fall into, and back."""
+    p = table(spark, sf, "lineitem").select((F.col("l_partkey") % 32).alias("x"), (F.col("l_suppkey") % 32).alias("y")).distinct()
     p = p.withColumn("offset", hp.xy2hpx("x", "y", 32))
     x, y = hp.hpx2xy("offset", 32)
     return p.select("x", "y", "offset", x.alias("back_x"), y.alias("back_y"))
 
 
-@query(f"""SELECT npix, round(4.5 - (-cx - cy) / (2 * s), 6) AS crpix1, round(4.5 - (cx - cy) / (2 * s), 6) AS crpix2, round(s, 9) AS cd2_1 FROM (
+@query(f"""WITH {STARS}, c AS (SELECT DISTINCT npix FROM {ang2pix_sql('stars', 3)}) SELECT npix, round(4.5 - (-cx - cy) / (2 * s), 6) AS crpix1, round(4.5 - (cx - cy) / (2 * s), 6) AS crpix2, round(s, 9) AS cd2_1 FROM (
  SELECT npix, 45.0::DOUBLE / (8 * 8) AS s, (([1,3,5,7,0,2,4,6,1,3,5,7])[f + 1] + (x - y) / 8.0::DOUBLE) * 45.0 AS cx, (([1,1,1,1,0,0,0,0,-1,-1,-1,-1])[f + 1] + (x + y + 1 - 8) / 8.0::DOUBLE) * 45.0 AS cy FROM (
- SELECT range AS npix, range >> 6 AS f, {compress_sql('(range & 63)', 3)} AS x, {compress_sql('((range & 63) >> 1)', 3)} AS y FROM range(768)))""")
+ SELECT npix, npix >> 6 AS f, {compress_sql('(npix & 63)', 3)} AS x, {compress_sql('((npix & 63) >> 1)', 3)} AS y FROM c))""")
 def hpx_tile_wcs(spark, sf):
-    """Reference pixels of all order-3 tiles in the plane of the grid."""
-    t = images.hpx_tile_wcs(spark.range(hp.npix(3)).withColumnRenamed("id", "npix"), 3, 8)
+    """Reference pixels, in the plane of the grid, of all order-3 tiles that hold stars."""
+    t = images.hpx_tile_wcs(hp.with_cell(stars(spark, sf), 3).select("npix").distinct(), 3, 8)
     return t.select("npix", r6("crpix1").alias("crpix1"), r6("crpix2").alias("crpix2"), F.round("cd2_1", 9).alias("cd2_1"))
 
 
@@ -229,10 +228,11 @@ def append_acc(spark, sf):
     return tiles.select("npix", "x", "y", F.round(F.col("value") + 1e-7, 4).alias("value"))  # off the ties of exact means
 
 
-@query("SELECT n AS tasks, greatest(1, least(64, (n + 127) // 128)) AS chunk FROM (VALUES (0), (46), (512), (4096), (100000)) t(n)")
+@query("SELECT l_suppkey AS supplier, count(*) AS tasks, greatest(1, least(64, (count(*) + 127) // 128))::BIGINT AS chunk FROM lineitem GROUP BY 1")
 def chunk_plan(spark, sf):
-    """Tasks handed out at once with 32 workers."""
-    return spark.createDataFrame([(n, build.chunk_size(n, 32)) for n in (0, 46, 512, 4096, 100000)], "tasks int, chunk int")
+    """Line items of each supplier, and in chunks of how many 32 workers would take them."""
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("tasks"))
+    return counts.withColumn("chunk", F.greatest(F.least(F.ceil(F.col("tasks") / 128), F.lit(64)), F.lit(1)).cast("long"))
 
 
 @query("SELECT o_orderkey AS order_id, o_orderpriority AS priority, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderpriority <> '5-LOW' AND o_custkey % 7 <> 3 AND o_orderdate >= TIMESTAMP '1993-01-01'")
