@@ -29,6 +29,57 @@ def mesh(rows: DataFrame, cell: int, value: str = "value", by: tuple[str, ...] =
     return cells.join(smooth, [*by, "mx", "my"])
 
 
+def background_surface(pixels: DataFrame, by: tuple[str, ...], width: int, height: int, cell: int = 64, least: float = 0.5) -> DataFrame:
+    """by, x, y, value, background, rms, and `flat` (whether the image's background is one number) of every pixel.
+
+    A mesh cell with values in at least the share `least` of its pixels has a clipped median and scatter; another takes the
+    median of its good neighbours, or of all good cells of the image. The mesh is smoothed by the median over 3 x 3 cells and
+    interpolated between the centres of cells; beyond the outermost centres it goes on level. An image without a good cell takes
+    the clipped median and scatter of all its values; one without values has null ones.
+    """
+    across, up = -(-width // cell), -(-height // cell)
+    placed = pixels.withColumns({"mx": F.floor(F.col("x") / cell).cast("int"), "my": F.floor(F.col("y") / cell).cast("int")})
+    side = lambda m, size: F.least(F.lit(cell), F.lit(size) - F.col(m) * cell)
+    full = placed.groupBy(*by, "mx", "my").agg(F.count("value").alias("_n")).where(F.col("_n") >= least * side("mx", width) * side("my", height))
+    good = clip_sigma(placed, (*by, "mx", "my"), "value").join(full, [*by, "mx", "my"], "left_semi").select(*by, "mx", "my", "background", "rms")
+    # All cells of images that have a good one; the mesh is small beside the pixels.
+    places = F.explode(F.expr(f"flatten(transform(sequence(0, {across - 1}), i -> transform(sequence(0, {up - 1}), j -> struct(i AS mx, j AS my))))"))
+    overall = good.groupBy(*by).agg(F.median("background").alias("_all"), F.median("rms").alias("_all_rms"))
+    mesh_cells = overall.withColumn("_c", places).select(*by, "_all", "_all_rms", "_c.mx", "_c.my")
+    offsets = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i, j))))"))
+
+    def around(cells: DataFrame) -> DataFrame:
+        """Each cell's numbers under its neighbours' places and its own."""
+        moved = cells.withColumn("_d", offsets)
+        return moved.select(*by, (F.col("mx") + F.col("_d.i")).alias("mx"), (F.col("my") + F.col("_d.j")).alias("my"), "background", "rms")
+
+    near = around(good).groupBy(*by, "mx", "my").agg(F.median("background").alias("_near"), F.median("rms").alias("_near_rms"))
+    filled = mesh_cells.join(good, [*by, "mx", "my"], "left").join(near, [*by, "mx", "my"], "left")
+    filled = filled.select(*by, "mx", "my", F.coalesce("background", "_near", "_all").alias("background"), F.coalesce("rms", "_near_rms", "_all_rms").alias("rms"))
+    smooth = around(filled).groupBy(*by, "mx", "my").agg(F.median("background").alias("background"), F.median("rms").alias("rms"))
+    smooth = smooth.where(F.col("mx").between(0, across - 1) & F.col("my").between(0, up - 1))
+    # Each cell with the nine values that its pixels are interpolated between; at the rim the nearest cell stands in.
+    asked = mesh_cells.select(*by, "mx", "my").withColumn("_d", offsets).select(
+        *by, "mx", "my", ((F.col("_d.i") + 1) * 3 + F.col("_d.j") + 1).alias("_k"),
+        F.least(F.greatest(F.col("mx") + F.col("_d.i"), F.lit(0)), F.lit(across - 1)).alias("_x"), F.least(F.greatest(F.col("my") + F.col("_d.j"), F.lit(0)), F.lit(up - 1)).alias("_y"),
+    )
+    named = smooth.withColumnsRenamed({"mx": "_x", "my": "_y"})
+    nine = asked.join(named, [*by, "_x", "_y"]).groupBy(*by, "mx", "my").agg(F.sort_array(F.collect_list(F.struct("_k", "background", "rms"))).alias("_nine"))
+    whole = clip_sigma(pixels, by, "value").select(*by, F.col("background").alias("_whole"), F.col("rms").alias("_whole_rms"))
+    rows = placed.join(nine, [*by, "mx", "my"], "left").join(whole, list(by), "left")
+    t, v = ((F.col(c) + 0.5) / cell - 0.5 - F.col(m) for c, m in (("x", "mx"), ("y", "my")))
+    rows = rows.withColumns({"_i": F.when(t < 0, -1).otherwise(0), "_j": F.when(v < 0, -1).otherwise(0)}).withColumns({"_fx": t - F.col("_i"), "_fy": v - F.col("_j")})
+
+    def between(name: str) -> Column:
+        at = lambda i, j: F.element_at("_nine", ((F.col("_i") + i + 1) * 3 + F.col("_j") + j + 2).cast("int"))[name]
+        fx, fy = F.col("_fx"), F.col("_fy")
+        return at(0, 0) * (1 - fx) * (1 - fy) + at(1, 0) * fx * (1 - fy) + at(0, 1) * (1 - fx) * fy + at(1, 1) * fx * fy
+
+    return rows.select(
+        *by, "x", "y", "value", F.coalesce(between("background"), "_whole").alias("background"), F.coalesce(between("rms"), "_whole_rms").alias("rms"), F.col("_nine").isNull().alias("flat")
+    )
+
+
 def aperture(pixels: DataFrame, by: tuple[str, ...], x0, y0, radius: float, inner: float, outer: float, noise: str = "sky_scatter") -> DataFrame:
     """by, n_pixels, sky, flux, flux_err and snr of a round aperture with a sky annulus.
 

@@ -146,6 +146,28 @@ def bkg_mesh_clip(spark, sf):
     return m.select("mx", "my", F.round("background", 4).alias("background"), F.round("rms", 4).alias("rms"), "n", F.round("smooth_background", 4).alias("smooth_background"))
 
 
+SURFACE_SQL = f"""{PIXELS}, holes AS (SELECT npix, x, y, CASE WHEN npix % 5 = 0 AND x < 2 AND y < 2 THEN NULL WHEN npix % 7 = 0 AND x // 2 <> y // 2 THEN NULL WHEN npix % 11 = 0 AND (x % 2 = 1 OR y % 2 = 1) THEN NULL ELSE value END AS value, x // 2 AS mx, y // 2 AS my FROM px),
+ valid AS (SELECT * FROM holes WHERE value IS NOT NULL), {_clip_sql('valid', 'npix, mx, my', 'value')},
+ good AS (SELECT npix, mx, my, median(value) AS b, stddev_pop(value) AS r FROM k2 JOIN (SELECT npix, mx, my FROM valid GROUP BY ALL HAVING count(*) >= 2) USING (npix, mx, my) GROUP BY ALL),
+ cells AS (SELECT npix, mx, my, a, ar FROM (SELECT npix, median(b) AS a, median(r) AS ar FROM good GROUP BY 1), (SELECT range AS mx FROM range(4)), (SELECT range AS my FROM range(4))),
+ filled AS (SELECT c.npix, c.mx, c.my, coalesce(any_value(g.b) FILTER (g.mx = c.mx AND g.my = c.my), median(g.b), any_value(a)) AS b, coalesce(any_value(g.r) FILTER (g.mx = c.mx AND g.my = c.my), median(g.r), any_value(ar)) AS r
+  FROM cells c LEFT JOIN good g ON g.npix = c.npix AND abs(g.mx - c.mx) <= 1 AND abs(g.my - c.my) <= 1 GROUP BY ALL),
+ smooth AS (SELECT c.npix, c.mx, c.my, median(f.b) AS b, median(f.r) AS r FROM cells c JOIN filled f ON f.npix = c.npix AND abs(f.mx - c.mx) <= 1 AND abs(f.my - c.my) <= 1 GROUP BY ALL),
+ {_clip_sql('valid', 'npix', 'value').replace('m0 ', 'w0 ').replace('m1 ', 'w1 ').replace('m2 ', 'w2 ').replace('JOIN m', 'JOIN w').replace('k0', 'v0').replace('k1', 'v1').replace('k2', 'v2')},
+ whole AS (SELECT npix, median(value) AS wb, stddev_pop(value) AS wr FROM v2 GROUP BY 1),
+ spots AS (SELECT *, least(greatest((x + 0.5) / 2 - 0.5, 0), 3) AS gx, least(greatest((y + 0.5) / 2 - 0.5, 0), 3) AS gy FROM holes),
+ surface AS (SELECT s.npix, s.x, s.y, s.value, sum(f.b * (1 - abs(f.mx - gx)) * (1 - abs(f.my - gy))) AS b, sum(f.r * (1 - abs(f.mx - gx)) * (1 - abs(f.my - gy))) AS r FROM spots s LEFT JOIN smooth f ON f.npix = s.npix AND abs(f.mx - gx) < 1 AND abs(f.my - gy) < 1 GROUP BY ALL)"""
+
+
+@query(f"WITH {SURFACE_SQL} SELECT npix, x, y, round(value - coalesce(b, wb), 5) AS subtracted, round(coalesce(b, wb), 5) AS background, round(coalesce(r, wr), 5) AS rms, b IS NULL AS flat FROM surface LEFT JOIN whole USING (npix)")
+def background_subtracted(spark, sf):
+    """Tiles less a surface through 4 x 4 mesh cells; some cells have too few values, and some tiles have no good cell."""
+    p, n, x, y = px(spark, sf), F.col("npix"), F.col("x"), F.col("y")
+    hole = ((n % 5 == 0) & (x < 2) & (y < 2)) | ((n % 7 == 0) & (F.floor(x / 2) != F.floor(y / 2))) | ((n % 11 == 0) & ((x % 2 == 1) | (y % 2 == 1)))
+    s = measure.background_surface(p.select("npix", "x", "y", F.when(~hole, F.col("value")).alias("value")), ("npix",), 8, 8, 2)
+    return s.select("npix", "x", "y", F.round(F.col("value") - F.col("background"), 5).alias("subtracted"), F.round("background", 5).alias("background"), F.round("rms", 5).alias("rms"), "flat")
+
+
 APERTURE = """SELECT npix, n_pixels, round(sky, 6) AS sky, round(s - sky * n_pixels, 5) AS flux, round(sqrt(abs(s - sky * n_pixels) + n_pixels * {noise}), 5) AS flux_err FROM (
  SELECT npix, count(CASE WHEN r2 <= 4 THEN value END) AS n_pixels, sum(CASE WHEN r2 <= 4 THEN value END) AS s, median(CASE WHEN r2 BETWEEN 9 AND 16 THEN value END) AS sky, var_pop(CASE WHEN r2 BETWEEN 9 AND 16 THEN value END) AS v
  FROM (SELECT *, (x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5) AS r2 FROM px) GROUP BY npix)"""
