@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, wcs
 from ..functions import healpix as hp
 from ..operators import coverage as cov
-from ..operators import measure, tilestate
+from ..operators import detect, measure, tilestate
 from ..plans import build, transients
 from ..sources import index as ix
 from .grid import COVERAGE_SQL, r6
@@ -318,3 +320,42 @@ def nearest_detection(spark, sf):
     s = stars(spark, sf).select("field", F.col("star_id").alias("id"), F.col("ra").alias("x"), F.col("dec").alias("y"), (k % 2).alias("side"))
     n = measure.nearest_pixel(s.where("side = 0").drop("side"), s.where("side = 1").drop("side"), ("field",), 40.0)
     return n.select("field", "left_id", "right_id", F.round("distance", 5).alias("distance"))
+
+
+# Detection -------------------------------------------------------------------------------------------------------------
+
+_KERNEL = [math.exp(-(k * k) / (2 * 1.2 * 1.2)) for k in range(-5, 6)]
+_KERNEL = [w / sum(_KERNEL) for w in _KERNEL]
+DETECTION_SQL = f"""spots AS (SELECT DISTINCT c_nationkey AS field, c_custkey * 37 % 96 AS x, c_custkey * 53 % 96 AS y, 1 AS hit FROM customer WHERE c_custkey % 6 < 4),
+ raw AS (SELECT field, x, y, ((x * 7 + y * 13 + field * 3) % 11 + CASE WHEN hit IS NULL THEN 0 ELSE 500 + (x * 3 + y * 5) % 97 END)::DOUBLE AS v FROM (SELECT field, x, y FROM (SELECT DISTINCT c_nationkey AS field FROM customer), (SELECT range AS x FROM range(96)), (SELECT range AS y FROM range(96))) LEFT JOIN spots USING (field, x, y)),
+ kernel AS (SELECT range - 5 AS k, ({_KERNEL}::DOUBLE[])[range + 1] AS w FROM range(11)),
+ rows_ AS (SELECT a.field, a.x, a.y, sum(b.v * w) AS v FROM (SELECT field, x, y, k, w, greatest(least(x + k, 95), 0) AS bx FROM raw, kernel) a JOIN raw b ON b.field = a.field AND b.x = a.bx AND b.y = a.y GROUP BY ALL),
+ soft AS MATERIALIZED (SELECT a.field, a.x, a.y, round(sum(b.v * w), 9) AS v FROM (SELECT field, x, y, k, w, greatest(least(y + k, 95), 0) AS by_ FROM rows_, kernel) a JOIN rows_ b ON b.field = a.field AND b.x = a.x AND b.y = a.by_ GROUP BY ALL),
+ limits AS (SELECT field, median(v) + 3 * stddev_pop(v) AS high FROM soft GROUP BY 1),
+ tops AS (SELECT * FROM (SELECT *, max(r) OVER (PARTITION BY field, x ORDER BY y RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM (SELECT *, max(v) OVER (PARTITION BY field, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS r FROM soft)) JOIN limits USING (field) WHERE v = m AND v > high),
+ found AS MATERIALIZED (SELECT field, x, y FROM tops QUALIFY row_number() OVER (PARTITION BY field ORDER BY v DESC, y, x) <= 250),
+ places AS (SELECT c_nationkey AS field, c_custkey AS id, c_custkey * 37 % 96 - (c_nationkey % 7 - 3) * 1.3::DOUBLE + (c_custkey % 3 - 1) * 0.25::DOUBLE AS x, c_custkey * 53 % 96 + (c_nationkey % 5 - 2) * 2.1::DOUBLE AS y FROM customer WHERE c_custkey % 5 < 4),
+ inner_ AS (SELECT * FROM places WHERE x > 6 AND y > 6 AND x < 90 AND y < 90),
+ votes AS (SELECT field, floor(ox / 4 + 0.5)::BIGINT AS bx, floor(oy / 4 + 0.5)::BIGINT AS by_, count(*) AS votes FROM (SELECT p.field, f.x - p.x AS ox, f.y - p.y AS oy FROM found f JOIN inner_ p USING (field)) WHERE abs(ox) < 40 AND abs(oy) < 40 GROUP BY ALL),
+ winner AS (SELECT field, bx * 4.0::DOUBLE AS cx, by_ * 4.0::DOUBLE AS cy, votes FROM votes QUALIFY row_number() OVER (PARTITION BY field ORDER BY votes DESC, bx, by_) = 1),
+ near AS (SELECT field, id, ox, oy FROM (SELECT p.field, p.id, f.x - p.x AS ox, f.y - p.y AS oy, f.x, f.y, sqrt(pow(f.x - p.x - cx, 2) + pow(f.y - p.y - cy, 2)) AS d FROM inner_ p JOIN winner USING (field) JOIN found f USING (field)) WHERE d < 8 QUALIFY row_number() OVER (PARTITION BY field, id ORDER BY d, y, x) = 1),
+ fine AS (SELECT field, median(ox) AS fx, median(oy) AS fy, count(*) AS n FROM near GROUP BY 1)"""
+
+
+@query(f"""WITH {DETECTION_SQL} SELECT r.field, round(coalesce(CASE WHEN n >= 3 THEN fx ELSE cx END, 0), 4) AS dx, round(coalesce(CASE WHEN n >= 3 THEN fy ELSE cy END, 0), 4) AS dy, coalesce(votes, 0) AS votes, coalesce(n, 0) AS n_matched, coalesce(n >= 3, false) AS refined
+ FROM (SELECT DISTINCT field FROM raw) r LEFT JOIN winner USING (field) LEFT JOIN fine USING (field)""")
+def catalogue_shift(spark, sf):
+    """Sources of every field's image, smoothed, against the places a catalogue predicts: vote, then refine."""
+    c, size = table(spark, sf, "customer"), 96
+    key, field = F.col("c_custkey"), F.col("c_nationkey")
+    spot = F.when(key % 6 < 4, (key * 53 % size) * size + key * 37 % size)
+    spots = c.groupBy(field.alias("field")).agg(F.collect_set(spot).alias("spots"))  # pixels of a field at most
+
+    def value(i):
+        x, y = i % size, F.floor(i / size)
+        return ((x * 7 + y * 13 + F.col("field") * 3) % 11 + F.when(F.array_contains("spots", i.cast("long")), 500 + (x * 3 + y * 5) % 97).otherwise(0)).cast("double")
+
+    images = spots.select("field", F.lit(size).alias("width"), F.lit(size).alias("height"), F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), value).alias("pixels"))
+    places = c.where(key % 5 < 4).select(field.alias("field"), key.alias("id"), (key * 37 % size - (field % 7 - 3) * 1.3 + (key % 3 - 1) * 0.25).alias("x"), (key * 53 % size + (field % 5 - 2) * 2.1).alias("y"))
+    s = detect.catalogue_shift(images, places, ("field",), reach=40.0, border=6.0)
+    return s.select("field", r4("dx").alias("dx"), r4("dy").alias("dy"), "votes", "n_matched", "refined")
