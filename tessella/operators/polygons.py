@@ -33,10 +33,10 @@ BORDER = 2
 BYTES_PER_BATCH = 8 << 20
 
 
-def compress(v: np.ndarray) -> np.ndarray:
-    """Bit 2k of each number moves to bit k."""
+def compress(v: np.ndarray, bits: int = hp.MAX_ORDER) -> np.ndarray:
+    """Bit 2k of each number moves to bit k, for `bits` of them."""
     out = np.zeros_like(v)
-    for k in range(hp.MAX_ORDER):
+    for k in range(bits):
         out |= (v >> 2 * k & 1) << k
     return out
 
@@ -57,13 +57,13 @@ def outline(pix: np.ndarray, order: int, per_side: int = POINTS_PER_SIDE) -> np.
     n, g = 1 << order, np.arange(per_side) / per_side
     u, v = np.r_[g, np.ones(per_side), 1 - g, np.zeros(per_side)], np.r_[np.zeros(per_side), g, np.ones(per_side), 1 - g]
     inside = pix & (n * n - 1)
-    return direction((pix >> 2 * order)[:, None], (compress(inside)[:, None] + u) / n, (compress(inside >> 1)[:, None] + v) / n)
+    return direction((pix >> 2 * order)[:, None], (compress(inside, order)[:, None] + u) / n, (compress(inside >> 1, order)[:, None] + v) / n)
 
 
 def centre(pix: np.ndarray, order: int) -> np.ndarray:
     """Unit vectors of the cells' centres."""
     n, inside = 1 << order, pix & ((1 << 2 * order) - 1)
-    return direction(pix >> 2 * order, (compress(inside) + 0.5) / n, (compress(inside >> 1) + 0.5) / n)
+    return direction(pix >> 2 * order, (compress(inside, order) + 0.5) / n, (compress(inside >> 1, order) + 0.5) / n)
 
 
 def descend(middle: np.ndarray, radius: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +182,11 @@ def usable(frames: DataFrame) -> DataFrame:
     return good.where("cd1_1 * cd2_2 <> cd1_2 * cd2_1").na.drop(subset=list(WCS))
 
 
+def _spread(frames: DataFrame) -> DataFrame:
+    """Narrow frame rows dealt evenly: a small file of headers would else be one task's work."""
+    return frames.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def footprint_boxes(frames: DataFrame, order: int, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """The columns in `keep`, npix, x0, y0, w and h: the part of a frame that each cell it meets needs, with a border to interpolate."""
     good = usable(frames)
@@ -198,7 +203,7 @@ def footprint_boxes(frames: DataFrame, order: int, keep: tuple[str, ...] = ("ima
                 sides = [boxes[:, 0], boxes[:, 1], boxes[:, 2] - boxes[:, 0] + 1, boxes[:, 3] - boxes[:, 1] + 1]
                 yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(at + part.start)).columns, pa.array(pix, pa.int64()), *[pa.array(v, pa.int32()) for v in sides]], schema.names)
 
-    return good.select(*names, *[good[c].alias(f"_{c}") for c in WCS]).mapInArrow(run, schema)
+    return _spread(good.select(*names, *[good[c].alias(f"_{c}") for c in WCS])).mapInArrow(run, schema)
 
 
 def cut_tiles(frames: DataFrame, order: int, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -260,7 +265,7 @@ def footprint_cells(frames: DataFrame, order: int, keep: tuple[str, ...] = ()) -
                 kept = batch.select(names).take(pa.array(at + part.start)).columns if names else []
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pix, pa.int64())], [*names, "npix"])
 
-    return good.select(*names, *[good[c].alias(f"_{c}") for c in WCS]).mapInArrow(run, schema)
+    return _spread(good.select(*names, *[good[c].alias(f"_{c}") for c in WCS])).mapInArrow(run, schema)
 
 
 def disc_cells(positions: DataFrame, order: int, radius: str | float, ra: str = "ra", dec: str = "dec") -> DataFrame:
