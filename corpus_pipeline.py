@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    """One document of each group stays: candidates by SimHash anchors, linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
     return keep_one_per_group(docs)
 
 

@@ -1,36 +1,52 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash anchors, checked by the Jaccard similarity of word shingles.
 
 Two documents link if their sets of five-word shingles have a Jaccard similarity of MIN_JACCARD or more. Documents
-with the same words are collapsed first. Candidates share a bucket: BANDS bands of ROWS min-hashes, so a pair at 0.8
-shares none with probability (1 - 0.8^4)^24 = 3e-6, and a closer pair more rarely. Every link is checked on the
-whole shingle sets, in two steps. First each member of a bucket is compared with the bucket's leader; LEADERS orders
-take turns over the bands. Then the buckets whose members are still apart are compared in full, in cells: the
-members of a bucket's largest component need no comparison with each other, so cells hold slices of them against
-slices of the others. A cell returns a spanning forest of its links, never all pairs.
+with the same words are collapsed first. Candidates come from SimHash fingerprints of the shingle sets by anchor-point
+covering. At 0.8 about 15 of 100 bits differ, so the radius that would cover them in one code sends each fingerprint to
+most anchors. Instead the fingerprint has many short parts, each with a code of its own: a part's bits are its home
+anchor, and it reaches all anchors that agree with it outside its WEAK weakest bits, those whose sums are nearest to
+zero. Homes are compared with all fingerprints that reach their anchor, on FILTER_BITS bits; what lies within NEAR
+bits, directly or over each other, is a bucket. `layout` takes as many parts as keep the chance that a pair at 0.8
+reaches no common anchor below MISSED. Anchors with many homes are cut into a grid of cells.
+
+Every link is checked on the whole shingle sets, in two steps. First each member of a bucket is compared with the
+bucket's leader; LEADERS orders take turns over the buckets. Then the buckets whose members are still apart are compared
+in full, in cells: the members of a bucket's largest component need no comparison with each other, so cells hold slices
+of them against slices of the others. A cell returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from .common import connected_components, few_files, materialize, row_id
+from .common import connected_components, materialize, row_id
 from .simhash import shingles_of
 
 SEED = 7
 NGRAM, MIN_JACCARD = 5, 0.8
-BANDS, ROWS = 24, 4
+WEAK, MISSED = 2, 1e-5
+FILTER_BITS, NEAR = 192, 60
+HOMES_PER_ANCHOR, HOMES_PER_CELL = 512, 1024
+ROWS_PER_GROUP = 8192
 LEADERS = 4
 MEMBERS_PER_CELL = 1024
 
-_draw = np.random.default_rng(SEED)
-FACTORS = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-OFFSETS = _draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: Bits of a part -> share of pairs at 0.8 that meet in one part, by simulation: the least over sets of 5 to 400 shingles.
+MEETING = {12: 0.43, 14: 0.31, 16: 0.22, 18: 0.15}
+
+
+def layout(rows: int) -> tuple[int, int]:
+    """Bits of a part and number of parts for this many documents."""
+    bits = next((b for b in MEETING if rows <= HOMES_PER_ANCHOR << b), max(MEETING))
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - MEETING[bits]))
 
 
 def gram_hashes(text: bytes | None, ngram: int = NGRAM) -> np.ndarray:
@@ -39,16 +55,30 @@ def gram_hashes(text: bytes | None, ngram: int = NGRAM) -> np.ndarray:
     return np.unique(np.array([digest(s, SEED) for s in shingles_of(text, ngram)], dtype=np.uint64))
 
 
-def buckets_of(grams: np.ndarray) -> list[int]:
-    """One bucket (signed 64 bits) per band; none for an empty set."""
+def sign_sums(grams: np.ndarray, bits: int) -> np.ndarray:
+    """For each of `bits` positions (a multiple of 64): shingles whose bit is set, less those whose bit is not."""
+    ones = np.zeros(bits, np.int64)
+    for i in range(0, len(grams), 4096):
+        z = grams[i : i + 4096, None] + np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(z.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+    return 2 * ones - len(grams)
+
+
+def anchors_of(grams: np.ndarray, bits: int, parts: int) -> tuple[list[int], list[int]]:
+    """The first FILTER_BITS of the fingerprint as longs, and each part's home and weak bits: home << 10 | weak << 5 | weak."""
     if not len(grams):
-        return []
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    mixed = (grams >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(mixed), 1024):
-        np.minimum(low, (FACTORS[:, None] * mixed[None, i : i + 1024] + OFFSETS[:, None]).min(1), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+        return [], []
+    sums = sign_sums(grams, -(-max(bits * parts, FILTER_BITS) // 64) * 64)
+    ones = sums > 0
+    fp = np.packbits(ones[:FILTER_BITS], bitorder="little").view("<i8")
+    part = ones[: bits * parts].reshape(parts, bits)
+    home = part @ (1 << np.arange(bits))
+    margin = 2 * np.abs(sums[: bits * parts].reshape(parts, bits)) - part
+    weak = np.argpartition(margin, WEAK, axis=1)[:, :WEAK]
+    return fp.tolist(), (home << 10 | weak[:, 0] << 5 | weak[:, 1]).tolist()
 
 
 def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -82,19 +112,87 @@ def forest(keys: np.ndarray, trees: np.ndarray, sets: list[np.ndarray], least: f
     return a, b
 
 
-def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, key (hash of the words) and buckets of every row."""
+def _prints(docs: DataFrame, bits: int, parts: int) -> DataFrame:
+    """doc_id, rid, key (hash of the words), fp and parts of every row; the last two are empty for a text without words."""
 
     def sketch(batches):
         for batch in batches:
-            keys, buckets = [], []
+            keys, fps, homes = [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 keys.append(xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), SEED) - (1 << 63))
-                buckets.append(buckets_of(gram_hashes(text)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "rid", "key", "buckets"])
+                fp, home = anchors_of(gram_hashes(text), bits, parts)
+                fps.append(fp), homes.append(home)
+            columns = [batch.column("doc_id"), batch.column("rid"), pa.array(keys, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(homes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "key", "fp", "parts"])
+
+    return docs.mapInArrow(sketch, docs.select("doc_id", "rid").schema.add("key", "long").add("fp", ArrayType(LongType())).add("parts", ArrayType(IntegerType())))
+
+
+def near_groups(keys: np.ndarray, fps: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members (lowest key of the group, key) of all groups of keys that links between homes and guests within NEAR bits connect.
+
+    `fps` has a row of 64-bit numbers per key; `role` is 0 for a guest, 1 for a home, 2 for both.
+    """
+    names, at = np.unique(keys, return_inverse=True)
+    root = np.arange(len(names))
+    homes, guests = np.flatnonzero(role > 0), np.flatnonzero(role != 1)
+    step = max(1, 2_000_000 // max(1, len(guests)))
+    for i in range(0, len(homes), step):
+        some = homes[i : i + step]
+        apart = np.zeros((len(some), len(guests)), np.uint8)
+        for k in range(fps.shape[1]):
+            apart += np.bitwise_count(fps[some, k][:, None] ^ fps[guests, k])
+        near = apart <= NEAR
+        for k in np.flatnonzero(near.sum(1) > (role[some] == 2)):  # a home that is a guest too finds itself
+            hit = root[np.append(at[guests[near[k]]], at[some[k]])]
+            low = hit.min()
+            if (hit != low).any():
+                root[np.isin(root, hit)] = low
+    held = np.bincount(root, minlength=len(names))[root] > 1
+    return names[root[held]], names[held]
+
+
+def link_anchors(prints: DataFrame, bits: int, rows: int) -> DataFrame:
+    """Members (`bucket`, `key`) of all groups of near fingerprints at all anchors; `prints` has one row per key."""
+    flip = lambda bit, shift: F.when(F.col("turn").bitwiseAND(bit) > 0, F.expr(f"shiftleft(1, cast(shiftright(at, {shift}) & 31 as int))")).otherwise(0)
+    words = [F.col("fp")[k].alias(f"f{k}") for k in range(FILTER_BITS // 64)]
+    held = prints.select("key", *words, F.posexplode("parts").alias("part", "at"))
+    held = held.withColumn("turn", F.explode(F.array(*map(F.lit, range(1 << WEAK)))))
+    home = F.expr(f"cast(part as long) * {1 << max(MEETING)} + shiftright(at, 10)")
+    reached = held.withColumn("anchor", home.bitwiseXOR(flip(1, 0).cast("long")).bitwiseXOR(flip(2, 5).cast("long")))
+    # At most one row per HOMES_PER_CELL homes.
+    hot = prints.select(F.posexplode("parts").alias("part", "at")).groupBy(home.alias("anchor")).count().where(F.col("count") > HOMES_PER_CELL)
+    hot = hot.select("anchor", F.ceil(F.col("count") / HOMES_PER_CELL).cast("int").alias("cuts"))
+    side = F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    cells = reached.join(F.broadcast(hot), "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    as_home = F.transform(every, lambda t: F.struct((side * F.col("cuts") + t).alias("cell"), F.lit(1).alias("role")))
+    as_guest = F.transform(every, lambda s: F.struct((s * F.col("cuts") + side).alias("cell"), F.lit(0).alias("role")))
+    whole = F.array(F.struct(F.lit(0).alias("cell"), F.when(F.col("turn") == 0, 2).otherwise(0).alias("role")))
+    names = [f"f{k}" for k in range(len(words))]
+    cells = cells.select(
+        "anchor", "key", *names,
+        F.explode(F.when(F.col("cuts") == 1, whole).when(F.col("turn") == 0, F.concat(as_home, as_guest)).otherwise(as_guest)).alias("to"),
+    )
+    # Anchors with few fingerprints share a group.
+    shared = max(0, math.floor(math.log2(ROWS_PER_GROUP * 2**bits / (max(1, rows) << WEAK))))
+    place = F.shiftrightunsigned("anchor", min(shared, bits))
+
+    def compare(group: pa.Table) -> pa.Table:
+        anchor, key, role = (group.column(c).to_numpy() for c in ("anchor", "key", "role"))
+        order = np.argsort(anchor, kind="stable")
+        anchor, key, role = anchor[order], key[order], role[order]
+        fps = np.stack([group.column(c).to_numpy().view(np.uint64) for c in names], 1)[order]
+        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        found = [(anchor[lo], *near_groups(key[lo:hi], fps[lo:hi], role[lo:hi])) for lo, hi in zip(starts, np.r_[starts[1:], len(anchor)], strict=True) if hi - lo > 1]
+        found = [(np.full(len(k), a), low, k) for a, low, k in found if len(k)]
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+        cell = np.full(len(columns[0]), group.column("cell")[0].as_py(), np.int32)
+        return pa.table(dict(zip(("anchor", "low", "key", "cell"), map(pa.array, (*columns, cell)), strict=True)))
 
-    return docs.mapInArrow(sketch, docs.select("doc_id", "rid").schema.add("key", "long").add("buckets", ArrayType(LongType())))
+    near = cells.select("anchor", "key", *names, "to.cell", "to.role").groupBy(place.alias("place"), "cell").applyInArrow(compare, "anchor long, low long, key long, cell int")
+    return near.select(F.xxhash64("anchor", "cell", "low").alias("bucket"), "key")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -150,14 +248,16 @@ def link_cells(members: DataFrame, sets: DataFrame, trees: DataFrame, least: flo
 def _placed(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """doc_id, rid, component, and `first`: the smallest (doc_id, rid) of the component, of every row of `docs`; null ids are not smallest."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), row_id(doc_id, text).alias("rid"), F.col(text).cast("binary").alias("text"))
-    prints = materialize(_prints(narrow), "shingle-prints")
+    bits, parts = layout(docs.count())
+    prints = materialize(_prints(narrow, bits, parts), "shingle-prints")
     own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rid")))
-    distinct = prints.groupBy("key").agg(own.alias("first"), F.min("rid").alias("rid"), F.first("buckets").alias("buckets"))
+    distinct = prints.groupBy("key").agg(own.alias("first"), F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("parts").alias("parts"))
     lows = materialize(distinct, "shingle-keys")
-    held = lows.select("key", F.posexplode("buckets").alias("band", "bucket"))
-    turn = F.xxhash64("key", F.col("band") % LEADERS)
-    shared = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(turn, "key")).alias("o")).where("n > 1").select("bucket", F.col("o.key").alias("leader"))
-    members = materialize(held.select("bucket", "key").join(shared, "bucket"), "shingle-members")
+    near = materialize(link_anchors(lows.select("key", "fp", "parts"), bits, lows.count()), "shingle-near")
+    turn = F.xxhash64("key", F.pmod("bucket", F.lit(LEADERS)))
+    shared = near.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.min(F.struct(turn, "key")).alias("o"))
+    shared = shared.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "o")).alias("b"))  # pairs meet at many anchors
+    members = materialize(near.join(shared.select("b.bucket", F.col("b.o.key").alias("leader")), "bucket"), "shingle-members")
     wanted = members.select("key").distinct().join(lows.select("key", "rid"), "key")
     sets = materialize(_sets(narrow.select("rid", "text").join(wanted, "rid").dropDuplicates(["key"]).select("key", "text")), "shingle-sets")
     first = materialize(link_leaders(members, sets, least), "leader-links")

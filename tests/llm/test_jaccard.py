@@ -108,3 +108,19 @@ def test_an_id_with_several_texts_loses_copies_only(spark):
     assert sorted(((i, t) for i, t in kept if i != 6), key=str) == sorted([(1, long(1)), (5, long(2)), (None, long(1)), (8, long(4)), (8, long(5))], key=str)
     named = [(r["doc_id"], r["text"]) for r in jaccard.keep_one_per_group(spark.createDataFrame([("b", long(1)), ("a", long(1)), ("a", long(2)), ("c", long(2))], "doc_id string, text string")).collect()]
     assert sorted(named) == [("a", long(1)), ("a", long(2))]
+
+
+def test_simhash_anchors_bring_all_near_pairs_together(spark, monkeypatch):
+    texts = copies(60, 0.8, 0.86, 5) + [[f"{k}y{i}" for i in range(n)] for k in range(12) for n in (8, 9)]  # also 4 shingles of 5
+    bits, parts = jaccard.layout(len(texts))
+    assert (1 - jaccard.MEETING[bits]) ** parts <= jaccard.MISSED
+    rows = [(i, i, " ".join(t).encode()) for i, t in enumerate(texts)]
+    prints = jaccard._prints(spark.createDataFrame(rows, "doc_id long, rid long, text binary"), bits, parts)
+    keys = {r["doc_id"]: r["key"] for r in prints.collect()}
+    for limit in (1024, 1):  # 1: all shared anchors are cut into cells
+        monkeypatch.setattr(jaccard, "HOMES_PER_CELL", limit)
+        held = {}
+        for r in jaccard.link_anchors(prints.select("key", "fp", "parts"), bits, len(texts)).collect():
+            held.setdefault(r["bucket"], set()).add(r["key"])
+        met = {frozenset(b) for b in held.values()}
+        assert met == {frozenset((keys[i], keys[i + 1])) for i in range(0, len(texts), 2)}
