@@ -252,10 +252,21 @@ class Matcher:
         self.held = np.searchsorted(np.array([c for c, _ in pairs], np.int64), np.arange(len(self.ids) + 1))
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.needed = np.ceil(MIN_LCS * self.sizes - 1e-9) - np.array([sum(not self.weighted[c] for c in x) for x in self.items])
+        # All items' distinct words with their numbers of times, item by item.
+        self.words = np.array([c for m in self.masks for c in m], np.int64)
+        self.times = np.array([x.bit_count() for m in self.masks for x in m.values()], np.int64)
+        self.item_of = np.repeat(np.arange(len(self.masks)), [len(m) for m in self.masks])
         q = np.concatenate(parts)
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]
         self.owner = np.array(owner, np.int64)
 
+    def able(self, codes: np.ndarray) -> np.ndarray:
+        """Which items have words enough in the whole text for their least subsequence; no other can pass `check`."""
+        held = np.zeros(len(self.ids) + 1, bool)  # the last is that of the code -1
+        held[codes] = True
+        shared = np.bincount(self.item_of, self.times * held[self.words], len(self.items))
+        return (shared >= MIN_LCS * self.sizes - 1e-9) & (self.sizes >= SHORT)
+
     def windows(self, codes: np.ndarray, at: np.ndarray):
         """Start and latent vector, normed, of the passages that hold a weighted word (these stand `at`), some at a time."""
         starts = np.arange(0, max(1, len(codes) - PASSAGE + STRIDE), STRIDE)
@@ -305,18 +316,22 @@ class Matcher:
         at = np.flatnonzero(codes >= 0)
         at = at[self.weighted[codes[at]]]
         listed = None
-        for starts, v in self.windows(codes, at) if len(self.owner) and len(at) else ():
-            cosine = v @ self.queries.T
-            rows, qs = np.nonzero(cosine >= MIN_COSINE)
+        # The search is spared where no item's check could pass, whatever the cosine: this loses no match.
+        wanted = np.flatnonzero(self.able(codes)[self.owner]) if len(self.owner) and len(at) else []
+        queries = self.queries[wanted].T if len(wanted) else None
+        for starts, v in self.windows(codes, at) if len(wanted) else ():
+            cosine = v @ queries
+            rows, columns = np.nonzero(cosine >= MIN_COSINE)
+            qs = wanted[columns]
             good = self.possible(codes, at, self.owner[qs], starts[rows])
-            for r, q in zip(rows[good].tolist(), qs[good].tolist(), strict=True):
+            for r, column, q in zip(rows[good].tolist(), columns[good].tolist(), qs[good].tolist(), strict=True):
                 k = int(self.owner[q])
                 if k in best and best[k][3] == 1.0:
                     continue
                 listed = codes.tolist() if listed is None else listed
                 found = self.check(k, int(starts[r]), listed)
                 if found and (k not in best or best[k][3] < found[0]):
-                    best[k] = k, int(starts[r]), float(cosine[r, q]), *found
+                    best[k] = k, int(starts[r]), float(cosine[r, column]), *found
         return list(best.values())
 
 

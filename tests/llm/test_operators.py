@@ -233,6 +233,22 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, at_once):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == set(texts) - {i for i, _ in want}
 
 
+def test_decontamination_searches_where_a_check_can_pass(monkeypatch):
+    r = random.Random(4)
+    items = [" ".join(r.choice("abcdefghijklmnop") * 2 for _ in range(n)) for n in (3, 6, 20, 40)] + ["\u00a0"]
+    buckets = sorted({decontam.bucket_of(w) for t in items for w in t.split()})
+    matcher = decontam.Matcher(list(range(5)), items, decontam.Vocabulary(buckets), np.ones(len(buckets)), np.eye(len(buckets)))
+    texts = [" ".join(r.choice("abcdefghijklmnopqrstuvw"[: r.randrange(2, 23)]) * 2 for _ in range(r.randrange(0, 150))) for _ in range(200)] + [*items, None, "zz zz zz"]
+    searched, windows = [], decontam.Matcher.windows
+    monkeypatch.setattr(decontam.Matcher, "windows", lambda self, codes, at: searched.append(1) or windows(self, codes, at))
+    found = [sorted((k, s, a) for k, s, _, *a in matcher.find(t)) for t in texts]
+    few = len(searched)
+    monkeypatch.setattr(decontam.Matcher, "able", lambda self, codes: self.sizes >= decontam.SHORT)
+    assert found == [sorted((k, s, a) for k, s, _, *a in matcher.find(t)) for t in texts]
+    assert sum(map(bool, found)) > 20 and few < len(searched) - few < 2 * len(texts)
+    assert [k for k, *_ in found[202]] == [2]
+
+
 def test_decontamination_awkward_rows(spark, awkward):
     benchmark = spark.createDataFrame([(1, words(60, 1)), (2, "nothing of the kind at all here")], "item_id long, text string")
     found = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated_passages(awkward, benchmark).collect()]
