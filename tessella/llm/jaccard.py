@@ -9,10 +9,12 @@ zero. Homes are compared with all fingerprints that reach their anchor, on FILTE
 bits, directly or over each other, is a bucket. `layout` takes as many parts as keep the chance that a pair at 0.8
 reaches no common anchor below MISSED. Anchors with many homes are cut into a grid of cells.
 
-Every link is checked on the whole shingle sets, in two steps. First each member of a bucket is compared with the
-bucket's leader; LEADERS orders take turns over the buckets. Then the buckets whose members are still apart are compared
-in full, in cells: the members of a bucket's largest component need no comparison with each other, so cells hold slices
-of them against slices of the others. A cell returns a spanning forest of its links, never all pairs.
+Two near texts meet at many anchors, so buckets that share a text are joined into one group, in which each text stands
+once. Every link is checked on the whole shingle sets. In a group of more than MEMBERS_PER_CELL each member of a bucket
+is first compared with the bucket's leader, its lowest key. Then groups whose members are still apart are compared in
+full, in cells: the members of a group's largest component need no comparison with each other, so cells hold slices of
+them against slices of the others. A cell returns a spanning forest of its links, never all pairs. A group of more than
+MEMBERS_PER_CELL that would be more work than its buckets, such as a long chain, is compared by its buckets.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ WEAK, MISSED = 2, 1e-5
 FILTER_BITS, NEAR = 192, 60
 HOMES_PER_ANCHOR, HOMES_PER_CELL = 512, 1024
 ROWS_PER_GROUP = 8192
-LEADERS = 4
 MEMBERS_PER_CELL = 1024
+PAIRS_PER_MEMBER = 100
+GRAMS_PER_INDEX = 2_000_000
 
 #: Bits of a part -> share of pairs at 0.8 that meet in one part, by simulation: the least over sets of 5 to 400 shingles.
 MEETING = {12: 0.43, 14: 0.31, 16: 0.22, 18: 0.15}
@@ -96,19 +99,32 @@ def forest(keys: np.ndarray, trees: np.ndarray, sets: list[np.ndarray], least: f
     keys, sets = keys[order], [sets[k] for k in order]
     root = np.unique(trees[order], return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
-    a, b = [], []
-    for i in range(1, len(sets)):
-        lo = int(np.searchsorted(sizes, least * sizes[i] - 1e-9))  # smaller sets can't reach `least`
-        step = 16
-        while lo < i:
-            hi = min(i, lo + step)
-            apart = lo + np.flatnonzero(root[lo:hi] != root[i])
-            if len(apart):
-                for j in apart[overlaps(sets[i], [sets[k] for k in apart]) >= least]:
-                    if root[j] != root[i]:
-                        a.append(int(keys[i])), b.append(int(keys[j]))
-                        root[root == root[j]] = root[i]
-            lo, step = hi, min(step * 2, 256)
+    lows = np.searchsorted(sizes, least * sizes - 1e-9)  # smaller sets can't reach `least`
+    ends = np.cumsum(sizes)
+    a, b, start = [], [], 0
+    while start < len(sets):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + GRAMS_PER_INDEX, "right")))
+        flat = np.concatenate(sets[start:stop])
+        by_gram = np.argsort(flat, kind="stable")
+        holders = np.repeat(np.arange(stop - start), sizes[start:stop])[by_gram]
+        grams, first = np.unique(flat[by_gram], return_index=True)
+        first = np.r_[first, len(flat)]
+        for i in range(start + 1, len(sets)):
+            if lows[i] >= stop:
+                break
+            lo, hi = max(start, lows[i]), min(i, stop)
+            if (root[lo:hi] == root[i]).all():
+                continue
+            at = np.minimum(np.searchsorted(grams, sets[i]), len(grams) - 1)
+            at = at[grams[at] == sets[i]]
+            many = first[at + 1] - first[at]
+            held = holders[np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            common = np.bincount(held, minlength=stop - start)[lo - start : hi - start]
+            for j in lo + np.flatnonzero(common / (sizes[i] + sizes[lo:hi] - common) >= least):
+                if root[j] != root[i]:
+                    a.append(int(keys[i])), b.append(int(keys[j]))
+                    root[root == root[j]] = root[i]
+        start = stop
     return a, b
 
 
@@ -154,7 +170,7 @@ def near_groups(keys: np.ndarray, fps: np.ndarray, role: np.ndarray) -> tuple[np
 
 
 def link_anchors(prints: DataFrame, bits: int, rows: int) -> DataFrame:
-    """Members (`bucket`, `key`) of all groups of near fingerprints at all anchors; `prints` has one row per key."""
+    """Members (`bucket`, `key`) of all buckets of near fingerprints at all anchors, with the bucket's lowest key as `leader`; `prints` has one row per key."""
     flip = lambda bit, shift: F.when(F.col("turn").bitwiseAND(bit) > 0, F.expr(f"shiftleft(1, cast(shiftright(at, {shift}) & 31 as int))")).otherwise(0)
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(FILTER_BITS // 64)]
     held = prints.select("key", *words, F.posexplode("parts").alias("part", "at"))
@@ -192,7 +208,7 @@ def link_anchors(prints: DataFrame, bits: int, rows: int) -> DataFrame:
         return pa.table(dict(zip(("anchor", "low", "key", "cell"), map(pa.array, (*columns, cell)), strict=True)))
 
     near = cells.select("anchor", "key", *names, "to.cell", "to.role").groupBy(place.alias("place"), "cell").applyInArrow(compare, "anchor long, low long, key long, cell int")
-    return near.select(F.xxhash64("anchor", "cell", "low").alias("bucket"), "key")
+    return near.select(F.xxhash64("anchor", "cell", "low").alias("bucket"), "key", F.col("low").alias("leader"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -206,26 +222,40 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, "key long, grams binary")
 
 
-def link_leaders(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (`a`, `b`) between leaders and members of their buckets."""
+def link_leaders(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links among `pairs` (`a`, `b`) of members and leaders."""
 
     @F.pandas_udf("double")
     def similarity(one: pd.Series, other: pd.Series) -> pd.Series:
         return pd.Series([overlaps(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)])[0] for x, y in zip(one, other, strict=True)], dtype="float64")
 
-    pairs = members.where("key <> leader").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
     one, other = sets.select(F.col("key").alias("a"), F.col("grams").alias("one")), sets.select(F.col("key").alias("b"), F.col("grams").alias("other"))
     return pairs.join(one, "a").join(other, "b").where(similarity("one", "other") >= least).select("a", "b")
 
 
+def comparisons(near: DataFrame, groups: DataFrame, large: DataFrame) -> DataFrame:
+    """Members (`bucket`, `key`) of what is to be compared in full: `groups`, but buckets for `large` groups that are more work than their buckets.
+
+    A group with a row per member takes as much work as its pairs; buckets hold a member many times, and to bring a text to a bucket
+    takes as long as PAIRS_PER_MEMBER comparisons.
+    """
+    of_large = groups.join(F.broadcast(large), "bucket").select("key", F.col("bucket").alias("group"), "n")
+    buckets = near.groupBy("bucket").agg(F.count("*").alias("held"), F.first("leader").alias("key"))
+    work = F.sum(F.col("held").cast("double") * (F.col("held") + PAIRS_PER_MEMBER))
+    wide = buckets.join(of_large, "key").groupBy("group", "n").agg(work.alias("work")).where(F.col("n").cast("double") * F.col("n") > F.col("work"))
+    wide = materialize(wide.select("group"), "shingle-wide")  # as few rows as `large`
+    parted = near.join(of_large.join(F.broadcast(wide), "group").select("key"), "key").select("bucket", "key")
+    return groups.join(F.broadcast(wide.withColumnRenamed("group", "bucket")), "bucket", "left_anti").select("bucket", "key").unionByName(parted)
+
+
 def link_cells(members: DataFrame, sets: DataFrame, trees: DataFrame, least: float) -> DataFrame:
     """Links (`a`, `b`) between members of a bucket that stand in different trees."""
     placed = members.join(trees.withColumnRenamed("node", "key").withColumnRenamed("component", "tree"), "key", "left").withColumn("tree", F.coalesce("tree", "key"))
     sized = placed.groupBy("bucket", "tree").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    # A bucket of two has been compared in full; buckets with the same members are compared once.
+    # Buckets with the same members are compared once.
     apart = sized.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "tree")).alias("major"), F.count("*").alias("trees"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
-    ).where("trees > 1 and n > 2")
+    ).where("trees > 1")
     apart = apart.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "major")).alias("o"))
     cuts = lambda n: F.ceil(n / MEMBERS_PER_CELL).cast("int")
     apart = apart.select("o.bucket", F.col("o.major.tree").alias("major"), cuts(F.col("o.major.n")).alias("majors"), cuts(F.col("n") - F.col("o.major.n")).alias("minors"))
@@ -254,15 +284,16 @@ def _placed(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     distinct = prints.groupBy("key").agg(own.alias("first"), F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("parts").alias("parts"))
     lows = materialize(distinct, "shingle-keys")
     near = materialize(link_anchors(lows.select("key", "fp", "parts"), bits, lows.count()), "shingle-near")
-    turn = F.xxhash64("key", F.pmod("bucket", F.lit(LEADERS)))
-    shared = near.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.min(F.struct(turn, "key")).alias("o"))
-    shared = shared.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "o")).alias("b"))  # pairs meet at many anchors
-    members = materialize(near.join(shared.select("b.bucket", F.col("b.o.key").alias("leader")), "bucket"), "shingle-members")
-    wanted = members.select("key").distinct().join(lows.select("key", "rid"), "key")
+    stars = materialize(near.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "shingle-stars")
+    groups = materialize(connected_components(stars, "shingle-groups").select(F.col("component").alias("bucket"), F.col("node").alias("key")), "shingle-members")
+    # At most one row per MEMBERS_PER_CELL texts.
+    large = materialize(groups.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS_PER_CELL), "shingle-large")
+    wanted = groups.select("key").join(lows.select("key", "rid"), "key")
     sets = materialize(_sets(narrow.select("rid", "text").join(wanted, "rid").dropDuplicates(["key"]).select("key", "text")), "shingle-sets")
-    first = materialize(link_leaders(members, sets, least), "leader-links")
+    of_large = groups.join(F.broadcast(large), "bucket").select(F.col("key").alias("a"))
+    first = link_leaders(stars.join(of_large, "a"), sets, least)
     trees = connected_components(first, "leader-trees")
-    second = link_cells(members, sets, trees, least)
+    second = link_cells(comparisons(near, groups, large), sets, trees, least)
     parts = connected_components(trees.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), "shingle-links")
     placed = lows.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     named = placed.join(placed.groupBy("component").agg(F.min("first").alias("low")), "component").select("key", "component", F.col("low").alias("first"))

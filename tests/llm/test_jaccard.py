@@ -124,3 +124,47 @@ def test_simhash_anchors_bring_all_near_pairs_together(spark, monkeypatch):
             held.setdefault(r["bucket"], set()).add(r["key"])
         met = {frozenset(b) for b in held.values()}
         assert met == {frozenset((keys[i], keys[i + 1])) for i in range(0, len(texts), 2)}
+
+
+def edited(count, seed):
+    """Copies of one text of 120 words, each with one to three words replaced: most pairs of copies are near, few are links."""
+    r, out = random.Random(seed), []
+    for _ in range(count):
+        copy = [f"w{k}" for k in range(120)]
+        for k in r.sample(range(120), r.randrange(1, 4)):
+            copy[k] = f"x{r.randrange(10**6)}"
+        out.append(copy)
+    return out
+
+
+def test_each_text_of_a_large_group_is_compared_in_one_place(spark, monkeypatch):
+    texts, compared = edited(80, 4), []
+    link_cells = jaccard.link_cells
+
+    def counted(members, *rest):
+        compared.append((members.count(), members.select("key").distinct().count()))
+        return link_cells(members, *rest)
+
+    monkeypatch.setattr(jaccard, "link_cells", counted)
+    want = components(texts)
+    assert 1 < len(set(want.values())) < 80
+    for cell, weight in ((1024, 100), (7, 100), (7, -(10**9))):  # one cell, a grid of cells, the buckets in place of the group
+        monkeypatch.setattr(jaccard, "MEMBERS_PER_CELL", cell)
+        monkeypatch.setattr(jaccard, "PAIRS_PER_MEMBER", weight)
+        assert {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(frame(spark, texts)).collect()} == want
+    assert compared[0] == compared[1] == (80, 80)
+    assert compared[2][0] > 160
+
+
+def test_forest_in_parts_links_what_one_index_links(monkeypatch):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.choice(60, r.integers(20, 60))).astype(np.uint64) for _ in range(90)]
+    keys = np.arange(90)
+    whole = jaccard.forest(keys, keys // 2, sets, 0.55)
+    trees = len(np.unique(keys // 2))
+    for limit in (1, 100, 700):
+        monkeypatch.setattr(jaccard, "GRAMS_PER_INDEX", limit)
+        a, b = jaccard.forest(keys, keys // 2, sets, 0.55)
+        share = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+        assert all(share(i, j) >= 0.55 for i, j in zip(a, b, strict=True))
+        assert len(a) == len(whole[0]) < trees  # forests over the same components have as many links
