@@ -6,12 +6,13 @@ covering. At 0.8 about 15 of 100 bits differ, so the radius that would cover the
 most anchors. Instead the fingerprint has many short parts, each with a code of its own: a part's bits are its home
 anchor, and it reaches all anchors that agree with it outside its WEAK weakest bits, those whose sums are nearest to
 zero. Homes are compared with all fingerprints that reach their anchor, on FILTER_BITS bits; what lies within NEAR
-bits, directly or over each other, is a bucket. `layout` takes as many parts as keep the chance that a pair at 0.8
+bits, directly or over each other, at anchors that one task compares is a bucket. `layout` takes as many parts as keep the chance that a pair at 0.8
 reaches no common anchor below MISSED. Anchors with many homes are cut into a grid of cells.
 
 Two near texts meet at many anchors, so buckets that share a text are joined into one group, in which each text stands
-once. Every link is checked on the whole shingle sets. In a group of more than MEMBERS_PER_CELL each member of a bucket
-is first compared with the bucket's leader, its lowest key. Then groups whose members are still apart are compared in
+once; a text's buckets are tied to each other before that, so joins get few rows per text however many texts it meets.
+Every link is checked on the whole shingle sets. In a group of more than MEMBERS_PER_CELL each member is first compared
+with the lowest LEADERS of its buckets' leaders, their lowest keys. Then groups whose members are still apart are compared in
 full, in cells: the members of a group's largest component need no comparison with each other, so cells hold slices of
 them against slices of the others. A cell returns a spanning forest of its links, never all pairs. A group of more than
 MEMBERS_PER_CELL that would be more work than its buckets, such as a long chain, is compared by its buckets.
@@ -38,6 +39,7 @@ WEAK, MISSED = 2, 1e-5
 FILTER_BITS, NEAR = 192, 60
 HOMES_PER_ANCHOR, HOMES_PER_CELL = 512, 1024
 ROWS_PER_GROUP = 8192
+LEADERS = 2
 MEMBERS_PER_CELL = 1024
 PAIRS_PER_MEMBER = 100
 GRAMS_PER_INDEX = 2_000_000
@@ -169,8 +171,22 @@ def near_groups(keys: np.ndarray, fps: np.ndarray, role: np.ndarray) -> tuple[np
     return names[root[held]], names[held]
 
 
+def tied(low: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members (lowest key of the bucket, key) of the buckets that the pairs of `low` and `key` connect; a key stands in one bucket."""
+    names, at = np.unique(np.r_[low, key], return_inverse=True)
+    a, b = at[: len(low)], at[len(low) :]
+    root = np.arange(len(names))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)  # roots, too, so that a step joins whole buckets
+        np.minimum.at(root, root[b], least)
+        while (root != root[root]).any():
+            root = root[root]
+    return names[root], names
+
+
 def link_anchors(prints: DataFrame, bits: int, rows: int) -> DataFrame:
-    """Members (`bucket`, `key`) of all buckets of near fingerprints at all anchors, with the bucket's lowest key as `leader`; `prints` has one row per key."""
+    """Members (`bucket`, `key`) of all buckets of near fingerprints, one for all anchors of a `place` that share keys, with the bucket's lowest key as `leader`; `prints` has one row per key."""
     flip = lambda bit, shift: F.when(F.col("turn").bitwiseAND(bit) > 0, F.expr(f"shiftleft(1, cast(shiftright(at, {shift}) & 31 as int))")).otherwise(0)
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(FILTER_BITS // 64)]
     held = prints.select("key", *words, F.posexplode("parts").alias("part", "at"))
@@ -201,14 +217,14 @@ def link_anchors(prints: DataFrame, bits: int, rows: int) -> DataFrame:
         anchor, key, role = anchor[order], key[order], role[order]
         fps = np.stack([group.column(c).to_numpy().view(np.uint64) for c in names], 1)[order]
         starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        found = [(anchor[lo], *near_groups(key[lo:hi], fps[lo:hi], role[lo:hi])) for lo, hi in zip(starts, np.r_[starts[1:], len(anchor)], strict=True) if hi - lo > 1]
-        found = [(np.full(len(k), a), low, k) for a, low, k in found if len(k)]
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-        cell = np.full(len(columns[0]), group.column("cell")[0].as_py(), np.int32)
-        return pa.table(dict(zip(("anchor", "low", "key", "cell"), map(pa.array, (*columns, cell)), strict=True)))
+        found = [near_groups(key[lo:hi], fps[lo:hi], role[lo:hi]) for lo, hi in zip(starts, np.r_[starts[1:], len(anchor)], strict=True) if hi - lo > 1]
+        low, key = tied(*map(np.concatenate, zip(*found, strict=True))) if found else [np.zeros(0, np.int64)] * 2
+        at = {c: np.full(len(key), group.column(c)[0].as_py()) for c in ("place", "cell")}
+        return pa.table({"place": pa.array(at["place"], pa.int64()), "low": pa.array(low), "key": pa.array(key), "cell": pa.array(at["cell"], pa.int32())})
 
-    near = cells.select("anchor", "key", *names, "to.cell", "to.role").groupBy(place.alias("place"), "cell").applyInArrow(compare, "anchor long, low long, key long, cell int")
-    return near.select(F.xxhash64("anchor", "cell", "low").alias("bucket"), "key", F.col("low").alias("leader"))
+    cells = cells.select("anchor", "key", *names, "to.cell", "to.role", place.alias("place"))
+    near = cells.groupBy("place", "cell").applyInArrow(compare, "place long, low long, key long, cell int")
+    return near.select(F.xxhash64("place", "cell", "low").alias("bucket"), "key", F.col("low").alias("leader"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -222,8 +238,19 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, "key long, grams binary")
 
 
+def spokes(stars: DataFrame) -> DataFrame:
+    """Edges (`a`, `b`) that connect what `key` and its `leaders`, in ascending order, connect: all go to the key's lowest leader.
+
+    Keys of a large bucket have the same leaders, so distinct edges are about one per key; a join of keys and leaders would have a row for
+    each meeting.
+    """
+    to_lowest = F.transform(F.slice("leaders", 2, F.greatest(F.size("leaders"), F.lit(1))), lambda x: F.struct(x.alias("a"), F.col("leaders")[0].alias("b")))
+    own = F.array(F.struct(F.col("key").alias("a"), F.col("leaders")[0].alias("b")))
+    return stars.select(F.explode(F.concat(own, to_lowest)).alias("e")).select("e.a", "e.b").distinct()
+
+
 def link_leaders(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links among `pairs` (`a`, `b`) of members and leaders."""
+    """The links among `pairs` (`a`, `b`) of members and leaders, at most LEADERS pairs per member."""
 
     @F.pandas_udf("double")
     def similarity(one: pd.Series, other: pd.Series) -> pd.Series:
@@ -284,14 +311,14 @@ def _placed(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     distinct = prints.groupBy("key").agg(own.alias("first"), F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("parts").alias("parts"))
     lows = materialize(distinct, "shingle-keys")
     near = materialize(link_anchors(lows.select("key", "fp", "parts"), bits, lows.count()), "shingle-near")
-    stars = materialize(near.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "shingle-stars")
-    groups = materialize(connected_components(stars, "shingle-groups").select(F.col("component").alias("bucket"), F.col("node").alias("key")), "shingle-members")
+    stars = materialize(near.where("key <> leader").groupBy("key").agg(F.array_sort(F.collect_set("leader")).alias("leaders")), "shingle-stars")
+    groups = materialize(connected_components(spokes(stars), "shingle-groups").select(F.col("component").alias("bucket"), F.col("node").alias("key")), "shingle-members")
     # At most one row per MEMBERS_PER_CELL texts.
     large = materialize(groups.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS_PER_CELL), "shingle-large")
     wanted = groups.select("key").join(lows.select("key", "rid"), "key")
     sets = materialize(_sets(narrow.select("rid", "text").join(wanted, "rid").dropDuplicates(["key"]).select("key", "text")), "shingle-sets")
-    of_large = groups.join(F.broadcast(large), "bucket").select(F.col("key").alias("a"))
-    first = link_leaders(stars.join(of_large, "a"), sets, least)
+    of_large = stars.join(groups.join(F.broadcast(large), "bucket").select("key"), "key")
+    first = link_leaders(of_large.select(F.col("key").alias("a"), F.explode(F.slice("leaders", 1, LEADERS)).alias("b")), sets, least)
     trees = connected_components(first, "leader-trees")
     second = link_cells(comparisons(near, groups, large), sets, trees, least)
     parts = connected_components(trees.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), "shingle-links")

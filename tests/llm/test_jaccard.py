@@ -168,3 +168,59 @@ def test_forest_in_parts_links_what_one_index_links(monkeypatch):
         share = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
         assert all(share(i, j) >= 0.55 for i, j in zip(a, b, strict=True))
         assert len(a) == len(whole[0]) < trees  # forests over the same components have as many links
+
+
+def star_rows(spark, monkeypatch, count):
+    """Rows of near buckets, edges for the components of the groups, and pairs of members and leaders, of `count` edited copies in a corpus of other texts."""
+    r, seen = random.Random(8), {}
+    texts = edited(count, 6) + [[f"z{r.randrange(10**6)}" for _ in range(30)] for _ in range(40)]
+    near, joined, leaders = jaccard.link_anchors, jaccard.connected_components, jaccard.link_leaders
+
+    def counted_near(*args):
+        found = near(*args)
+        seen["near"] = found.count()
+        return found
+
+    def counted_edges(edges, name):
+        seen[name] = edges.count()
+        return joined(edges, name)
+
+    def counted_pairs(pairs, *rest):
+        seen["leaders"] = pairs.count()
+        return leaders(pairs, *rest)
+
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "link_anchors", counted_near)
+        m.setattr(jaccard, "connected_components", counted_edges)
+        m.setattr(jaccard, "link_leaders", counted_pairs)
+        m.setattr(jaccard, "MEMBERS_PER_CELL", 16)
+        got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert got == components(texts)
+    return seen["near"], seen["shingle-groups"], seen["leaders"]
+
+
+def test_joins_get_few_rows_per_text_of_a_near_group(spark, monkeypatch):
+    for count in (40, 120):
+        near, edges, pairs = star_rows(spark, monkeypatch, count)
+        parts = jaccard.layout(count + 40)[1]
+        assert count <= near <= parts * count  # the task that compares a part's anchors ties them
+        assert count - 1 <= edges <= 2 * count and pairs <= jaccard.LEADERS * count
+
+
+def test_spokes_connect_what_leaders_connect(spark):
+    r = random.Random(2)
+    for keys, links in ((60, 30), (60, 70), (200, 400)):
+        pairs = [sorted(r.sample(range(keys), 2)) for _ in range(links)]
+        root = list(range(keys))
+        for low, key in pairs:
+            a, b = sorted((root[low], root[key]))
+            root = [a if x == b else x for x in root]
+        want = {k: root[k] for pair in pairs for k in pair}
+        leaders = {}
+        for low, key in pairs:
+            leaders.setdefault(key, set()).add(low)
+        stars = spark.createDataFrame([(k, sorted(v)) for k, v in leaders.items()], "key long, leaders array<long>")
+        got = {x["node"]: x["component"] for x in jaccard.connected_components(jaccard.spokes(stars)).collect()}
+        assert got == want
+        low, key = jaccard.tied(*np.array(pairs).T)
+        assert dict(zip(key.tolist(), low.tolist(), strict=True)) == want
