@@ -113,3 +113,17 @@ def test_descent_runs_in_slices(spark, monkeypatch):
         at, pix, _ = polygons.covered({c: v[s] for c, v in w.items()}, 7)
         got |= {(int(a + s.start), int(p)) for a, p in zip(at, pix, strict=True)}
     assert got == whole
+
+
+def test_coverage_of_wide_frames_keeps_few_pairs_in_memory():
+    import tracemalloc
+
+    r, n, one = np.random.default_rng(2), 4000, np.ones(4000)
+    w = {"width": 16 * one, "height": 16 * one, "crval1": r.uniform(0, 360, n), "crval2": r.uniform(-80, 80, n), "crpix1": 8.5 * one, "crpix2": 8.5 * one, "cd1_1": -0.8 * one, "cd1_2": 0 * one, "cd2_1": 0 * one, "cd2_2": 0.8 * one}
+    tracemalloc.start()
+    at, pix, boxes = polygons.covered(w, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(boxes) == len(at)
+    cells = polygons.covered(w, 3, boxes=False)
+    assert set(zip(at.tolist(), pix.tolist(), strict=True)) == set(zip(*[c.tolist() for c in cells[:2]], strict=True)) and len(cells[0]) == len(at)
