@@ -296,3 +296,22 @@ def test_source_keys_resolve_in_four_steps(spark):
     assert got["/far/3.fits"] == ("/far/3.fits", "exact") and got["a/1.fits"] == ("/data/a/1.fits", "exact")
     assert got["c/2.fits"] == ("/data/deep/c/2.fits", "suffix") and got["x/2.fits"] == ("/data/deep/b/2.fits", "basename")
     assert got["x/9.fits"] == (None, None) and got[None] == (None, None) and got["/1.fits"][0] == "/data/a/1.fits"
+
+
+def test_apertures_of_positions_equal_those_of_pixel_rows(spark):
+    """Edges, blanks and a frame without positions; no pixel becomes a row."""
+    from tessella.operators import measure
+    from tessella.plans import transients
+
+    f = frames(spark, lambda i, k: float("nan") if (i + k) % 7 == 0 else i * 10 + k % 13, n=4, size=20, step=0.02)
+    r = random.Random(3)
+    spots = [(i, s, r.uniform(0, 19.99), r.uniform(0, 19.99)) for i in (0, 1, 3, 9) for s in range(40)] + [(1, 99, 0.0, 0.0), (1, 100, 19.5, 19.5)]
+    p = spark.createDataFrame(spots, "image_id long, star_id long, x double, y double")
+    got = measure.apertures_at(p, f, 1.5, 2.0, 4.0)
+    want = measure.aperture(transients.around(p, f, 5), ("image_id", "star_id"), F.col("x0"), F.col("y0"), 1.5, 2.0, 4.0)
+    key = lambda rows: {(v["image_id"], v["star_id"]): [v[c] for c in ("n_pixels", "sky", "flux", "flux_err", "snr")] for v in rows.collect()}
+    got, want = key(got), key(want)
+    assert set(got) == set(want) and len(got) == 122 and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    stars = spark.createDataFrame([(1, 40.0, 10.0, 15.0)], "star_id long, ra double, dec double, mag double")
+    out = transients.forced_photometry(stars.select(F.col("star_id").alias("target_id"), "ra", "dec"), stars, f.withColumn("date_obs", F.current_timestamp()), 5)
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
