@@ -62,3 +62,19 @@ def test_surface_equals_plain_loops(spark):
         else:
             assert (g["background"], g["rms"]) == pytest.approx(numbers)
     assert {g["image_id"] for g in got if g["flat"]} == {3, 4}
+
+
+def test_large_groups_are_clipped_as_small_ones_are(spark, monkeypatch):
+    """Repeated values, one value only, even and odd counts, and a sketch too coarse to be near the median."""
+    r = random.Random(5)
+    rows = [(g, v) for g, values in enumerate((
+        [r.gauss(0, 1) for _ in range(4001)] + [50.0] * 30, [float(r.randrange(5)) for _ in range(3000)], [7.0] * 900, [1.0] * 500 + [2.0] * 500, [r.random() ** 9 for _ in range(2000)], [3.0, 4.0, 90.0],
+    )) for v in values]
+    values = spark.createDataFrame(rows, "g int, v double")
+    want = {x["g"]: tuple(x)[1:] for x in measure.clip_sigma(values, ("g",), "v").collect()}
+    monkeypatch.setattr(measure, "LARGE", 500)
+    for accuracy in (10_000, 5):
+        monkeypatch.setattr(measure, "ACCURACY", accuracy)
+        out = measure.clip_sigma(values, ("g",), "v")
+        got = {x["g"]: tuple(x)[1:] for x in out.collect()}
+        assert set(got) == set(want) and all(got[g] == pytest.approx(want[g], abs=1e-9) for g in want)
