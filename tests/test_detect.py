@@ -59,3 +59,27 @@ def test_planted_shifts_are_found(spark):
     for k in (3, 4, 5):
         assert (found[k]["dx"], found[k]["dy"], found[k]["votes"], found[k]["refined"]) == (0.0, 0.0, 0, False)
     assert (found[6]["dx"], found[6]["dy"]) == (8.0, -4.0) and not found[6]["refined"]  # two matches leave the vote: 9 and -5 lie in the bins of 8 and -4
+
+
+def test_shift_votes_are_those_of_all_pairs(spark, monkeypatch):
+    """Cells cut into pieces, and bins too many for one array; no pair becomes a row before the winner is known."""
+    from collections import Counter
+    from statistics import median
+
+    from tessella.operators import measure
+
+    r = random.Random(8)
+    p = [(f, r.uniform(-50, 300), r.uniform(0, 200)) for f in (1, 2) for _ in range(150)]
+    q = [(f, x + 5.3 + r.uniform(-0.4, 0.4), y - 9.1) for f, x, y in p if r.random() < 0.6] + [(3, 1.0, 1.0)]
+    d, e = spark.createDataFrame(q, "f int, x double, y double"), spark.createDataFrame(p, "f int, x double, y double")
+    want = {}
+    for f in (1, 2):
+        offsets = [(a - x, b - y) for g, a, b in q if g == f for h, x, y in p if h == f and abs(a - x) < 40 and abs(b - y) < 40]
+        (bx, by), votes = min(Counter((int(a // 4), int(b // 4)) for a, b in offsets).items(), key=lambda v: (-v[1], v[0]))
+        near = [(a, b) for a, b in offsets if abs(a - (bx + 0.5) * 4) <= 4 and abs(b - (by + 0.5) * 4) <= 4]
+        want[f] = (votes, median(a for a, _ in near), median(b for _, b in near), len(near))
+    for piece, bins, offsets in ((4096, 1 << 22, 1 << 18), (7, 10, 128)):
+        for name, value in (("PIECE", piece), ("BINS", bins), ("OFFSETS", offsets)):
+            monkeypatch.setattr(measure, name, value)
+        got = {x["f"]: (x["votes"], x["dx"], x["dy"], x["n_near"]) for x in measure.shift_vote(d, e, ("f",), 40.0).collect()}
+        assert set(got) == {1, 2} and all(got[f] == pytest.approx(want[f], abs=1e-9) for f in want)
