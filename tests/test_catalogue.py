@@ -103,3 +103,11 @@ def test_reference_stars_of_a_band(spark):
     mixed = stars.withColumn("band", F.when(F.col("id") == 1, "g").when(F.col("id") == 3, "r"))
     assert {r["id"]: r["mag"] for r in catalogue.reference_stars(mixed, F.col("band")).collect()} == {1: 15.0, 3: 20.0}
     assert set(catalogue.reference_stars(stars, "r", (14.0, 16.5)).select("id").toPandas()["id"]) == {1, 2}
+
+
+def test_first_round_is_as_fine_as_the_positions_are_dense(spark):
+    from tessella.operators import measure
+
+    r = spark.range(40_000).select((F.col("id") % 200).alias("_rx"), F.floor(F.col("id") / 200).alias("_ry"), F.col("id").alias("right_id"))
+    radii = measure.rounds(r, [F.floor(F.col("_rx") / 200), F.floor(F.col("_ry") / 200)], 40_000.0, 200.0)
+    assert radii[-1] == 200.0 and 0.5 < radii[0] < 4 and all(b == 4 * a for a, b in zip(radii, radii[1:], strict=False))
