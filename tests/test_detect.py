@@ -83,3 +83,13 @@ def test_shift_votes_are_those_of_all_pairs(spark, monkeypatch):
             monkeypatch.setattr(measure, name, value)
         got = {x["f"]: (x["votes"], x["dx"], x["dy"], x["n_near"]) for x in measure.shift_vote(d, e, ("f",), 40.0).collect()}
         assert set(got) == {1, 2} and all(got[f] == pytest.approx(want[f], abs=1e-9) for f in want)
+
+
+def test_the_last_of_equally_near_positions(spark):
+    from tessella.operators import measure
+
+    left = spark.createDataFrame([(1, 10, 0.0, 0.0), (1, 11, 9.0, 9.0)], "f int, id long, x double, y double")
+    right = spark.createDataFrame([(1, 20, 3.0, 4.0), (1, 21, -4.0, 3.0), (1, 22, 0.0, 5.0), (1, 23, 0.0, 6.0), (2, 24, 0.0, 0.0)], "f int, id long, x double, y double")
+    for last, want in ((False, 20), (True, 22)):
+        got = {r["left_id"]: r["right_id"] for r in measure.nearest_pixel(left, right, ("f",), 5.5, last).collect()}
+        assert got[10] == want
