@@ -105,6 +105,25 @@ def test_reference_stars_of_a_band(spark):
     assert set(catalogue.reference_stars(stars, "r", (14.0, 16.5)).select("id").toPandas()["id"]) == {1, 2}
 
 
+def test_nearest_on_the_sky_in_rounds(spark):
+    """A dense field, lone stars, the poles and the seam against all pairs."""
+    g = np.random.default_rng(4)
+    dense = [(40 + a, 10 + b) for a, b in g.uniform(-0.5, 0.5, (600, 2))]
+    sky = [(a, d) for a, d in zip(g.uniform(0, 360, 300), np.degrees(np.arcsin(g.uniform(-1, 1, 300))), strict=True)]
+    polar = [(a, s * 89.5) for a in range(0, 360, 45) for s in (-1, 1)] + [(0.01, 0.0), (359.99, 0.0)]
+    rows = [(i, float(a), float(d)) for i, (a, d) in enumerate(dense + sky + polar)]
+    g.shuffle(rows)
+    s = spark.createDataFrame([(int(i), float(a), float(d)) for i, a, d in rows], "id long, ra double, dec double")
+    for radius in (2.0, 30.0):
+        got = {r["left_id"]: r["separation"] for r in cov.nearest(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 3, radius).collect()}
+        ids, a, d = np.array([int(r[0]) for r in rows]), np.radians([r[1] for r in rows]), np.radians([r[2] for r in rows])
+        v = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], -1)
+        odd = ids % 2 == 1
+        sep = {int(i): float(np.degrees(2 * np.arcsin(np.minimum(np.linalg.norm(v[odd] - p, axis=1) / 2, 1))).min()) for i, p in zip(ids[~odd], v[~odd], strict=True)}
+        want = {i: x for i, x in sep.items() if x <= radius}
+        assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_first_round_is_as_fine_as_the_positions_are_dense(spark):
     from tessella.operators import measure
 
