@@ -269,8 +269,9 @@ def reference_cones(spark, sf):
     k, turn = F.col("s_suppkey"), lambda x, m: x - m * F.floor(x / m)
     band = F.when(k % 4 == 0, "V").when(k % 4 == 1, "g").when(k % 4 == 2, "R").otherwise("H")
     fields = table(spark, sf, "supplier").select(k.alias("target_id"), band.alias("band"), ((k % 5 + 1) * 2.0).alias("radius"), turn(k * 29.7713, 360.0).alias("ra"), (turn(k * 17.3171, 180.0) - 90.0).alias("dec"))
-    found = catalogue.reference_stars(catalogue.cones(fields, bands, "radius", 4), F.col("band"))
-    return found.select("target_id", "star_id", r6("separation").alias("sep"), r6("mag").alias("mag"), r6("mag_err").alias("mag_err"))
+    known = fields.withColumn("letter", catalogue.letter_of(F.col("band"))).where("letter is not null")
+    marked = catalogue.by_band(bands).select("star_id", "ra", "dec", "letter", r6("mag").alias("mag"), r6("mag_err").alias("mag_err"))
+    return catalogue.cones(known, marked, "radius", 4, by=("letter",)).select("target_id", "star_id", r6("separation").alias("sep"), "mag", "mag_err")
 
 
 @query(f"""WITH {STARS}, c AS (SELECT DISTINCT npix FROM {ang2pix_sql('stars', 4)}),

@@ -130,3 +130,14 @@ def test_first_round_is_as_fine_as_the_positions_are_dense(spark):
     r = spark.range(40_000).select((F.col("id") % 200).alias("_rx"), F.floor(F.col("id") / 200).alias("_ry"), F.col("id").alias("right_id"))
     radii = measure.rounds(r, [F.floor(F.col("_rx") / 200), F.floor(F.col("_ry") / 200)], 40_000.0, 200.0)
     assert radii[-1] == 200.0 and 0.5 < radii[0] < 4 and all(b == 4 * a for a, b in zip(radii, radii[1:], strict=False))
+
+
+def test_cones_by_band_equal_all_pairs_filtered_later(spark):
+    g = np.random.default_rng(6)
+    stars = spark.createDataFrame([(i, float(a), float(d), float(m) if i % 7 else float("nan"), float(m) - 0.6, 0.02 * (i % 3)) for i, (a, d, m) in enumerate(zip(g.uniform(0, 360, 800), np.degrees(np.arcsin(g.uniform(-1, 1, 800))), g.uniform(13, 21, 800), strict=True))], "star_id int, ra double, dec double, gmag double, rmag double, e_rmag double")
+    at = spark.createDataFrame([(k, "VgRHx"[k % 5], float(a), float(d), float(5 * (k % 4))) for k, (a, d) in enumerate(zip(g.uniform(0, 360, 60), g.uniform(-90, 90, 60), strict=True))], "target_id int, band string, ra double, dec double, radius double")
+    late = catalogue.reference_stars(at.crossJoin(stars.withColumnsRenamed({"ra": "star_ra", "dec": "star_dec"})).withColumn("separation", hp.separation("ra", "dec", "star_ra", "star_dec")).where("separation <= radius"), F.col("band"))
+    known = at.withColumn("letter", catalogue.letter_of(F.col("band"))).where("letter is not null")
+    early = catalogue.cones(known, catalogue.by_band(stars), "radius", 3, by=("letter",))
+    key = lambda d: {(r["target_id"], r["star_id"], round(r["separation"], 9), r["mag"], r["mag_err"]) for r in d.collect()}
+    assert key(early) == key(late) and early.count() == len(key(late)) > 50
