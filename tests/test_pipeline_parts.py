@@ -315,3 +315,20 @@ def test_apertures_of_positions_equal_those_of_pixel_rows(spark):
     stars = spark.createDataFrame([(1, 40.0, 10.0, 15.0)], "star_id long, ra double, dec double, mag double")
     out = transients.forced_photometry(stars.select(F.col("star_id").alias("target_id"), "ra", "dec"), stars, f.withColumn("date_obs", F.current_timestamp()), 5)
     assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_peaks_of_arrays_equal_those_of_pixel_rows(spark):
+    """Even and odd counts, one pixel, no scatter; a false-positive run shuffles places, not draws."""
+    from tessella.operators import measure
+    from tessella.plans import transients
+
+    r = random.Random(2)
+    images = {0: [r.gauss(0, 1) for _ in range(64)], 1: [r.gauss(0, 1) for _ in range(9)], 2: [4.0], 3: [1.0, 1.0, 1.0, 7.0], 4: [2.0] * 5}
+    rows = spark.createDataFrame([(k, i, 0, v) for k, d in images.items() for i, v in enumerate(d)], "k int, x int, y int, d double")
+    want = {v["k"]: v["peak_snr"] for v in measure.difference_statistics(rows, ("k",)).collect()}
+    arrays = spark.createDataFrame([*images.items(), (5, [])], "k int, d array<double>")
+    got = {v["k"]: v["peak_snr"] for v in measure.with_peak_snr(arrays, "d").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    tiles = rows.select(F.col("k").alias("image_id"), "x", "y", F.col("d").alias("value"))
+    plan = transients.false_positive_run(tiles, {"A": 1.0}, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2
