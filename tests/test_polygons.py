@@ -127,3 +127,27 @@ def test_coverage_of_wide_frames_keeps_few_pairs_in_memory():
     assert peak < 300e6 and len(boxes) == len(at)
     cells = polygons.covered(w, 3, boxes=False)
     assert set(zip(at.tolist(), pix.tolist(), strict=True)) == set(zip(*[c.tolist() for c in cells[:2]], strict=True)) and len(cells[0]) == len(at)
+
+
+def test_first_frame_by_rank_equals_all_frames_tried(spark):
+    """More frames than are tried at once, equal and missing ranks, positions off all frames and without a cell; no pair becomes a row."""
+    from pyspark.sql import functions as F
+
+    from tessella.functions import wcs
+
+    rows = frames_of("level", 1, 4) * 40 + frames_of("turned", 30, 5)
+    frames = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA).withColumn("date", F.when(F.col("image_id") % 9 != 8, F.col("image_id") * 7 % 5))
+    r = np.random.default_rng(2)
+    centres = [(x[3] + r.uniform(-2, 2), x[4] + r.uniform(-2, 2)) for x in rows for _ in range(6)]
+    spots = [(i, float(a), float(d)) for i, (a, d) in enumerate(centres) if abs(d) < 90] + [(9000, None, 1.0), (9001, 1.0, 95.0)]
+    targets = spark.createDataFrame(spots, "target_id int, ra double, dec double")
+    found = cov.first_covering_frame(targets, frames, 4, "date")
+    got = {t["target_id"]: (t["image_id"], t["n_candidates"], t["reason"]) for t in found.collect()}
+    x, y = wcs.sky2pix("ra", "dec", wcs.wcs_of())
+    placed = targets.crossJoin(frames).withColumns({"x": x, "y": y}).where(wcs.inside("x", "y", "width", "height"))
+    want = {t["target_id"]: t["m"][1] for t in placed.groupBy("target_id").agg(F.min(F.struct("date", "image_id")).alias("m")).collect()}
+    assert len(got) == len(spots) and {k: v[0] for k, v in got.items() if v[0] is not None} == want and len(want) > 20
+    counts = {c["npix"]: c["count"] for c in cov.coverage(frames, 4).groupBy("npix").count().collect()}
+    assert all(n == counts.get(t["npix"], 0) for t in found.collect() for n in [t["n_candidates"]])
+    assert got[9000][1:] == got[9001][1:] == (0, "no_index_hit") and {v[2] for v in got.values()} == {"found", "no_index_hit", "no_source_image"}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
