@@ -81,6 +81,9 @@ def test_shift_votes_are_those_of_all_pairs(spark, monkeypatch):
     for piece, bins, offsets in ((4096, 1 << 22, 1 << 18), (7, 10, 128)):
         for name, value in (("PIECE", piece), ("BINS", bins), ("OFFSETS", offsets)):
             monkeypatch.setattr(measure, name, value)
+        one, other = ([np.array(v) for v in zip(*[s[1:] for s in t if s[0] == 1], strict=True)] for t in (q, p))
+        counted = {(int(x), int(y)): int(n) for x, y, n in zip(*measure._counted(*one, *other, 40.0, 4.0), strict=True)}  # tasks have constants of their own
+        assert counted == Counter((int(a // 4), int(b // 4)) for x, y in zip(*one, strict=True) for px, py in zip(*other, strict=True) for a, b in [(x - px, y - py)] if abs(a) < 40 and abs(b) < 40)
         got = {x["f"]: (x["votes"], x["dx"], x["dy"], x["n_near"]) for x in measure.shift_vote(d, e, ("f",), 40.0).collect()}
         assert set(got) == {1, 2} and all(got[f] == pytest.approx(want[f], abs=1e-9) for f in want)
 

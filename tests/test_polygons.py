@@ -151,3 +151,25 @@ def test_first_frame_by_rank_equals_all_frames_tried(spark):
     assert all(n == counts.get(t["npix"], 0) for t in found.collect() for n in [t["n_candidates"]])
     assert got[9000][1:] == got[9001][1:] == (0, "no_index_hit") and {v[2] for v in got.values()} == {"found", "no_index_hit", "no_source_image"}
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_out_of_reach_are_dropped_before_they_are_projected(spark):
+    """Tangent points off the frame, a negative margin: all pairs within, and the join itself drops the others."""
+    from pyspark.sql import functions as F
+
+    from tessella.functions import wcs
+
+    rows = [(i, *r[1:5], r[5] + (i % 3) * 60.0, r[6] - (i % 2) * 45.0, *r[7:]) for i, r in enumerate(frames_of("turned", 40, 8) + frames_of("polar", 20, 9))]
+    frames = spark.createDataFrame(rows, SCHEMA)
+    g = np.random.default_rng(3)
+    spots = [(i, float(r[3] + g.uniform(-9, 9)), float(np.clip(r[4] + g.uniform(-6, 6), -90, 90)), 15.0) for i, r in enumerate([r for r in rows for _ in range(40)])]
+    stars = spark.createDataFrame(spots, "star_id int, ra double, dec double, mag double")
+    x, y = wcs.sky2pix("ra", "dec", wcs.wcs_of())
+    placed = stars.crossJoin(frames).withColumns({"x": x, "y": y})
+    for margin in (0.0, 2.0, -0.4):
+        found = cov.stars_in_frames(frames, stars, 5, margin, ("mag",))
+        got = {(r["image_id"], r["star_id"]) for r in found.collect()}
+        want = {(r["image_id"], r["star_id"]) for r in placed.where(wcs.inside("x", "y", "width", "height", margin)).select("image_id", "star_id").collect()}
+        assert got == want and len(want) > 20
+        join = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+        assert len(join) == 1 and "_near" in join[0]
